@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from terraloom.llm import html_text, mixing, secrets, sharding
+from terraloom.llm import html_text, mixing, secrets, sharding, simhash, substring
 
 
 def queries() -> dict:
     return {
         "op1_secret_scan": secrets.op1_secret_scan,
+        "op2_substring_dedup": substring.op2_substring_dedup,
         "op4_virtual_slots": sharding.op4_virtual_slots,
+        "op8_simhash": simhash.op8_simhash,
         "op9_main_text": html_text.op9_main_text,
         "op10_mix_sources": mixing.op10_mix_sources,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op10_mix_sources": mixing.OP10_SQL}
+    return {"op2_substring_dedup": substring.OP2_SQL, "op10_mix_sources": mixing.OP10_SQL}
