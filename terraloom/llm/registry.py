@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terraloom.llm import html_text, mixing, secrets, sharding, simhash, substring
+from terraloom.llm import ann, hamming, html_text, mixing, secrets, sharding, simhash, substring
 
 
 def queries() -> dict:
@@ -10,6 +10,8 @@ def queries() -> dict:
         "op1_secret_scan": secrets.op1_secret_scan,
         "op2_substring_dedup": substring.op2_substring_dedup,
         "op4_virtual_slots": sharding.op4_virtual_slots,
+        "op5_hamming_topk": hamming.op5_hamming_topk,
+        "op7_stable_projections": ann.op7_stable_projections,
         "op8_simhash": simhash.op8_simhash,
         "op9_main_text": html_text.op9_main_text,
         "op10_mix_sources": mixing.op10_mix_sources,
@@ -17,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op2_substring_dedup": substring.OP2_SQL, "op10_mix_sources": mixing.OP10_SQL}
+    return {"op2_substring_dedup": substring.OP2_SQL, "op5_hamming_topk": hamming.OP5_SQL, "op10_mix_sources": mixing.OP10_SQL}
