@@ -38,7 +38,7 @@ from terraloom.llm.common import table
 MODEL_PATH, DROPOUT, SEED, VARIANTS = "/opt/tokenizers/piece_bpe_32k.model", 0.1, 11, 4
 SPACE = "▁"
 MEMORY = 150_000  # remembered chunks of a variant
-MASK = (1 << 64) - 1
+MASK, NONE = (1 << 64) - 1, 1 << 60
 
 
 class Codec:
@@ -55,6 +55,14 @@ class Codec:
         by_name = {p: i for i, p in enumerate(self.pieces)}
         self.bytes = [by_name[f"<0x{b:02X}>"] for b in range(256)]
         self.decoded = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else b"" if special[i] else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
+        levels = {x: n for n, x in enumerate(sorted(set(self.scores.values()), reverse=True))}
+        self.rank: dict[int, int] = {}  # of a pair of ids: the level of its merge
+        self.merged: dict[int, int] = {}
+        for p, i in self.ids.items():
+            for cut in range(1, len(p)):
+                a, b = self.ids.get(p[:cut]), self.ids.get(p[cut:])
+                if a is not None and b is not None:
+                    self.rank[a << 16 | b], self.merged[a << 16 | b] = levels[self.scores[p]], i
         crossing = any(SPACE in p.lstrip(SPACE) for p in self.ids)
         alone = "\n" if not any("\n" in p for p in self.ids) else ""
         self.chunk = re.compile(r"(?s).+" if crossing else f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+|\n+")
@@ -63,10 +71,37 @@ class Codec:
         self.memory: list[dict[str, tuple[int, ...]]] = [{} for _ in range(self.variants)]
 
     def _skips(self, key: int, left: int, piece: int) -> bool:
-        h = (key ^ (left * 0x9E3779B97F4A7C15) ^ (piece * 0xC2B2AE3D27D4EB4F)) & MASK
-        h = ((h ^ (h >> 31)) * 0xBF58476D1CE4E5B9) & MASK
-        h = ((h ^ (h >> 29)) * 0x94D049BB133111EB) & MASK
-        return (h ^ (h >> 32)) < self.limit
+        h = (key + left * 0x9E3779B97F4A7C15 + piece * 0xC2B2AE3D27D4EB4F) & MASK
+        return ((h ^ (h >> 32)) * 0xD6E8FEB86659FD93) & MASK < self.limit
+
+    def _segment_short(self, chunk: str, variant: int) -> tuple[int, ...]:
+        """Same as ``_segment`` for a few symbols, where a list is the faster agenda."""
+        rank, merged, limit = self.rank.get, self.merged, self.limit
+        key = xxhash.xxh3_64_intdigest(chunk.encode("utf-8", "surrogatepass"), seed=(self.seed * 1000 + variant) & MASK) if limit else 0
+        ids = [self.ids.get(c, -1) for c in chunk]
+        place = list(range(len(ids)))
+        agenda = [rank(a << 16 | b, NONE) for a, b in zip(ids, ids[1:])]
+        while agenda:
+            best = min(agenda)
+            if best == NONE:
+                break
+            i = agenda.index(best)
+            piece = merged[ids[i] << 16 | ids[i + 1]]
+            if limit and self._skips(key, place[i], piece):
+                agenda[i] = NONE
+                continue
+            ids[i] = piece
+            del ids[i + 1], place[i + 1], agenda[i]
+            if i:
+                agenda[i - 1] = rank(ids[i - 1] << 16 | piece, NONE)
+            if i < len(agenda):
+                agenda[i] = rank(piece << 16 | ids[i + 1], NONE)
+        if min(ids) >= 0:
+            return tuple(ids)
+        out: list[int] = []
+        for i, at in zip(ids, place):
+            out += [i] if i >= 0 else [self.bytes[b] for b in chunk[at].encode("utf-8", "surrogatepass")]
+        return tuple(out)
 
     def _segment(self, chunk: str, variant: int) -> tuple[int, ...]:
         """Piece ids of a chunk by its agenda of merges."""
@@ -90,7 +125,7 @@ class Codec:
             j = after[i]
             if j >= n or len(left) + len(symbols[j]) != len(both) or left + symbols[j] != both:
                 continue  # one side has changed meanwhile
-            if limit and self._skips(key, i << 8 | len(both) & 255, ids[both]):
+            if limit and self._skips(key, i, ids[both]):
                 continue
             symbols[i], symbols[j] = both, None
             k = after[i] = after[j]
@@ -137,7 +172,7 @@ class Codec:
             for c, v in zip(chunks, drawn):
                 found = memory[v].get(c)
                 if found is None:
-                    found = self._segment(c, v)
+                    found = self._segment_short(c, v) if len(c) <= 40 else self._segment(c, v)
                     if len(c) <= 64:
                         if len(memory[v]) >= MEMORY:
                             memory[v].clear()

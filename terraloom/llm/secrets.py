@@ -22,8 +22,10 @@ import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from terraloom.llm.common import table
 
@@ -152,5 +154,15 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(scan, schema)
 
 
+def redact_documents(docs: DataFrame, text_col: str = "text", window: int = 200) -> DataFrame:
+    """The rows of ``docs`` with the secrets in their texts replaced; null texts stay null."""
+
+    @F.pandas_udf("string")
+    def clean(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else scan_text(t, window)[5])
+
+    return docs.withColumn(text_col, clean(docs[text_col]))
+
+
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))

@@ -33,7 +33,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terraloom.llm.common import cut, table
@@ -153,16 +153,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH) -> DataFrame:
     """The rows of ``docs`` without those that have a near duplicate with a smaller id in their component.
 
-    Of repeated rows with the smallest id one stays; rows with a null id stay.
+    Of repeated rows of one id one stays; rows with a null id all stay.
     """
     found = near_duplicates(docs, id_col, text_col, reach)
     gone = found.where("doc_id != component_id").select(F.col("doc_id").alias("gone_id")).distinct()
     names = docs.columns
-    rows = docs.select(docs[id_col].cast("long").alias("key"), F.struct(*[docs[c] for c in names]).alias("row"))
+    whole = F.struct(*[docs[c] for c in names])
+    rows = docs.select(docs[id_col].cast("long").alias("key"), whole.alias("row"), F.xxhash64(*[docs[c] for c in names]).alias("hash"), F.when(docs[id_col].isNull(), F.monotonically_increasing_id()).alias("alone"))
     left = rows.join(gone, F.col("key") == F.col("gone_id"), "left_anti")
-    whole = left.where("key IS NULL")
-    once = left.where("key IS NOT NULL").groupBy("key").agg(F.min("row").alias("row"))
-    return whole.select("row").union(once.select("row")).select(*[F.col("row").getField(c).alias(c) for c in names])
+    same_id = Window.partitionBy("key", "alone").orderBy("hash")
+    return left.withColumn("nth", F.row_number().over(same_id)).where("nth = 1").select(*[F.col("row").getField(c).alias(c) for c in names])
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
