@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from terraloom.functions.num import c, clamp
+from terraloom.functions.num import c, clamp, let
 
 #: Fixed alphabet of geohash.
 ALPHABET = "0123456789bcdefghjkmnpqrstuvwxyz"
@@ -62,44 +62,54 @@ def geohash_neighbor(hash_, dx: int, dy: int, precision: int) -> Column:
     return F.when(F.abs(lat) > 90, F.lit("")).otherwise(geohash(F.pmod(lng + 180, F.lit(360.0)) - 180, lat, precision))
 
 
-def s2_face_ij(lng, lat, level: int = 30) -> tuple[Column, Column, Column]:
-    """(face, i, j) of the published quadratic cube projection."""
+def s2_face_ij(lng, lat, level: int = 30) -> Column:
+    """struct<face, i, j> of the published quadratic cube projection."""
     p, lam = F.radians(c(lat)), F.radians(c(lng))
-    x, y, z = F.cos(p) * F.cos(lam), F.cos(p) * F.sin(lam), F.sin(p)
-    ax, ay, az = F.abs(x), F.abs(y), F.abs(z)
-    axis = F.when((ax >= ay) & (ax >= az), 0).when(ay >= az, 1).otherwise(2)
-    lead = F.when(axis == 0, x).when(axis == 1, y).otherwise(z)
-    face = axis + F.when(lead < 0, 3).otherwise(0)
-    # (u, v) of the six faces in order
-    u = F.when(face == 0, y / x).when(face == 1, -x / y).when(face == 2, -x / z).when(face == 3, z / x).when(face == 4, z / y).otherwise(-y / z)
-    v = F.when(face == 0, z / x).when(face == 1, z / y).when(face == 2, -y / z).when(face == 3, y / x).when(face == 4, -x / y).otherwise(-x / z)
-
-    def st(a):
-        return F.when(a >= 0, 0.5 * F.sqrt(1 + 3 * a)).otherwise(1 - 0.5 * F.sqrt(1 - 3 * a))
-
+    xyz = F.struct((F.cos(p) * F.cos(lam)).alias("x"), (F.cos(p) * F.sin(lam)).alias("y"), F.sin(p).alias("z"))
     side = 1 << level
-    i, j = (F.greatest(F.lit(0), F.least(F.lit(side - 1), F.floor(st(a) * float(side)))) for a in (u, v))
-    return face, i, j
+
+    def face_uv(s):
+        x, y, z = s["x"], s["y"], s["z"]
+        axis = F.when((F.abs(x) >= F.abs(y)) & (F.abs(x) >= F.abs(z)), 0).when(F.abs(y) >= F.abs(z), 1).otherwise(2)
+
+        def project(f):
+            u = F.when(f == 0, y / x).when(f == 1, -x / y).when(f == 2, -x / z).when(f == 3, z / x).when(f == 4, z / y).otherwise(-y / z)
+            v = F.when(f == 0, z / x).when(f == 1, z / y).when(f == 2, -y / z).when(f == 3, y / x).when(f == 4, -x / y).otherwise(-x / z)
+            return F.struct(f.alias("face"), u.alias("u"), v.alias("v"))
+
+        lead = F.when(axis == 0, x).when(axis == 1, y).otherwise(z)
+        return let(axis + F.when(lead < 0, 3).otherwise(0), project)
+
+    def cell(s):
+        st = lambda a: F.when(a >= 0, 0.5 * F.sqrt(1 + 3 * F.abs(a))).otherwise(1 - 0.5 * F.sqrt(1 + 3 * F.abs(a)))
+        i, j = (F.greatest(F.lit(0), F.least(F.lit(side - 1), F.floor(st(s[n]) * float(side)))) for n in "uv")
+        return F.struct(s["face"].alias("face"), i.alias("i"), j.alias("j"))
+
+    return let(let(xyz, face_uv), cell)
 
 
 def s2_token_parts(lng, lat, level: int) -> Column:
     """Readable cell name: face/digits, one base-4 digit of the Hilbert curve a level."""
-    face, i, j = s2_face_ij(lng, lat, level)
-    # orientation bits: 1 swaps the axes, 2 inverts them; digits of the published table follow from both
-    start = F.struct(F.lit("").alias("text"), (face % 2).cast("int").alias("turn"))
-
-    def step(s, k):
-        a, b = (F.call_function("shiftright", w, k.cast("int")).bitwiseAND(F.lit(1)).cast("int") for w in (i, j))
-        swap, inv = s.turn.bitwiseAND(F.lit(1)) == 1, s.turn.bitwiseAND(F.lit(2)) == 2
-        p, q = F.when(swap, b).otherwise(a), F.when(swap, a).otherwise(b)
-        p, q = F.when(inv, 1 - p).otherwise(p), F.when(inv, 1 - q).otherwise(q)
-        digit = F.when((p == 0) & (q == 0), 0).when((p == 0) & (q == 1), 1).when((p == 1) & (q == 1), 2).otherwise(3)
-        change = F.when(digit == 0, 1).when(digit == 3, 3).otherwise(0)
-        return F.struct(F.concat(s.text, digit.cast("string")).alias("text"), s.turn.bitwiseXOR(change).cast("int").alias("turn"))
-
-    if level == 0:
-        return F.concat(face.cast("string"), F.lit("/"))
-    return F.concat(face.cast("string"), F.lit("/"), F.aggregate(F.sequence(F.lit(level - 1), F.lit(0)), start, step).text)
+
+    def name(f):
+        # turn: 1 swaps the axes, 2 inverts them; the digits of the published table follow from both
+        start = F.struct(F.lit("").alias("text"), (f["face"] % 2).cast("int").alias("turn"))
+
+        def step(s, k):
+            a, b = (F.call_function("shiftright", f[n], k.cast("int")).bitwiseAND(F.lit(1)).cast("int") for n in "ij")
+            inv, swap = F.call_function("shiftright", s["turn"], F.lit(1)), s["turn"].bitwiseAND(F.lit(1)) == 1
+
+            def digit(q):
+                d = F.when(q["p"] == 0, q["q"]).otherwise(3 - q["q"])
+                change = F.when(d == 0, 1).when(d == 3, 3).otherwise(0)
+                return F.struct(F.concat(s["text"], d.cast("string")).alias("text"), s["turn"].bitwiseXOR(change).cast("int").alias("turn"))
+
+            return let(F.struct(F.when(swap, b).otherwise(a).bitwiseXOR(inv).alias("p"), F.when(swap, a).otherwise(b).bitwiseXOR(inv).alias("q")), digit)
+
+        digits = F.aggregate(F.sequence(F.lit(level - 1), F.lit(0)), start, step)["text"] if level else F.lit("")
+        return F.concat(f["face"].cast("string"), F.lit("/"), digits)
+
+    return let(s2_face_ij(lng, lat, level), name)
 
 
 def s2_parent(token) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from terraloom.functions.num import c, div
+from terraloom.functions.num import c, div, let
 
 A, INV_F = 6378137.0, 298.257223563
 FLAT = 1 / INV_F
@@ -19,7 +19,7 @@ def haversine(lng1, lat1, lng2, lat2, radius: float = A) -> Column:
     """Great-circle metres."""
     p1, p2 = F.radians(c(lat1)), F.radians(c(lat2))
     h = F.pow(F.sin((p2 - p1) / 2), F.lit(2)) + F.cos(p1) * F.cos(p2) * F.pow(F.sin(F.radians(c(lng2) - c(lng1)) / 2), F.lit(2))
-    return 2 * radius * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
+    return 2 * radius * F.asin(F.sqrt(F.when(h > 1, F.lit(1.0)).otherwise(h)))  # not least(), which skips nulls
 
 
 def initial_bearing(lng1, lat1, lng2, lat2) -> Column:
@@ -64,32 +64,46 @@ def ellipsoid_distance(lng1, lat1, lng2, lat2, rounds: int = 12) -> Column:
     Equal points give 0; pairs near the antipode, where the iteration doesn't
     settle in ``rounds`` steps, give null.
     """
-    u1 = F.atan((1 - FLAT) * F.tan(F.radians(c(lat1))))
-    u2 = F.atan((1 - FLAT) * F.tan(F.radians(c(lat2))))
-    big = F.radians(c(lng2) - c(lng1))
-    su1, cu1, su2, cu2 = F.sin(u1), F.cos(u1), F.sin(u2), F.cos(u2)
-
-    def sphere(lam):
-        x, y = cu2 * F.sin(lam), cu1 * su2 - su1 * cu2 * F.cos(lam)
-        ss = F.sqrt(x * x + y * y)
-        cs = su1 * su2 + cu1 * cu2 * F.cos(lam)
-        sa = F.coalesce(div(cu1 * cu2 * F.sin(lam), ss), F.lit(0.0))
-        ca2 = 1 - sa * sa
-        cm = F.coalesce(cs - div(2 * su1 * su2, ca2), F.lit(0.0))
-        return ss, cs, F.atan2(ss, cs), sa, ca2, cm
-
-    def step(s, _):
-        ss, cs, sig, sa, ca2, cm = sphere(s.lam)
-        k = FLAT / 16 * ca2 * (4 + FLAT * (4 - 3 * ca2))
-        return F.struct((big + (1 - k) * FLAT * sa * (sig + k * ss * (cm + k * cs * (2 * cm * cm - 1)))).alias("lam"), s.lam.alias("was"))
-
-    out = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.struct(big.alias("lam"), F.lit(99.0).alias("was")), step)
-    ss, cs, sig, sa, ca2, cm = sphere(out.lam)
-    u = ca2 * EP2
-    aa = 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u)))
-    bb = u / 1024 * (256 + u * (-128 + u * (74 - 47 * u)))
-    ds = bb * ss * (cm + bb / 4 * (cs * (2 * cm * cm - 1) - bb / 6 * cm * (4 * ss * ss - 3) * (4 * cm * cm - 3)))
-    return F.when(ss < 1e-15, F.lit(0.0)).when(F.abs(out.lam - out.was) < 1e-9, B * aa * (sig - ds))
+    reduced = lambda lat: F.atan((1 - FLAT) * F.tan(F.radians(c(lat))))
+    u = F.struct(F.sin(reduced(lat1)).alias("s1"), F.cos(reduced(lat1)).alias("c1"), F.sin(reduced(lat2)).alias("s2"), F.cos(reduced(lat2)).alias("c2"), F.radians(c(lng2) - c(lng1)).alias("big"))
+
+    def on_sphere(u, lam, then):
+        """``then`` of sine and cosine of the arc, sine of the azimuth, its squared cosine, and that of twice the midpoint."""
+        x, y = u["c2"] * F.sin(lam), u["c1"] * u["s2"] - u["s1"] * u["c2"] * F.cos(lam)
+        arc = F.struct(F.hypot(x, y).alias("ss"), (u["s1"] * u["s2"] + u["c1"] * u["c2"] * F.cos(lam)).alias("cs"))
+
+        def azimuth(p):
+            sa = F.coalesce(div(u["c1"] * u["c2"] * F.sin(lam), p["ss"]), F.lit(0.0))
+            return F.struct(p["ss"].alias("ss"), p["cs"].alias("cs"), sa.alias("sa"), (1 - sa * sa).alias("ca2"))
+
+        def middle(q):
+            return F.struct(q["ss"].alias("ss"), q["cs"].alias("cs"), q["sa"].alias("sa"), q["ca2"].alias("ca2"), F.coalesce(q["cs"] - div(2 * u["s1"] * u["s2"], q["ca2"]), F.lit(0.0)).alias("cm"))
+
+        return let(let(let(arc, azimuth), middle), then)
+
+    def solve(u):
+        def step(s, _):
+            def better(q):
+                k = FLAT / 16 * q["ca2"] * (4 + FLAT * (4 - 3 * q["ca2"]))
+                turn = F.atan2(q["ss"], q["cs"]) + k * q["ss"] * (q["cm"] + k * q["cs"] * (2 * q["cm"] * q["cm"] - 1))
+                return F.struct((u["big"] + (1 - k) * FLAT * q["sa"] * turn).alias("lam"), s["lam"].alias("was"))
+
+            return on_sphere(u, s["lam"], better)
+
+        def metres(out):
+            def length(q):
+                v = q["ca2"] * EP2
+                aa = 1 + v / 16384 * (4096 + v * (-768 + v * (320 - 175 * v)))
+                bb = v / 1024 * (256 + v * (-128 + v * (74 - 47 * v)))
+                cm2 = q["cm"] * q["cm"]
+                ds = bb * q["ss"] * (q["cm"] + bb / 4 * (q["cs"] * (2 * cm2 - 1) - bb / 6 * q["cm"] * (4 * q["ss"] * q["ss"] - 3) * (4 * cm2 - 3)))
+                return F.when(q["ss"] < 1e-15, F.lit(0.0)).when(F.abs(out["lam"] - out["was"]) < 1e-9, B * aa * (F.atan2(q["ss"], q["cs"]) - ds))
+
+            return on_sphere(u, out["lam"], length)
+
+        return let(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.struct(u["big"].alias("lam"), F.lit(99.0).alias("was")), step), metres)
+
+    return let(u, solve)
 
 
 def to_ecef(lng, lat, h) -> tuple[Column, Column, Column]:

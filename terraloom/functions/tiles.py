@@ -83,7 +83,7 @@ def from_pixel(px, py, z) -> tuple[Column, Column]:
 
 def tile_key(scheme, z, x, y) -> Column:
     """A long with fields that don't overlap: 2 bits scheme, 5 bits level, 28 bits each for x and y."""
-    return (((c(scheme) * 32 + c(z)) * (1 << 28) + c(x)) * (1 << 28) + c(y)).cast("long")
+    return ((c(scheme).cast("long") * 32 + c(z)) * (1 << 28) + c(x)) * (1 << 28) + c(y)
 
 
 def decode_tile_key(key) -> tuple[Column, Column, Column, Column]:

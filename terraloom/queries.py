@@ -64,7 +64,7 @@ def pt(t, key, v):
 
 CUST, SUPP = pt("customer", "c_custkey", "c_acctbal"), pt("supplier", "s_suppkey", "s_acctbal")
 PI = "pi()"
-HAV = "2e0 * 6378137e0 * asin(least(1e0, sqrt(pow(sin(radians({y2} - {y1}) / 2), 2) + cos(radians({y1})) * cos(radians({y2})) * pow(sin(radians({x2} - {x1}) / 2), 2))))"
+HAV = "2e0 * 6378137e0 * asin(sqrt(1e0 * (pow(sin(radians({y2} - {y1}) / 2), 2) + cos(radians({y1})) * cos(radians({y2})) * pow(sin(radians({x2} - {x1}) / 2), 2))))"
 
 
 def hav(x1, y1, x2, y2):
