@@ -2,7 +2,7 @@
 
 The vocabulary and scores come from a BPE model file (never trained here).  A
 text is cut into chunks that no merge can cross; in a chunk the candidate
-merges form an agenda, best score first, leftmost among equals.  A candidate
+merges form an agenda, best score first.  A candidate
 that comes up is skipped for good if a keyed hash of seed, chunk, variant,
 place and piece falls below ``dropout``.  Each occurrence of a chunk draws one
 of ``variants`` segmentations by a keyed hash of seed, document and place, so
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,8 +38,8 @@ from terraloom.llm.common import table
 
 MODEL_PATH, DROPOUT, SEED, VARIANTS = "/opt/tokenizers/piece_bpe_32k.model", 0.1, 11, 4
 SPACE = "▁"
-MEMORY = 150_000  # remembered chunks of a variant
-MASK, NONE = (1 << 64) - 1, 1 << 60
+MEMORY = 150_000  # remembered chunks of a variant, and as many older ones
+MASK, NONE, SPREAD, LONG = (1 << 64) - 1, 1 << 60, 0xD6E8FEB86659FD93, 40
 
 
 class Codec:
@@ -56,57 +57,110 @@ class Codec:
         self.bytes = [by_name[f"<0x{b:02X}>"] for b in range(256)]
         self.decoded = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else b"" if special[i] else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
         levels = {x: n for n, x in enumerate(sorted(set(self.scores.values()), reverse=True))}
-        self.rank: dict[int, int] = {}  # of a pair of ids: the level of its merge
-        self.merged: dict[int, int] = {}
+        found = {}
         for p, i in self.ids.items():
             for cut in range(1, len(p)):
                 a, b = self.ids.get(p[:cut]), self.ids.get(p[cut:])
                 if a is not None and b is not None:
-                    self.rank[a << 16 | b], self.merged[a << 16 | b] = levels[self.scores[p]], i
+                    found[a << 32 | b] = levels[self.scores[p]] << 32 | i
+        self.pairs = np.array(sorted(found), np.int64)
+        self.merges = np.array([found[k] for k in sorted(found)], np.int64)
+        self.char_ids = np.full(0x110000, -1, np.int64)
+        for p, i in self.ids.items():
+            if len(p) == 1:
+                self.char_ids[ord(p)] = i
         crossing = any(SPACE in p.lstrip(SPACE) for p in self.ids)
         alone = "\n" if not any("\n" in p for p in self.ids) else ""
         self.chunk = re.compile(r"(?s).+" if crossing else f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+|\n+")
         self.dropout, self.seed, self.variants = dropout, seed, max(1, variants) if dropout else 1
         self.limit = int(dropout * 2**64)
-        self.memory: list[dict[str, tuple[int, ...]]] = [{} for _ in range(self.variants)]
-
-    def _skips(self, key: int, left: int, piece: int) -> bool:
-        h = (key + left * 0x9E3779B97F4A7C15 + piece * 0xC2B2AE3D27D4EB4F) & MASK
-        return ((h ^ (h >> 32)) * 0xD6E8FEB86659FD93) & MASK < self.limit
-
-    def _segment_short(self, chunk: str, variant: int) -> tuple[int, ...]:
-        """Same as ``_segment`` for a few symbols, where a list is the faster agenda."""
-        rank, merged, limit = self.rank.get, self.merged, self.limit
-        key = xxhash.xxh3_64_intdigest(chunk.encode("utf-8", "surrogatepass"), seed=(self.seed * 1000 + variant) & MASK) if limit else 0
-        ids = [self.ids.get(c, -1) for c in chunk]
-        place = list(range(len(ids)))
-        agenda = [rank(a << 16 | b, NONE) for a, b in zip(ids, ids[1:])]
-        while agenda:
-            best = min(agenda)
-            if best == NONE:
-                break
-            i = agenda.index(best)
-            piece = merged[ids[i] << 16 | ids[i + 1]]
-            if limit and self._skips(key, place[i], piece):
-                agenda[i] = NONE
+        self.kind = np.uint16 if len(self.pieces) <= 1 << 16 else np.uint32
+        self.code = "H" if self.kind is np.uint16 else "I"
+        self.memory: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
+        self.older: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
+
+    def _key(self, chunk: str, variant: int) -> int:
+        return xxhash.xxh3_64_intdigest(chunk.encode("utf-8", "surrogatepass"), self.seed * 1000 + variant & MASK)
+
+    def _look_up(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Level and piece of the merge of two pieces, as one number; NONE if there is none."""
+        pair = left.astype(np.int64) << 32 | right
+        at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == pair, self.merges[at], NONE)
+
+    def _segment_many(self, chunks: list[str], variants: list[int]) -> list[bytes]:
+        """Packed pieces of many chunks, whose agendas are worked off side by side.
+
+        Chunks of like length form a matrix; in every round each chunk takes
+        the best candidate of its agenda, which is skipped or merged.
+        """
+        out: list[bytes] = [b""] * len(chunks)
+        lengths = np.array([len(c) for c in chunks])
+        codes = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), "<u4")
+        flat = self.char_ids[codes]
+        starts = np.append(0, np.cumsum(lengths))
+        odd = np.zeros(len(chunks), bool)
+        odd[np.repeat(np.arange(len(chunks)), lengths)[flat < 0]] = True
+        odd |= lengths > LONG
+        for i in np.flatnonzero(odd):
+            out[i] = array(self.code, self._segment(chunks[i], variants[i])).tobytes()
+        low = 0
+        for high in (4, 6, 8, 10, 12, 16, 24, LONG):
+            rows = np.flatnonzero((lengths > low) & (lengths <= high) & ~odd)
+            low = high
+            if not len(rows):
                 continue
-            ids[i] = piece
-            del ids[i + 1], place[i + 1], agenda[i]
-            if i:
-                agenda[i - 1] = rank(ids[i - 1] << 16 | piece, NONE)
-            if i < len(agenda):
-                agenda[i] = rank(piece << 16 | ids[i + 1], NONE)
-        if min(ids) >= 0:
-            return tuple(ids)
-        out: list[int] = []
-        for i, at in zip(ids, place):
-            out += [i] if i >= 0 else [self.bytes[b] for b in chunk[at].encode("utf-8", "surrogatepass")]
-        return tuple(out)
+            cols = np.arange(high)
+            inside = cols < lengths[rows][:, None]
+            ids = np.where(inside, flat[np.minimum(starts[rows][:, None] + cols, len(flat) - 1)], -1)
+            place = np.broadcast_to(cols, ids.shape).copy()
+            key = np.array([self._key(chunks[i], variants[i]) for i in rows], np.uint64) if self.limit else None
+            agenda = np.full(ids.shape, NONE, np.int64)
+            agenda[:, :-1] = np.where(inside[:, 1:], self._look_up(ids[:, :-1], np.maximum(ids[:, 1:], 0)), NONE)
+            while len(rows):
+                best = agenda.argmin(axis=1)
+                at = np.arange(len(rows))
+                top = agenda[at, best]
+                done = top == NONE
+                if done.any():
+                    kept = ids[done]
+                    packed = kept[kept >= 0].astype(self.kind).tobytes()
+                    ends = np.cumsum((kept >= 0).sum(axis=1)) * self.kind().itemsize
+                    for i, a, b in zip(rows[done].tolist(), [0, *ends[:-1].tolist()], ends.tolist()):
+                        out[i] = packed[a:b]
+                    go = ~done
+                    rows, ids, place, agenda, best, top = rows[go], ids[go], place[go], agenda[go], best[go], top[go]
+                    key = key[go] if key is not None else None
+                    at = np.arange(len(rows))
+                if not len(rows):
+                    break
+                piece = top & 0xFFFFFFFF
+                if key is not None:
+                    hashed = (key ^ (place[at, best].astype(np.uint64) << np.uint64(32) | piece.astype(np.uint64))) * np.uint64(SPREAD)
+                    skip = hashed < np.uint64(self.limit)
+                    agenda[at[skip], best[skip]] = NONE
+                    m = np.flatnonzero(~skip)
+                else:
+                    m = at
+                b, new = best[m], piece[m]
+                source = np.minimum(cols + (cols > b[:, None]), high - 1)
+                for x in (place, agenda, ids):
+                    x[m] = np.take_along_axis(x[m], source, axis=1)
+                ids[m, -1] = -1
+                agenda[m, -1] = NONE
+                ids[m, b] = new
+                right = np.minimum(b + 1, high - 1)
+                has = (b + 1 < high) & (ids[m, right] >= 0)
+                agenda[m, b] = NONE
+                agenda[m[has], b[has]] = self._look_up(new[has], ids[m[has], right[has]])
+                has = b > 0
+                agenda[m[has], b[has] - 1] = self._look_up(ids[m[has], b[has] - 1], new[has])
+        return out
 
-    def _segment(self, chunk: str, variant: int) -> tuple[int, ...]:
+    def _segment(self, chunk: str, variant: int) -> list[int]:
         """Piece ids of a chunk by its agenda of merges."""
         scores, ids, limit = self.scores, self.ids, self.limit
-        key = xxhash.xxh3_64_intdigest(chunk.encode("utf-8", "surrogatepass"), seed=(self.seed * 1000 + variant) & MASK) if limit else 0
+        key = self._key(chunk, variant) if limit else 0
         n = len(chunk)
         symbols: list[str | None] = list(chunk)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -125,7 +179,7 @@ class Codec:
             j = after[i]
             if j >= n or len(left) + len(symbols[j]) != len(both) or left + symbols[j] != both:
                 continue  # one side has changed meanwhile
-            if limit and self._skips(key, i, ids[both]):
+            if limit and ((key ^ (i << 32 | ids[both])) * SPREAD & MASK) < limit:
                 continue
             symbols[i], symbols[j] = both, None
             k = after[i] = after[j]
@@ -150,40 +204,58 @@ class Codec:
                 out += [self.bytes[b] for b in s.encode("utf-8", "surrogatepass")]
             else:
                 out.append(found)
-        return tuple(out)
+        return out
 
-    def encode(self, text: str, key: int = 0) -> list[int]:
-        """Piece ids; ``key`` names the document, and with the seed decides the draws."""
-        if not text:
-            return []
-        out: list[int] = []
-        at = 0
-        for part in text.split(SPACE) if SPACE in text else (text,):
-            if at:
-                out += [self.bytes[b] for b in SPACE.encode()]
-            chunks = self.chunk.findall((" " + part if not at else part).replace(" ", SPACE))
-            memory = self.memory
-            if self.variants > 1:
-                place = (np.arange(at, at + len(chunks), dtype=np.uint64) + np.uint64(key & MASK)) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(self.seed * 0xC2B2AE3D27D4EB4F & MASK)
-                place = (place ^ (place >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-                drawn = ((place >> np.uint64(33)) % np.uint64(self.variants)).tolist()
-            else:
-                drawn = [0] * len(chunks)
+    def _chunks(self, text: str, key: int) -> tuple[list[str], list[int]]:
+        """Chunks of a text and the variant that each draws; a literal U+2581 is a chunk of its own, drawn as -1."""
+        chunks: list[str] = []
+        literal = []
+        for n, part in enumerate(text.split(SPACE) if SPACE in text else (text,)):
+            if n:
+                literal.append(len(chunks))
+                chunks.append(SPACE)
+            chunks += self.chunk.findall((part if n else " " + part).replace(" ", SPACE))
+        if self.variants > 1:
+            place = (np.arange(len(chunks), dtype=np.uint64) + np.uint64(key & MASK)) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(self.seed * 0xC2B2AE3D27D4EB4F & MASK)
+            place = (place ^ (place >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            drawn = ((place >> np.uint64(33)) % np.uint64(self.variants)).tolist()
+        else:
+            drawn = [0] * len(chunks)
+        for i in literal:
+            drawn[i] = -1
+        return chunks, drawn
+
+    def encode_many(self, texts: list[str], keys: list[int]) -> list[np.ndarray]:
+        """Piece ids of each text; its key names the document, and with the seed decides the draws."""
+        cut = [self._chunks(t, k) if t else ((), ()) for t, k in zip(texts, keys)]
+        memory, older = self.memory, self.older
+        missing: list[set[str]] = [set() for _ in range(self.variants)]
+        for chunks, drawn in cut:
             for c, v in zip(chunks, drawn):
-                found = memory[v].get(c)
-                if found is None:
-                    found = self._segment_short(c, v) if len(c) <= 40 else self._segment(c, v)
-                    if len(c) <= 64:
-                        if len(memory[v]) >= MEMORY:
-                            memory[v].clear()
-                        memory[v][c] = found
-                out += found
-            at += len(chunks) + 1
+                if c not in memory[v]:
+                    missing[v].add(c)
+        asked = [(c, v) for v, own in enumerate(missing) for c in own]
+        fresh: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
+        for v in range(self.variants):
+            fresh[v] = {c: older[v][c] for c in missing[v] if c in older[v]}
+        asked = [(c, v) for c, v in asked if c not in fresh[v]]
+        for at in range(0, len(asked), 50_000):
+            part = asked[at : at + 50_000]
+            for (c, v), found in zip(part, self._segment_many([c for c, _ in part], [v for _, v in part])):
+                fresh[v][c] = found
+        mark = array(self.code, [self.bytes[b] for b in SPACE.encode()]).tobytes()
+        out = [np.frombuffer(b"".join([mark if v < 0 else memory[v].get(c) or fresh[v][c] for c, v in zip(*own)]), self.kind) for own in cut]
+        for v in range(self.variants):
+            if len(memory[v]) + len(fresh[v]) > MEMORY:
+                older[v], memory[v] = memory[v], {}
+            memory[v].update((c, found) for c, found in fresh[v].items() if len(c) <= LONG)
         return out
 
+    def encode(self, text: str, key: int = 0) -> np.ndarray:
+        return self.encode_many([text], [key])[0]
+
     def decode(self, ids) -> str:
-        decoded = self.decoded
-        return b"".join([decoded[i] for i in ids])[1:].decode("utf-8", "surrogatepass")
+        return b"".join(map(self.decoded.__getitem__, ids))[1:].decode("utf-8", "surrogatepass")
 
 
 @lru_cache(maxsize=4)
@@ -204,17 +276,18 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             at = 0
             while at < len(texts):
-                ids, sizes, same, total = [], [], [], 0
                 first = at
-                while at < len(texts) and total < 2_000_000:
-                    t = texts[at]
-                    found = own.encode(t or "", (doc_ids[at] or 0) * 0x5851F42D4C957F2D)
-                    same.append(own.decode(found) == (t or ""))
-                    ids.append(None if t is None else np.array(found, np.int32))
-                    sizes.append(len(found))
-                    total += len(found)
+                size = 0
+                while at < len(texts) and size < 4_000_000:
+                    size += len(texts[at] or "")
                     at += 1
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, at - first), pa.array(sizes, pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(same)], ["doc_id", "n_tokens", "ids", "lossless"])
+                part = [t or "" for t in texts[first:at]]
+                found = own.encode_many(part, [(d or 0) * 0x5851F42D4C957F2D for d in doc_ids[first:at]])
+                same = [own.decode(f.tolist()) == t for f, t in zip(found, part)]
+                cuts = np.append(0, np.cumsum([len(f) for f in found]))
+                missing = np.array([t is None for t in texts[first:at]])
+                ids = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.concatenate(found).astype(np.int32)), mask=pa.array(missing))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, at - first), pa.array(np.diff(cuts), pa.int64()), ids, pa.array(same)], ["doc_id", "n_tokens", "ids", "lossless"])
 
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     return own.mapInArrow(encode, "doc_id long, n_tokens long, ids array<int>, lossless boolean")
