@@ -19,7 +19,8 @@ words.  All documents are scored, whole.  Learned things are small and constant
 in size, and are sent along with the tasks.
 
 Null texts count as empty; a text without hits gets the score of the intercept.
-Without labels of both classes every score is 0.  A null id is never held out.
+Without labels of both classes, or with too few toxic ones to pass the evidence
+test for any term (about seven), every score is 0.  A null id is never held out.
 Repeated rows get equal scores.  Other columns are ignored.
 """
 
