@@ -7,8 +7,10 @@ of the raster at a time.  Null and NaN are both no data.
 
 from __future__ import annotations
 
+import heapq
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -187,30 +189,46 @@ def watershed(directions: DataFrame, row: int, col: int) -> DataFrame:
     return _cell(jump_to_root(parents).where(F.col("root") == outlet))
 
 
-def fill_sinks(raster: DataFrame, most_rounds: int = 10_000, rounds_each: int = 4) -> DataFrame:
+def _settle(cells: pd.DataFrame) -> pd.DataFrame:
+    """Lower the cells of one tile, the rim of its neighbours included, until nothing changes inside; only own cells come out."""
+    at = {k: i for i, k in enumerate(zip(cells["row"].tolist(), cells["col"].tolist()))}
+    ground, level = cells["ground"].tolist(), cells["value"].tolist()
+    heap = [(v, *k) for k, v in zip(at, level) if v < math.inf]
+    heapq.heapify(heap)
+    while heap:
+        v, row, col = heapq.heappop(heap)
+        if v > level[at[row, col]]:
+            continue
+        for _, i, j in D8:
+            n = at.get((row + i, col + j))
+            if n is not None and (new := max(ground[n], v)) < level[n]:
+                level[n] = new
+                heapq.heappush(heap, (new, row + i, col + j))
+    return cells.assign(moved=pd.Series(level, index=cells.index) < cells["value"], value=level)[cells["own"]][["row", "col", "ground", "value", "moved"]]
+
+
+def fill_sinks(raster: DataFrame, most_rounds: int = 10_000, tile: int = 256) -> DataFrame:
     """The lowest surface above the raster from which every cell drains to the border or to a missing cell.
 
-    Starting with the border at its height and all else unbounded, each round
-    lowers a cell to the larger of its height and its lowest neighbour, until
-    nothing changes.  Lineage is cut every ``rounds_each`` rounds.
+    The border starts at its height and all else unbounded.  Each round settles
+    every tile of ``tile`` x ``tile`` cells with the rim of its neighbours, so
+    levels cross a whole tile in a round; it ends when no tile changes.
     """
     around = neighbours(raster).where("value IS NOT NULL")
     edge = F.lit(False)
     for _, i, j in D8:
         edge = edge | F.col("n" + "m0p"[i + 1] + "m0p"[j + 1]).isNull()
-    top = F.lit(float("inf"))
-    now = cut(around.select("row", "col", F.col("value").alias("ground"), F.when(edge, F.col("value")).otherwise(top).alias("value")))
+    start = F.when(edge, F.col("value")).otherwise(F.lit(float("inf")))
+    now = cut(around.select(F.col("row").cast("long"), F.col("col").cast("long"), F.col("value").alias("ground"), start.alias("value")))
+    place = lambda i, j: F.struct(F.floor((F.col("row") + i) / tile).alias("r"), F.floor((F.col("col") + j) / tile).alias("c"))
+    near = F.array_distinct(F.array(*[place(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
     for _ in range(most_rounds):
-        was = now
-        for _ in range(rounds_each):
-            near = neighbours(now)
-            least = F.least(*[F.col("n" + "m0p"[i + 1] + "m0p"[j + 1]) for _, i, j in D8])
-            low = near.select(F.col("row").alias("r"), F.col("col").alias("q"), least.alias("low"))
-            now = now.join(low, (F.col("row") == F.col("r")) & (F.col("col") == F.col("q"))).select("row", "col", "ground", F.when(F.col("value") == F.col("ground"), F.col("value")).otherwise(F.least("value", F.greatest("ground", F.coalesce("low", top)))).alias("value"))
-        now = cut(now)
-        before = was.select(F.col("row").alias("r"), F.col("col").alias("q"), F.col("value").alias("v"))
-        if now.join(before, (F.col("row") == F.col("r")) & (F.col("col") == F.col("q"))).where("value < v").isEmpty():
-            return now.select("row", "col", "value")
+        sent = now.select("row", "col", "ground", "value", F.explode(near).alias("tile"), place(0, 0).alias("home")).withColumn("own", F.col("tile") == F.col("home"))
+        settled = cut(sent.select("row", "col", "ground", "value", "own", "tile.r", "tile.c").groupBy("r", "c").applyInPandas(lambda cells: _settle(cells), "row long, col long, ground double, value double, moved boolean"))
+        now = settled.drop("moved")
+        if settled.where("moved").isEmpty():
+            kinds = dict(raster.dtypes)
+            return now.select(F.col("row").cast(kinds["row"]), F.col("col").cast(kinds["col"]), "value")
     raise RuntimeError(f"not settled after {most_rounds} rounds")
 
 

@@ -192,12 +192,12 @@ def topology(spark, sf_dir):
 
 
 @query(f"""WITH c AS ({CUST}) SELECT id, least(floor((x + 180) / 360 * 1024), 1023)::BIGINT AS tx, least(floor((1 - ln(tan(radians(y)) + 1 / cos(radians(y))) / {PI}) / 2 * 1024), 1023)::BIGINT AS ty,
-round(radians(x) * 6378137e0, 4) AS mx, round(ln(tan({PI} / 4 + radians(y) / 2)) * 6378137e0, 4) AS my, round(cos(radians(y)) * 2 * {PI} * 6378137e0 / (512 * 1024), 6) AS resolution FROM c""")
+round(radians(x) * 6378137e0, 4) AS mx, round(ln(tan({PI} / 4 + radians(y) / 2)) * 6378137e0, 4) + 0e0 AS my, round(cos(radians(y)) * 2 * {PI} * 6378137e0 / (512 * 1024), 6) AS resolution FROM c""")
 def tile_assign(spark, sf_dir):
     x, y, z = F.col("x"), F.col("y"), F.lit(10)
     tx, ty = T.tile_of(x, y, z)
     mx, my = T.to_mercator(x, y)
-    return customers(spark, sf_dir).select("id", tx.alias("tx"), ty.alias("ty"), F.round(mx, 4).alias("mx"), F.round(my, 4).alias("my"), r6(T.ground_resolution(y, z)).alias("resolution"))
+    return customers(spark, sf_dir).select("id", tx.alias("tx"), ty.alias("ty"), F.round(mx, 4).alias("mx"), (F.round(my, 4) + 0.0).alias("my"), r6(T.ground_resolution(y, z)).alias("resolution"))
 
 
 @query(f"""SELECT x, y, round(x / 16e0 * 360 - 180, 6) AS west, round(degrees(atan(sinh({PI} * (1 - 2 * (y + 1) / 16e0)))), 6) AS south, round((x + 1) / 16e0 * 360 - 180, 6) AS east, round(degrees(atan(sinh({PI} * (1 - 2 * y / 16e0)))), 6) AS north,
@@ -220,11 +220,11 @@ def geodesy(spark, sf_dir):
 
 
 @query(f"""WITH c AS ({CUST}), n AS (SELECT *, 6378137e0 / sqrt(1 - e2 * pow(sin(radians(y)), 2)) AS nu FROM c, (SELECT (1 / 298.257223563e0) * (2 - 1 / 298.257223563e0) AS e2))
-SELECT id, round((nu + v) * cos(radians(y)) * cos(radians(x)), 3) AS ex, round((nu + v) * cos(radians(y)) * sin(radians(x)), 3) AS ey, round((nu * (1 - e2) + v) * sin(radians(y)), 3) AS ez, round(x, 6) AS lng, round(y, 6) AS lat, round(v, 2) AS h FROM n""")
+SELECT id, round((nu + v) * cos(radians(y)) * cos(radians(x)), 3) AS ex, round((nu + v) * cos(radians(y)) * sin(radians(x)), 3) + 0e0 AS ey, round((nu * (1 - e2) + v) * sin(radians(y)), 3) + 0e0 AS ez, round(x, 6) AS lng, round(y, 6) AS lat, round(v, 2) AS h FROM n""")
 def ecef_round_trip(spark, sf_dir):
     e = customers(spark, sf_dir).select("id", *[v.alias(n) for n, v in zip(("ex", "ey", "ez"), G.to_ecef("x", "y", "v"))])
     lng, lat, h = G.from_ecef("ex", "ey", "ez", 8)
-    return e.select("id", *[F.round(n, 3).alias(n) for n in ("ex", "ey", "ez")], r6(lng).alias("lng"), r6(lat).alias("lat"), F.round(h, 2).alias("h"))
+    return e.select("id", *[(F.round(n, 3) + 0.0).alias(n) for n in ("ex", "ey", "ez")], r6(lng).alias("lng"), r6(lat).alias("lat"), F.round(h, 2).alias("h"))
 
 
 @query(f"WITH c AS ({CUST}) SELECT id, (floor((x + 180) / 6) + 1)::INT AS zone, round(x, 6) AS lng, round(y, 6) AS lat FROM c WHERE abs(y) < 80")

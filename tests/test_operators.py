@@ -137,7 +137,7 @@ def test_fill_sinks(spark):
                 if 0 <= k[0] < 6 and 0 <= k[1] < 7 and k not in w:
                     w[k] = max(v, z[k[0]][k[1]])
                     heapq.heappush(heap, (w[k], *k))
-    assert matrix(raster.fill_sinks(grid(spark, z))) == w
+    assert matrix(raster.fill_sinks(grid(spark, z))) == matrix(raster.fill_sinks(grid(spark, z), tile=3)) == w
 
 
 def test_raster_details(spark):
