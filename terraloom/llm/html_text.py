@@ -1,13 +1,16 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped so that every block element ends a line.  The distribution
-is the text length summed over a sliding window of lines; where it surges from
-nothing the main text starts, where it dives back to nothing it ends, and what
-lies between the outermost surge and dive around the heaviest stretch is kept.
-Lines inside elements that never hold main text (navigation, headers, footers,
-sidebars, adverts, forms, notices, comments) have no length in the
-distribution and never come out; if the page marks its article, lines outside
-it have none either.
+Markup is stripped so that every block element ends a line.  Lines inside
+elements that never hold main text (navigation, headers, footers, sidebars,
+adverts, forms, notices, comments) are taken out first, so a box inside the
+article, however long, leaves no gap.  The distribution of the other lines is
+the text length, without link text, summed over a sliding window of lines;
+what counts is how far it stands above a low level, and the stretch with the
+greatest sum is the main text: it starts where the distribution surges and
+ends where it dives for good.  Lines inside an article or main element weigh
+double; where one such element holds at least half of the stretch's text, its
+lines, all of them, are the main text.  An article inside a wrapper whose class
+sounds like a sidebar or the like counts if it outweighs all text outside.
 
 White space inside a block becomes one space; character references are
 decoded; blocks are joined by a line feed.  Null html gives an empty text, and
@@ -36,91 +39,139 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text is never main text.
 NEVER = frozenset("head title nav header footer aside form button input dialog menu object applet canvas audio video".split())
-#: Words in class, id or role that mark such elements.
-AROUND = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|breadcrumb|breadcrumbs|comment|comments|complementary|consent|contentinfo|cookie|cookies|disqus|footer|header|menu|modal|nav|navbar|navigation|newsletter|notice|notices|pagination|popup|promo|promotion|related|respond|share|sharing|sidebar|social|sponsor|sponsored|subscribe|toolbar|widget)(?:$|[\s_-])",
-    re.I,
+#: Words that mark such elements if a class, id or role is one of them, or starts or ends with one (``site-footer``, ``comment-list``).
+AROUND = frozenset(
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus footer header menu modal nav navbar navigation newsletter notice notices pagination popup promo promotion related respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
 )
-OUT, PLAIN, MAIN = 0, 1, 2
+#: First words of names that only tell what a wrapper has (``has-sidebar``).
+TELLS = frozenset("has with without no is not show hide".split())
+OUT, PLAIN, MAIN, INNER = 0, 1, 2, 3
+LEVEL = 80
 
 
-def lines(page: str) -> list[tuple[str, int]]:
-    """The page's lines with text, each with OUT, PLAIN or MAIN for where it stands."""
-    out: list[tuple[str, int]] = []
-    stack: list[tuple[str, int]] = []
+def _around(marks: list[str]) -> bool:
+    for mark in marks:
+        words = re.split(r"[_-]+", mark)
+        if words[0] not in TELLS and (words[0] in AROUND or words[-1] in AROUND):
+            return True
+    return False
+
+
+def lines(page: str) -> list[tuple[str, int, int, int]]:
+    """The page's lines with text: text, where it stands, its article or main element (0: none), length without links.
+
+    Where: OUT, PLAIN, MAIN (in an article or main element) or INNER (in one inside a wrapper that is OUT by its name).
+    """
+    out: list[tuple[str, int, int, int]] = []
+    stack: list[tuple[str, tuple[int, int, bool]]] = []
     parts: list[str] = []
-    where = PLAIN
+    where, region, by_name, regions = PLAIN, 0, False, 0
+    linked, in_links = False, 0
 
     def flush() -> None:
+        nonlocal in_links
         if parts:
-            text = SPACE.sub(" ", entities.unescape("".join(parts))).strip()
+            raw = "".join(parts)
+            text = SPACE.sub(" ", entities.unescape(raw)).strip()
             if text:
-                out.append((text, where))
+                out.append((text, where, region, round(len(text) * (1 - in_links / len(raw)))))
             parts.clear()
+            in_links = 0
 
     for m in TOKEN.finditer(page):
         text = m[5]
         if text is not None:
             parts.append(text)
+            in_links += len(text) if linked else 0
             continue
         name = m[3]
         if name is None:
             continue
         name = name.lower()
         if name in INLINE:
+            if name == "a":
+                linked = not m[2] and "href" in m[4].lower()
             continue
         flush()
         if name in VOID:
             continue
         if m[2]:
+            linked = False
             if name == "p" or any(n == name for n, _ in stack):
                 while stack:
                     top, before = stack[-1]
                     if name == "p" and top != "p":
                         break
                     stack.pop()
-                    where = before
+                    where, region, by_name = before
                     if top == name:
                         break
         elif not m[4].endswith("/"):
             if name == "p" and stack and stack[-1][0] == "p":
-                where = stack.pop()[1]
-            stack.append((name, where))
-            if where != OUT:
+                where, region, by_name = stack.pop()[1]
+            stack.append((name, (where, region, by_name)))
+            if where != OUT or by_name:
                 attrs = m[4]
-                marks = " ".join(f"{x or y or z}" for k, x, y, z in ATTR.findall(attrs)) if attrs.strip() else ""
-                inside_article = where == MAIN and name in ("header", "p", "h1", "h2")
-                if (name in NEVER and not inside_article) or (marks and name not in ("body", "html", "article", "main") and AROUND.search(marks)):
-                    where = OUT
-                elif name in ("article", "main") or re.search(r"\bmain\b", marks):
-                    where = MAIN
+                marks = " ".join(f"{x or y or z}" for k, x, y, z in ATTR.findall(attrs)).lower().split() if attrs.strip() else []
+                own_header = where in (MAIN, INNER) and name == "header"
+                if own_header:
+                    marks = [x for x in marks if "header" not in x]
+                if name in NEVER and not own_header:
+                    where, by_name = OUT, False
+                elif name in ("body", "html"):
+                    pass
+                elif marks and _around(marks):
+                    # what is in a comment or an advert that is an article itself stays out
+                    where, by_name = OUT, name not in ("article", "main")
+                elif name in ("article", "main") or (name in ("div", "section", "td") and "main" in marks):
+                    if where in (OUT, PLAIN):
+                        regions += 1
+                        where, region = INNER if where == OUT else MAIN, regions
     flush()
     return out
 
 
+def _stretch(sizes: list[int], window: int) -> tuple[int, int]:
+    """First and last + 1 of the lines over which the distribution stands above its level by the greatest sum."""
+    before = window // 2
+    # blocks[i]: text in the window of lines around i
+    sums = [0]
+    for n in sizes:
+        sums.append(sums[-1] + n)
+    blocks = [sums[min(len(sizes), i + window - before)] - sums[max(0, i - before)] for i in range(len(sizes))]
+    level = min(LEVEL, sum(b * n for b, n in zip(blocks, sizes)) / sums[-1] / 8)
+    best, at, total, start = 0.0, (0, len(sizes)), 0.0, 0
+    for i, b in enumerate(blocks):
+        if total <= 0:
+            total, start = 0.0, i
+        total += b - level
+        if total > best:
+            best, at = total, (start, i + 1)
+    return at
+
+
 def main_text(page: str | None, window: int = 3) -> str:
     """Text between the surge and the dive of the line-block distribution."""
-    found = lines(page or "")
-    least = MAIN if any(w == MAIN for _, w in found) else PLAIN
-    sizes = [len(t) if w >= least else 0 for t, w in found]
-    if not any(sizes):
+    every = lines(page or "")
+    weight: dict[int, int] = {}
+    for t, w, r, n in every:
+        if w == INNER:
+            weight[r] = weight.get(r, 0) + n
+    outside = sum(n for _, w, _, n in every if w in (PLAIN, MAIN))
+    found = [x for x in every if x[1] in (PLAIN, MAIN) or (x[1] == INNER and weight[x[2]] > outside)]
+    if not found:
         return ""
-    # blocks[i]: text in the window of lines that starts at i
-    total, blocks = sum(sizes[:window]), []
-    for i in range(len(sizes)):
-        blocks.append(total)
-        total += (sizes[i + window] if i + window < len(sizes) else 0) - sizes[i]
-    # Stretches between a surge (from 0) and a dive (to 0); in a marked article all count, else the heaviest.
-    stretches, start = [], None
-    for i, b in enumerate([*blocks, 0]):
-        if b and start is None:
-            start = i
-        elif not b and start is not None:
-            stretches.append((start, i))
-            start = None
-    if least == PLAIN:
-        stretches = [max(stretches, key=lambda s: (sum(sizes[s[0] : s[1]]), -s[0]))]
-    return "\n".join(found[i][0] for s, e in stretches for i in range(s, e) if sizes[i])
+    if not any(n for *_, n in found):  # nothing but links
+        found = [(t, w, r, len(t)) for t, w, r, _ in found]
+    sizes = [n * 2 if r else n for _, _, r, n in found]
+    start, end = _stretch(sizes, window)
+    held: dict[int, int] = {}
+    for (_, _, r, _), n in zip(found[start:end], sizes[start:end]):
+        held[r] = held.get(r, 0) + n
+    most = max((r for r in held if r), key=lambda r: held[r], default=0)
+    if most and held[most] >= sum(n for r, n in held.items() if r != most and r) + 2 * held.get(0, 0):
+        return "\n".join(t for t, _, r, _ in found if r == most)
+    return "\n".join(t for t, *_ in found[start:end])
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", window: int = 3) -> DataFrame:

@@ -215,3 +215,35 @@ def test_pages_of_odd_rows(spark):
     got = html_text.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
     assert sorted(r.n_chars for r in got) == [0, 0, 1, 1, 499_999]
     assert html_text.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).select(F.max("n_chars")).first()[0] is None
+
+
+LONG = [f"Paragraph {i} of the article, which goes on for a good while and says what there is to say about it." for i in range(8)]
+
+
+def paragraphs(part):
+    return "".join(f"<p>{p}</p>" for p in part)
+
+
+def test_boxes_inside_an_unmarked_article_leave_no_gap():
+    box = "<div class='ad'>" + "<p>Buy this now</p>" * 5 + "</div><form>" + "<div>Your name</div>" * 4 + "</form>"
+    links = "<ul>" + "<li><a href='/x'>Some other page of this site</a></li>" * 12 + "</ul>"
+    for tag in ("div", "article"):
+        page = f"<body>{links}<{tag}>{paragraphs(LONG[:3])}{box}{paragraphs(LONG[3:])}</{tag}>{links}</body>"
+        got = html_text.main_text(page).split("\n")
+        assert [t for t in got if t in LONG] == LONG and not any("Buy" in t or "name" in t for t in got)
+        assert sum("other page" in t for t in got) <= 2
+
+
+@pytest.mark.parametrize("name", ["layout has-sidebar", "with-comments", "sidebar", "widget"])
+def test_an_article_in_a_wrapper_named_after_its_surroundings_is_found(name):
+    page = f"<body><div class='{name}'><nav>Home</nav><article>{paragraphs(LONG)}</article></div><div class=comments><article class=comment><p>No.</p></article></div></body>"
+    assert html_text.main_text(page) == "\n".join(LONG)
+
+
+def test_marks_on_titles_and_teasers_do_not_silence_the_rest():
+    titled = f"<body><h1 class='main-title'>Head</h1><div>{paragraphs(LONG)}</div></body>"
+    assert html_text.main_text(titled) == "\n".join(["Head", *LONG])
+    cards = "<article><h3><a href='/y'>Other</a></h3><p>Teaser.</p></article>" * 3
+    assert html_text.main_text(f"<body><div>{paragraphs(LONG)}</div>{cards}</body>").split("\n")[: len(LONG)] == LONG
+    aside = f"<body><article>{paragraphs(LONG)}</article><aside>{cards}</aside></body>"
+    assert html_text.main_text(aside) == "\n".join(LONG)
