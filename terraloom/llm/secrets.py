@@ -2,12 +2,14 @@
 
 Base spans come from three fixed patterns.  On top of them every text is
 searched for weak parts: identifiers (``user=``, ``client_id:`` ...), secret
-values (long mixed tokens, short assigned values) and endpoints (URLs, hosts,
-addresses with a port).  A weak part alone says nothing; the parts of a text
-are joined by their intervals inside a scope (a paragraph, and at most
-``window`` code points between two parts), and a weak secret is reported only
-if an identifier or base access key and an endpoint, or an identifier assigned
-right beside it, stand in the same scope.
+values (long tokens of mixed letters and digits; values of any length assigned
+to ``password``, ``pwd``, ``pass``, ``secret``, ``key`` ...) and endpoints
+(URLs, hosts, addresses with a port, values assigned to ``host`` and the
+like).  A weak part alone says nothing; the parts of a text are joined by their
+intervals inside a scope (a paragraph, and at most ``window`` code points
+between two parts).  A weak secret is reported only if an identifier or base
+access key and an endpoint stand in the same scope; an assigned one also if an
+identifier is assigned right beside it, with nothing but separators between.
 
 Null texts count as empty.  Empty texts give zero counts, the digest of the
 empty string and an empty ``spans``.  Rows are independent: repeated rows give
@@ -39,9 +41,16 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 
-WEAK_ID = re.compile(r"""\b(?:user(?:name)?|login|account|client_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{3,})""", re.I | re.A)
+WEAK_ID = re.compile(r"""(?:\b|(?<=_))(?:user(?:name|_?id)?|uid|login|account|client_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]+)""", re.I | re.A)
+ASSIGNED = re.compile(
+    r"""(?:password|passwd|passphrase|pwd|secret|token|api_?key|(?:\b|(?<=_))(?:pass|key)|(?:access|account|auth|private|secret|shared|signing)key)\d*["']?\x20*(?:=>|:=|[:=])\x20*(?:"([^"\n]+)"|'([^'\n]+)'|([^\s"'<>,;&]+))""", re.I | re.A
+)
 WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9/+_=-])[A-Za-z0-9/+_-]{20,}={0,2}(?![A-Za-z0-9/+_=-])", re.A)
 ENDPOINT = re.compile(r"\b[a-z][a-z0-9+.-]{1,15}://[A-Za-z0-9._~:@-]+|\b(?:\d{1,3}\.){3}\d{1,3}:\d{2,5}\b|\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:amazonaws\.com|internal|local)\b", re.A)
+HOST = re.compile(r"""(?:\b|(?<=_))(?:host(?:_?name)?|server|endpoint|domain|addr(?:ess)?|data_?source)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+)*(?::\d{1,5})?)""", re.I | re.A)
+URL = re.compile(r"[a-z][a-z0-9+.-]*://", re.I | re.A)
+BESIDE = re.compile(r"""[\s"',;&|(){}\[\]]*""")
+NAME = re.compile(r"\w{0,40}", re.A)
 SCOPE_END = re.compile(r"\n\s*\n")
 
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, redacted string"
@@ -56,12 +65,19 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def _mixed(token: str) -> bool:
-    """Three character classes or many changes of class: unlike a word or a path."""
+    """Three character classes and many changes of class: unlike a word or a path."""
     classes = "".join("d" if c.isdigit() else "u" if c.isupper() else "l" if c.isalpha() else "s" for c in token)
     changes = sum(a != b for a, b in zip(classes, classes[1:]))
     return len(set(classes) - {"s"}) == 3 and changes >= len(token) // 5
 
 
+def _two_class(token: str) -> bool:
+    """Digits and letters of one case that change often, as in a UUID or base32: unlike a word, a path or a date."""
+    classes = "".join("d" if c.isdigit() else "u" if c.isupper() else "l" for c in token if c.isalnum())
+    changes = sum(a != b for a, b in zip(classes, classes[1:]))
+    return len(set(classes)) == 2 and "d" in classes and "/" not in token and changes >= max(3, len(classes) // 8)
+
+
 class _Near:
     """Sorted intervals; tells if one lies within ``window`` of another interval."""
 
@@ -80,14 +96,39 @@ class _Near:
 
 def linked_spans(text: str, base: list[tuple[int, int, str]], window: int) -> list[tuple[int, int, str]]:
     """Weak parts whose complements co-occur in their scope; base spans are never repeated."""
-    secrets = [(m.start(), m.end()) for m in WEAK_SECRET.finditer(text) if _mixed(m[0])]
-    if not secrets:
+    tokens = [(m.start(), m.end(), _mixed(m[0])) for m in WEAK_SECRET.finditer(text) if _mixed(m[0]) or _two_class(m[0])]
+    assigned = {m.span(m.lastindex): m.start() for m in ASSIGNED.finditer(text) if not URL.match(m[m.lastindex])} if "=" in text or ":" in text else {}
+    if not tokens and not assigned:
         return []
     ids = [(m.start(), m.end()) for m in WEAK_ID.finditer(text)]
     access = [(s, e) for s, e, k in base if k == "access"]
-    ends = [(m.start(), m.end()) for m in ENDPOINT.finditer(text)]
-    if not ((ids or access) and (ends or access)):
+    if not (ids or access):
         return []
+    ends = [(m.start(), m.end()) for m in ENDPOINT.finditer(text)]
+    hosts, urls = [(m.start(), m.end()) for m in HOST.finditer(text)], _Near(ends)
+    ends += [s for s in hosts if not urls.close(*s, -1)]
+    # the value of an identifier or a part of an endpoint is no two-class secret, and an assigned value is reported once
+    other, values = _Near(ids + ends), _Near(list(assigned))
+    secrets = [(s, e) for s, e, strong in tokens if not values.close(s, e, -1) and (strong or not other.close(s, e, -1))]
+    secrets += list(assigned)
+    starts, stops = {s for s, _ in ids}, {e for _, e in ids}
+
+    def beside(span: tuple[int, int]) -> bool:
+        """An identifier is assigned right before or right after an assigned secret."""
+        if span not in assigned:
+            return False
+        at = BESIDE.match(text, span[1]).end()
+        name = NAME.match(text, at).end()  # the identifier may have a prefix, as in DB_USER
+        if any(i in starts for i in range(at, name + 1)) and not SCOPE_END.search(text, span[1], at):
+            return True
+        first = assigned[span]
+        while first and (text[first - 1].isalnum() or text[first - 1] == "_"):
+            first -= 1
+        end = first
+        while end and end not in stops and BESIDE.fullmatch(text[end - 1]):
+            end -= 1
+        return end in stops and not SCOPE_END.search(text, end, first)
+
     taken = _Near([(s, e) for s, e, _ in base])
     breaks = [m.start() for m in SCOPE_END.finditer(text)]
     scope = lambda at: bisect_left(breaks, at)
@@ -96,14 +137,15 @@ def linked_spans(text: str, base: list[tuple[int, int, str]], window: int) -> li
         for s in spans:
             by_scope.setdefault(scope(s[0]), ([], [], []))[slot].append(s)
     out = []
+    of_ids, of_ends = set(ids), set(ends)
     for found, who, where in by_scope.values():
         near_id, near_end = _Near(who), _Near(where)
-        kept = [s for s in found if near_id.close(*s, window) and near_end.close(*s, window) and not taken.close(*s, -1)]
+        kept = [s for s in found if near_id.close(*s, window) and (near_end.close(*s, window) or beside(s)) and not taken.close(*s, -1)]
         near_kept = _Near(kept)
         out += [(*s, "linked_secret") for s in kept]
         if kept:
-            out += [(*s, "linked_id") for s in who if s in set(ids) and near_kept.close(*s, window)]
-            out += [(*s, "linked_endpoint") for s in where if s in set(ends) and near_kept.close(*s, window)]
+            out += [(*s, "linked_id") for s in who if s in of_ids and near_kept.close(*s, window)]
+            out += [(*s, "linked_endpoint") for s in where if s in of_ends and near_kept.close(*s, window)]
     return out
 
 

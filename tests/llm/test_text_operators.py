@@ -247,3 +247,39 @@ def test_marks_on_titles_and_teasers_do_not_silence_the_rest():
     assert html_text.main_text(f"<body><div>{paragraphs(LONG)}</div>{cards}</body>").split("\n")[: len(LONG)] == LONG
     aside = f"<body><article>{paragraphs(LONG)}</article><aside>{cards}</aside></body>"
     assert html_text.main_text(aside) == "\n".join(LONG)
+
+
+@pytest.mark.parametrize(
+    "text, secret",
+    [
+        ("user=bob\npassword=hunt3r2\nhttps://db.internal", "hunt3r2"),
+        ("user=bob, see the manual\npwd=Summer2024! on host=db.example.com", "Summer2024!"),
+        ("login: bob then pass: x1 at https://example.org", "x1"),
+        ('DB_HOST=db.example.com\nDB_USER=bob\nDB_PASS="a b c"', "a b c"),
+        ("client_id=shop\nid 550e8400-e29b-41d4-a716-446655440000 https://api.example.org", "550e8400-e29b-41d4-a716-446655440000"),
+        ("account: shop JBSWY3DPEHPK3PXPJBSWY3DP 10.0.0.1:8080", "JBSWY3DPEHPK3PXPJBSWY3DP"),
+        ("user=bob password=hunt3r2", "hunt3r2"),
+        ('{"password": "hunt3r2", "username": "bob"}', "hunt3r2"),
+        ("DB_PASSWORD=hunt3r2\nDB_USER=bob", "hunt3r2"),
+    ],
+)
+def test_weak_secrets_with_their_complements(text, secret):
+    spans, redacted = secrets.scan_text(text)[4:]
+    found = [text[int(s) : int(e)] for k, s, e in (x.split(":") for x in spans.split(",") if x) if k == "linked_secret"]
+    assert found == [secret] and secret not in redacted and "linked_id" in spans
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "password=hunt3r2",
+        "password=hunt3r2 https://db.internal",
+        "user=bob, as the manual has it, and password=hunt3r2",
+        "user=bob\n\npassword=hunt3r2",
+        "user=bob https://example.org release-notes-of-the-version-2024-01",
+        "client_id=550e8400-e29b-41d4-a716-446655440000 https://api.example.org",
+        "user=bob host=db.example.com",
+    ],
+)
+def test_weak_secrets_without_their_complements(text):
+    assert secrets.scan_text(text)[4] == ""
