@@ -2,12 +2,13 @@
 
 The vocabulary and scores come from a BPE model file (never trained here).  A
 text is cut into chunks that no merge can cross; in a chunk the candidate
-merges form an agenda, best score first.  A candidate
-that comes up is skipped for good if a keyed hash of seed, chunk, variant,
-place and piece falls below ``dropout``.  Each occurrence of a chunk draws one
-of ``variants`` segmentations by a keyed hash of seed, document and place, so
-the segmentations of a corpus vary, a rerun gives the same, and a task needs to
-compute each chunk's variants only once while its memory (bounded) holds them.
+merges form an agenda, best score first.  Every candidate that comes up, in
+every occurrence of a chunk, is skipped for good with probability ``dropout``,
+by a keyed hash of seed, document, copy number, place and number of the
+candidate: the hash gives how many candidates go by until the next skip, as
+independent draws would.  What a chunk becomes depends only on which of its
+candidates are skipped, so that a task may remember (bounded) the pieces for a
+chunk and its skips, as a cache that changes no result.
 With ``dropout`` 0 the pieces are those of the model itself.
 
 A space becomes U+2581, and one is put in front of a text that isn't empty.
@@ -15,12 +16,14 @@ Characters outside the vocabulary, and U+2581 itself, become byte pieces, so
 decoding gives back exactly the text that was encoded.
 
 Null texts have null pieces (``ids``) and 0 tokens, empty texts none.  Null
-document ids count as one document.  Repeated rows get equal pieces.  Other
+document ids count as one document.  Repeated rows get equal pieces unless a
+column numbers the copies.  Other
 columns are ignored.  Whole texts are encoded; nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import gc
 import heapq
 import re
 from array import array
@@ -30,22 +33,22 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terraloom.llm.common import table
 
-MODEL_PATH, DROPOUT, SEED, VARIANTS = "/opt/tokenizers/piece_bpe_32k.model", 0.1, 11, 4
+MODEL_PATH, DROPOUT, SEED = "/opt/tokenizers/piece_bpe_32k.model", 0.1, 11
 SPACE = "▁"
-MEMORY = 150_000  # remembered chunks of a variant, and as many older ones
-MASK, NONE, SPREAD, LONG = (1 << 64) - 1, 1 << 60, 0xD6E8FEB86659FD93, 40
+MEMORY = 400_000  # remembered chunks with their skips, and as many older ones
+FAR = 1 << 20  # more candidates than are ever drawn for
+MASK, NONE, LONG = (1 << 64) - 1, 1 << 60, 40
 
 
 class Codec:
-    """Encoder and decoder for one model file, dropout and seed."""
+    """Encoder and decoder for one model file, dropout and seed; ``variants`` no longer bounds anything."""
 
-    def __init__(self, model_path: str, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS):
+    def __init__(self, model_path: str, dropout: float = DROPOUT, seed: int = SEED, variants: int = 0):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=model_path)
@@ -72,15 +75,12 @@ class Codec:
         crossing = any(SPACE in p.lstrip(SPACE) for p in self.ids)
         alone = "\n" if not any("\n" in p for p in self.ids) else ""
         self.chunk = re.compile(r"(?s).+" if crossing else f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+|\n+")
-        self.dropout, self.seed, self.variants = dropout, seed, max(1, variants) if dropout else 1
-        self.limit = int(dropout * 2**64)
+        self.dropout, self.seed = dropout, seed
         self.kind = np.uint16 if len(self.pieces) <= 1 << 16 else np.uint32
         self.code = "H" if self.kind is np.uint16 else "I"
-        self.memory: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-        self.older: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-
-    def _key(self, chunk: str, variant: int) -> int:
-        return xxhash.xxh3_64_intdigest(chunk.encode("utf-8", "surrogatepass"), self.seed * 1000 + variant & MASK)
+        # chunk, or (chunk, candidates skipped as bits) -> packed pieces, number of candidates that came up
+        self.memory: dict[str | tuple[str, int], tuple[bytes, int]] = {}
+        self.older: dict[str | tuple[str, int], tuple[bytes, int]] = {}
 
     def _look_up(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Level and piece of the merge of two pieces, as one number; NONE if there is none."""
@@ -88,13 +88,17 @@ class Codec:
         at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
         return np.where(self.pairs[at] == pair, self.merges[at], NONE)
 
-    def _segment_many(self, chunks: list[str], variants: list[int]) -> list[bytes]:
-        """Packed pieces of many chunks, whose agendas are worked off side by side.
+    def _segment_many(self, chunks: list[str], skips: list[int]) -> list[bytes]:
+        """Packed pieces of many chunks; bit n of a chunk's skips: the n-th candidate that comes up is skipped."""
+        return [packed for packed, _ in self._work_off(chunks, skips)]
+
+    def _work_off(self, chunks: list[str], skips: list[int]) -> list[tuple[bytes, int]]:
+        """Packed pieces and numbers of candidates of many chunks, whose agendas are worked off side by side.
 
         Chunks of like length form a matrix; in every round each chunk takes
         the best candidate of its agenda, which is skipped or merged.
         """
-        out: list[bytes] = [b""] * len(chunks)
+        out: list[tuple[bytes, int]] = [(b"", 0)] * len(chunks)
         lengths = np.array([len(c) for c in chunks])
         codes = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), "<u4")
         flat = self.char_ids[codes]
@@ -103,7 +107,8 @@ class Codec:
         odd[np.repeat(np.arange(len(chunks)), lengths)[flat < 0]] = True
         odd |= lengths > LONG
         for i in np.flatnonzero(odd):
-            out[i] = array(self.code, self._segment(chunks[i], variants[i])).tobytes()
+            found, count = self._segment_counted(chunks[i], skips[i])
+            out[i] = array(self.code, found).tobytes(), count
         low = 0
         for high in (4, 6, 8, 10, 12, 16, 24, LONG):
             rows = np.flatnonzero((lengths > low) & (lengths <= high) & ~odd)
@@ -113,8 +118,10 @@ class Codec:
             cols = np.arange(high)
             inside = cols < lengths[rows][:, None]
             ids = np.where(inside, flat[np.minimum(starts[rows][:, None] + cols, len(flat) - 1)], -1)
-            place = np.broadcast_to(cols, ids.shape).copy()
-            key = np.array([self._key(chunks[i], variants[i]) for i in rows], np.uint64) if self.limit else None
+            own = [skips[i] for i in rows.tolist()]
+            most = max(own).bit_length()
+            words = [np.array([x >> at & MASK for x in own] if at or most > 64 else own, np.uint64) for at in range(0, most, 64)]
+            came = 0
             agenda = np.full(ids.shape, NONE, np.int64)
             agenda[:, :-1] = np.where(inside[:, 1:], self._look_up(ids[:, :-1], np.maximum(ids[:, 1:], 0)), NONE)
             while len(rows):
@@ -127,24 +134,23 @@ class Codec:
                     packed = kept[kept >= 0].astype(self.kind).tobytes()
                     ends = np.cumsum((kept >= 0).sum(axis=1)) * self.kind().itemsize
                     for i, a, b in zip(rows[done].tolist(), [0, *ends[:-1].tolist()], ends.tolist()):
-                        out[i] = packed[a:b]
+                        out[i] = packed[a:b], came
                     go = ~done
-                    rows, ids, place, agenda, best, top = rows[go], ids[go], place[go], agenda[go], best[go], top[go]
-                    key = key[go] if key is not None else None
+                    rows, ids, agenda, best, top, words = rows[go], ids[go], agenda[go], best[go], top[go], [x[go] for x in words]
                     at = np.arange(len(rows))
                 if not len(rows):
                     break
                 piece = top & 0xFFFFFFFF
-                if key is not None:
-                    hashed = (key ^ (place[at, best].astype(np.uint64) << np.uint64(32) | piece.astype(np.uint64))) * np.uint64(SPREAD)
-                    skip = hashed < np.uint64(self.limit)
+                if came < most:
+                    skip = words[came >> 6] >> np.uint64(came & 63) & np.uint64(1) == 1
                     agenda[at[skip], best[skip]] = NONE
                     m = np.flatnonzero(~skip)
                 else:
                     m = at
+                came += 1
                 b, new = best[m], piece[m]
                 source = np.minimum(cols + (cols > b[:, None]), high - 1)
-                for x in (place, agenda, ids):
+                for x in (agenda, ids):
                     x[m] = np.take_along_axis(x[m], source, axis=1)
                 ids[m, -1] = -1
                 agenda[m, -1] = NONE
@@ -157,10 +163,12 @@ class Codec:
                 agenda[m[has], b[has] - 1] = self._look_up(ids[m[has], b[has] - 1], new[has])
         return out
 
-    def _segment(self, chunk: str, variant: int) -> list[int]:
+    def _segment(self, chunk: str, skips: int) -> list[int]:
         """Piece ids of a chunk by its agenda of merges."""
-        scores, ids, limit = self.scores, self.ids, self.limit
-        key = self._key(chunk, variant) if limit else 0
+        return self._segment_counted(chunk, skips)[0]
+
+    def _segment_counted(self, chunk: str, skips: int) -> tuple[list[int], int]:
+        scores, ids, came = self.scores, self.ids, 0
         n = len(chunk)
         symbols: list[str | None] = list(chunk)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -179,7 +187,8 @@ class Codec:
             j = after[i]
             if j >= n or len(left) + len(symbols[j]) != len(both) or left + symbols[j] != both:
                 continue  # one side has changed meanwhile
-            if limit and ((key ^ (i << 32 | ids[both])) * SPREAD & MASK) < limit:
+            came += 1
+            if skips >> came - 1 & 1:
                 continue
             symbols[i], symbols[j] = both, None
             k = after[i] = after[j]
@@ -204,10 +213,10 @@ class Codec:
                 out += [self.bytes[b] for b in s.encode("utf-8", "surrogatepass")]
             else:
                 out.append(found)
-        return out
+        return out, came
 
-    def _chunks(self, text: str, key: int) -> tuple[list[str], list[int]]:
-        """Chunks of a text and the variant that each draws; a literal U+2581 is a chunk of its own, drawn as -1."""
+    def _chunks(self, text: str) -> tuple[list[str], list[int]]:
+        """Chunks of a text, and which of them are a literal U+2581."""
         chunks: list[str] = []
         literal = []
         for n, part in enumerate(text.split(SPACE) if SPACE in text else (text,)):
@@ -215,40 +224,102 @@ class Codec:
                 literal.append(len(chunks))
                 chunks.append(SPACE)
             chunks += self.chunk.findall((part if n else " " + part).replace(" ", SPACE))
-        if self.variants > 1:
-            place = (np.arange(len(chunks), dtype=np.uint64) + np.uint64(key & MASK)) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(self.seed * 0xC2B2AE3D27D4EB4F & MASK)
-            place = (place ^ (place >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            drawn = ((place >> np.uint64(33)) % np.uint64(self.variants)).tolist()
-        else:
-            drawn = [0] * len(chunks)
-        for i in literal:
-            drawn[i] = -1
-        return chunks, drawn
+        return chunks, literal
+
+    def _draw(self, own: np.ndarray, turn: int) -> np.ndarray:
+        """How many candidates go by until the next skip, for occurrences named by a number: geometric, by a keyed hash."""
+        if not self.dropout:
+            return np.full(len(own), FAR)
+        x = (own + np.uint64((turn + 1) * 0x9E3779B97F4A7C15 & MASK)) ^ np.uint64(self.seed * 0xC2B2AE3D27D4EB4F & MASK)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        x ^= x >> np.uint64(31)
+        if self.dropout >= 1:
+            return np.zeros(len(own), np.int64)
+        uniform = ((x >> np.uint64(11)).astype(np.float64) + 0.5) / 2**53
+        return np.minimum(np.log(uniform) / np.log1p(-self.dropout), FAR).astype(np.int64)
+
+    def _all_skips(self, own: np.ndarray) -> list[int]:
+        """The skips of occurrences among their first 128 candidates, as bits."""
+        words = np.zeros((2, len(own)), np.uint64)
+        at, turn, open_ = self._draw(own, 0), 0, np.arange(len(own))
+        while True:
+            go = at < 128
+            open_, at = open_[go], at[go]
+            if not len(open_):
+                return [a | b << 64 if b else a for a, b in zip(*words.tolist())]
+            words[at >> 6, open_] |= np.uint64(1) << (at & 63).astype(np.uint64)
+            turn += 1
+            at = at + 1 + self._draw(own[open_], turn)
+
+    def _new(self, chunks: list[str], skips: list[int]) -> list[tuple[bytes, int]]:
+        """Chunks with their skips worked off; the results are remembered."""
+        out = []
+        for first in range(0, len(chunks), 50_000):
+            out += self._work_off(chunks[first : first + 50_000], skips[first : first + 50_000])
+        for c, s, found in zip(chunks, skips, out):
+            s &= (1 << found[1]) - 1
+            self.memory[(c, s) if s else c] = found
+        return out
 
     def encode_many(self, texts: list[str], keys: list[int]) -> list[np.ndarray]:
         """Piece ids of each text; its key names the document, and with the seed decides the draws."""
-        cut = [self._chunks(t, k) if t else ((), ()) for t, k in zip(texts, keys)]
+        cut = [self._chunks(t) if t else ([], []) for t in texts]
+        sizes = [len(c) for c, _ in cut]
+        every = [c for chunks, _ in cut for c in chunks]
+        if not every:
+            return [np.zeros(0, self.kind) for _ in texts]
+        place = np.concatenate([np.arange(n, dtype=np.uint64) for n in sizes])
+        named = np.repeat(np.array([k & MASK for k in keys], np.uint64), sizes)
+        named = (named ^ (named >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        own = (named ^ (named >> np.uint64(29))) + place * np.uint64(0xA0761D6478BD642F)
+        number = {c: n for n, c in enumerate(dict.fromkeys(every))}
+        of = np.fromiter(map(number.__getitem__, every), np.int64, len(every))
         memory, older = self.memory, self.older
-        missing: list[set[str]] = [set() for _ in range(self.variants)]
-        for chunks, drawn in cut:
-            for c, v in zip(chunks, drawn):
-                if c not in memory[v]:
-                    missing[v].add(c)
-        asked = [(c, v) for v, own in enumerate(missing) for c in own]
-        fresh: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-        for v in range(self.variants):
-            fresh[v] = {c: older[v][c] for c in missing[v] if c in older[v]}
-        asked = [(c, v) for c, v in asked if c not in fresh[v]]
-        for at in range(0, len(asked), 50_000):
-            part = asked[at : at + 50_000]
-            for (c, v), found in zip(part, self._segment_many([c for c, _ in part], [v for _, v in part])):
-                fresh[v][c] = found
+        plain = [memory.get(c) or older.get(c) for c in number]
+        new = [n for n, x in enumerate(plain) if x is None]
+        names = list(number)
+        # A chunk that is new and stands once is worked off with its own skips at once, others without skips first.
+        once = np.zeros(len(names), bool)
+        once[new] = True
+        once &= np.bincount(of) == 1
+        once &= np.fromiter(map(len, names), np.int64, len(names)) <= LONG
+        alone = np.flatnonzero(once[of])
+        settled = dict(zip(of[alone].tolist(), self._new([every[i] for i in alone.tolist()], self._all_skips(own[alone]))))
+        for n, found in settled.items():
+            plain[n] = found[0], 0
+        rest = [n for n in new if n not in settled]
+        for n, found in zip(rest, self._new([names[n] for n in rest], [0] * len(rest))):
+            plain[n] = found
+        found = list(map([x for x, _ in plain].__getitem__, of.tolist()))
+        # Occurrences whose next skip falls on a candidate that comes up, round by round: each round has one skip more.
+        came = np.array([n for _, n in plain])[of]
+        at = self._draw(own, 0)
+        open_ = np.flatnonzero(at < came)
+        at, skips, turn = at[open_], [0] * len(open_), 0
+        while len(open_):
+            turn += 1
+            asked = [(every[i], s | 1 << a) for i, s, a in zip(open_.tolist(), skips, at.tolist())]
+            fresh = {k: memory.get(k) or older.get(k) for k in set(asked)}
+            new = [k for k, x in fresh.items() if x is None]
+            fresh.update(zip(new, self._new([c for c, _ in new], [s for _, s in new])))
+            got = [fresh[k] for k in asked]
+            for i, (x, _) in zip(open_.tolist(), got):
+                found[i] = x
+            came = np.array([n for _, n in got])
+            at = at + 1 + self._draw(own[open_], turn)
+            go = np.flatnonzero(at < came)
+            skips = [asked[n][1] for n in go.tolist()]
+            open_, at = open_[go], at[go]
         mark = array(self.code, [self.bytes[b] for b in SPACE.encode()]).tobytes()
-        out = [np.frombuffer(b"".join([mark if v < 0 else memory[v].get(c) or fresh[v][c] for c, v in zip(*own)]), self.kind) for own in cut]
-        for v in range(self.variants):
-            if len(memory[v]) + len(fresh[v]) > MEMORY:
-                older[v], memory[v] = memory[v], {}
-            memory[v].update((c, found) for c, found in fresh[v].items() if len(c) <= LONG)
+        out, first = [], 0
+        for (_, literal), n in zip(cut, sizes):
+            for i in literal:
+                found[first + i] = mark
+            out.append(np.frombuffer(b"".join(found[first : first + n]), self.kind))
+            first += n
+        if len(memory) > MEMORY:
+            self.older, self.memory = {k: v for k, v in memory.items() if len(k if isinstance(k, str) else k[0]) <= LONG}, {}
         return out
 
     def encode(self, text: str, key: int = 0) -> np.ndarray:
@@ -259,21 +330,23 @@ class Codec:
 
 
 @lru_cache(maxsize=4)
-def codec(model_path: str, dropout: float, seed: int, variants: int) -> Codec:
+def codec(model_path: str, dropout: float, seed: int) -> Codec:
     """One codec for all batches that a worker process sees."""
-    return Codec(model_path, dropout, seed, variants)
+    return Codec(model_path, dropout, seed)
 
 
-def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str = MODEL_PATH, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
+def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str = MODEL_PATH, dropout: float = DROPOUT, seed: int = SEED, copy_col: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids, lossless (the pieces decode to the text) of every row.
 
+    ``copy_col`` numbers the copies of a document, from 0; each has draws of its own.
+
     ``model_path`` must be readable on every executor.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(model_path, dropout, seed, variants)
+        own = codec(model_path, dropout, seed)
         for batch in batches:
-            doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
+            doc_ids, texts, copies = (batch.column(c).to_pylist() for c in ("doc_id", "text", "copy"))
             at = 0
             while at < len(texts):
                 first = at
@@ -282,23 +355,33 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     size += len(texts[at] or "")
                     at += 1
                 part = [t or "" for t in texts[first:at]]
-                found = own.encode_many(part, [(d or 0) * 0x5851F42D4C957F2D for d in doc_ids[first:at]])
+                gc.disable()  # millions of tuples, none in a cycle
+                found = own.encode_many(part, [(d or 0) * 0x5851F42D4C957F2D + (n or 0) * 0xD1342543DE82EF95 for d, n in zip(doc_ids[first:at], copies[first:at])])
+                gc.enable()
                 same = [own.decode(f.tolist()) == t for f, t in zip(found, part)]
                 cuts = np.append(0, np.cumsum([len(f) for f in found]))
                 missing = np.array([t is None for t in texts[first:at]])
                 ids = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.concatenate(found).astype(np.int32)), mask=pa.array(missing))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, at - first), pa.array(np.diff(cuts), pa.int64()), ids, pa.array(same)], ["doc_id", "n_tokens", "ids", "lossless"])
 
-    own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    copy = docs[copy_col].cast("long") if copy_col else F.lit(0).cast("long")
+    own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), copy.alias("copy"))
     return own.mapInArrow(encode, "doc_id long, n_tokens long, ids array<int>, lossless boolean")
 
 
+def encode_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``encode_documents`` with draws of its own for every copy of a row; rows are shuffled by id and text, so many rows without id spread."""
+    same = Window.partitionBy("id", F.xxhash64("text")).orderBy("text")
+    own = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
+    return encode_documents(own.withColumn("copy", F.row_number().over(same) - 1), "id", copy_col="copy")
+
+
 def decode_documents(encoded: DataFrame, ids_col: str = "ids", out_col: str = "text", model_path: str = MODEL_PATH) -> DataFrame:
     """``encoded`` with the text of its pieces as ``out_col``."""
 
     @F.pandas_udf("string")
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = codec(model_path, 0.0, 0, 1)
+        own = codec(model_path, 0.0, 0)
         for batch in batches:
             yield batch.map(lambda ids: None if ids is None else own.decode(ids))
 

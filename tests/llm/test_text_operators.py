@@ -283,3 +283,31 @@ def test_weak_secrets_with_their_complements(text, secret):
 )
 def test_weak_secrets_without_their_complements(text):
     assert secrets.scan_text(text)[4] == ""
+
+
+def test_every_occurrence_draws_its_own_skips():
+    own = pieces.Codec(pieces.MODEL_PATH, 0.1, 11)
+    word = " understanding"
+    forms = [tuple(own.encode_many([word[1:]], [k])[0].tolist()) for k in range(4000)]
+    assert len(set(forms)) > 8
+    # as often whole as independent draws leave it: no candidate that comes up is skipped
+    plain, came = own._segment_counted(word.replace(" ", pieces.SPACE), 0)
+    whole = sum(f == tuple(plain) for f in forms) / len(forms)
+    by_chance = random.Random(1)
+    want = 0
+    for _ in range(4000):
+        want += own._segment(word.replace(" ", pieces.SPACE), sum(1 << n for n in range(99) if by_chance.random() < 0.1)) == plain
+    assert came > 2 and abs(whole - want / 4000) < 0.04 and whole > 0.9**came - 0.04
+    # places of one text vary too, and what is remembered changes nothing
+    text = word * 300
+    one = own.encode(text, 7).tolist()
+    assert one == pieces.Codec(pieces.MODEL_PATH, 0.1, 11).encode(text, 7).tolist() and own.decode(one) == text
+    assert one != own.encode(text, 8).tolist()
+
+
+def test_copies_of_a_document_differ(spark):
+    text = "The quick brown fox jumps over the lazy dog, understandingly. " * 20
+    rows = spark.createDataFrame([(1, text)] * 6 + [(None, text)] * 2, "doc_id long, text string")
+    got = pieces.encode_copies(rows).collect()
+    assert len(got) == 8 and all(r.lossless for r in got) and len({tuple(r.ids) for r in got}) == 8
+    assert {tuple(r.ids) for r in pieces.encode_copies(rows.repartition(3)).collect()} == {tuple(r.ids) for r in got}
