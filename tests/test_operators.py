@@ -205,3 +205,24 @@ def test_antimeridian(spark):
     df = spark.range(1).select("id", S.ring((170.0, 0.0), (-170.0, 10.0), (-160.0, 10.0)).alias("l"))
     got = sorted(tiling.split_at_antimeridian(df, "id", "l").collect(), key=lambda r: r.part)
     assert [[(p.x, p.y) for p in r.line] for r in got] == [[(170, 0), (180, 5)], [(-180, 5), (-170, 10), (-160, 10)]]
+
+
+def test_queries_cover_whole_tables(spark):
+    from terraloom import queries
+
+    sf_dir = "/root/testdata/sf0.01"
+    z = {(r.row, r.col): r.value for r in queries.part_raster(spark, sf_dir).collect()}
+    around = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j]
+    want = {k: v if any((k[0] + i, k[1] + j) not in z for i, j in around) else float("inf") for k, v in z.items()}
+    moved = True
+    while moved:
+        moved = False
+        for (i, j), v in want.items():
+            low = max(z[i, j], min(want.get((i + a, j + b), v) for a, b in around))
+            if low < v:
+                want[i, j], moved = low, True
+    assert {(r.row, r.col): r.value for r in queries.fill_sinks(spark, sf_dir).collect()} == want
+    own = {r.id: (r.x, r.y) for r in queries.customers(spark, sf_dir).collect()}
+    got = {r.id: (r.lng, r.lat) for r in queries.laea_everywhere(spark, sf_dir).collect()}
+    assert set(got) == {i for i, p in own.items() if p != (-170, -20)}
+    assert all(min(abs(got[i][0] - own[i][0]), 360 - abs(got[i][0] - own[i][0])) < 2e-3 and abs(got[i][1] - own[i][1]) < 2e-3 for i in got)
