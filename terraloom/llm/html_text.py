@@ -30,8 +30,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from terraloom.llm.common import table
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea|select|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>|([^<]+|<)", re.S | re.I)
-ATTR = re.compile(r"""\b(class|id|role|hidden|aria-label)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+# Every alternative either ends before the next "<" or takes the rest of the page, so no place is read twice.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^<>])*+)(?:>|(?=<)|\Z)|<[!?][^>]*(?:>|\Z)|([^<]+|<)", re.S)
+#: Elements whose content is no markup, with the pattern of their end.
+RAW = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style", "noscript", "template", "svg", "textarea", "select", "iframe")}
+ATTR = re.compile(r"""(?<![\w-])(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+#: What hides an element from readers; quoted values are blanked before the first, so that a word in one doesn't count.
+HIDDEN = re.compile(r"""(?<![\w-])hidden(?![\w-])""", re.I)
+UNSEEN = re.compile(r"""(?<![\w-])(?:style\s*=\s*(?:"[^"]*?(?:display\s*:\s*none|visibility\s*:\s*hidden)|'[^']*?(?:display\s*:\s*none|visibility\s*:\s*hidden))|aria-hidden\s*=\s*["']?true)""", re.I)
+QUOTES = re.compile(r""""[^"]*"|'[^']*'""")
 SPACE = re.compile(r"\s+")
 
 #: Elements that don't end a line.
@@ -57,6 +64,11 @@ def _around(marks: list[str]) -> bool:
     return False
 
 
+def _hidden(attrs: str) -> bool:
+    low = attrs.lower()
+    return ("hidden" in low or "none" in low) and bool(UNSEEN.search(attrs) or HIDDEN.search(QUOTES.sub('""', attrs)))
+
+
 def lines(page: str) -> list[tuple[str, int, int, int]]:
     """The page's lines with text: text, where it stands, its article or main element (0: none), length without links.
 
@@ -78,45 +90,58 @@ def lines(page: str) -> list[tuple[str, int, int, int]]:
             parts.clear()
             in_links = 0
 
-    for m in TOKEN.finditer(page):
-        text = m[5]
+    open_: dict[str, int] = {}  # how many elements of a name are open
+
+    def close() -> str:
+        nonlocal where, region, by_name
+        top, (where, region, by_name) = stack.pop()
+        open_[top] -= 1
+        return top
+
+    at = 0
+    while at < len(page):
+        m = TOKEN.match(page, at)
+        at = m.end()
+        text = m[4]
         if text is not None:
             parts.append(text)
             in_links += len(text) if linked else 0
             continue
-        name = m[3]
+        name = m[2]
         if name is None:
             continue
-        name = name.lower()
+        name, end, attrs = name.lower(), m[1], m[3]
+        if name in RAW:
+            if not end and not attrs.endswith("/"):
+                stop = RAW[name].search(page, at)
+                at = stop.end() if stop else len(page)
+            continue
         if name in INLINE:
             if name == "a":
-                linked = not m[2] and "href" in m[4].lower()
+                linked = not end and "href" in attrs.lower()
             continue
         flush()
         if name in VOID:
             continue
-        if m[2]:
+        if end:
             linked = False
-            if name == "p" or any(n == name for n, _ in stack):
-                while stack:
-                    top, before = stack[-1]
-                    if name == "p" and top != "p":
-                        break
-                    stack.pop()
-                    where, region, by_name = before
-                    if top == name:
-                        break
-        elif not m[4].endswith("/"):
+            if name == "p":
+                if stack and stack[-1][0] == "p":
+                    close()
+            elif open_.get(name):
+                while close() != name:
+                    pass
+        elif not attrs.endswith("/"):
             if name == "p" and stack and stack[-1][0] == "p":
-                where, region, by_name = stack.pop()[1]
+                close()
             stack.append((name, (where, region, by_name)))
+            open_[name] = open_.get(name, 0) + 1
             if where != OUT or by_name:
-                attrs = m[4]
-                marks = " ".join(f"{x or y or z}" for k, x, y, z in ATTR.findall(attrs)).lower().split() if attrs.strip() else []
+                marks = " ".join(x or y or z for _, x, y, z in ATTR.findall(attrs)).lower().split() if "=" in attrs else []
                 own_header = where in (MAIN, INNER) and name == "header"
                 if own_header:
                     marks = [x for x in marks if "header" not in x]
-                if name in NEVER and not own_header:
+                if (name in NEVER and not own_header) or _hidden(attrs):
                     where, by_name = OUT, False
                 elif name in ("body", "html"):
                     pass
