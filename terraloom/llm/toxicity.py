@@ -8,20 +8,27 @@ made deterministic state by state as words come in.  Most words reach its dead
 state within a few letters.  So misspelled terms are caught at the cost of a few
 look-ups for a word.
 
+A word runs from letter to letter, with the digits and the signs * @ $ ! # +
+inside, so ``id1ot`` and ``st*pid`` are one word each.  How far a misspelling
+may go is tested on the labelled sample: a term keeps a distance only if the
+words at that distance are no sign of clean documents.
+
 Each hit is weighed by its distance and by its context: inside quotation marks
 or near a verb of reporting it counts less, near a second person pronoun more.
-The weighed hits of the whole text are the features of a logistic regression,
-fitted on the same labelled documents.
+The weighed hits of the whole text, and the shares of hits that are quoted,
+reported or said to someone, are the features of a logistic regression, fitted
+on the same labelled documents.  A quotation ends on its line, however long.
 
 Bounds: ``per_class`` labelled documents of each class (those of smallest id
-hash) are used for fitting; the lexicon takes up to ``most_words`` candidate
-words.  All documents are scored, whole.  Learned things are small and constant
-in size, and are sent along with the tasks.
+hash) are used for fitting; that sample bounds the lexicon.  Words are known by
+their first 64 letters.  All documents are scored, whole.  Learned things are
+small and constant in size, and are sent along with the tasks.
 
 Null texts count as empty; a text without hits gets the score of the intercept.
 Without labels of both classes, or with too few toxic ones to pass the evidence
 test for any term (about seven), every score is 0.  A null id is never held out.
-Repeated rows get equal scores.  Other columns are ignored.
+Repeated rows get equal scores; where an id repeats with different texts, the
+smallest of them is learned from.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,38 +38,40 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terraloom.llm.common import table
 
-PER_CLASS, MOST_WORDS, STEM, LEAST_ODDS, EVIDENCE, CUT = 5000, 20_000, 4, 15.0, 16.0, 0.7
+PER_CLASS, STEM, LEAST_ODDS, EVIDENCE, CUT = 5000, 4, 15.0, 16.0, 0.7
 CONTEXT_WORDS = 8
+LETTERS = 64
+MEMORY, STATES = 100_000, 50_000  # words and states a task remembers before it starts anew; results don't depend on it
 
-WORD = re.compile(r"[^\W\d_]+")
-QUOTED = re.compile(r"\"[^\"\n]{1,400}\"|“[^”\n]{1,400}”|«[^»\n]{1,400}»|„[^“\n]{1,400}“|‘[^’\n]{1,400}’|^\s*>[^\n]*", re.M)
+WORD = re.compile(r"(?:[$@](?=[^\W\d_]))?[^\W_]+(?:[*@$!#+]+[^\W_]+)*")
+QUOTED = re.compile(r"\"[^\"\n]+\"|“[^“”\n]+”|«[^«»\n]+»|„[^„“\n]+“|‘[^‘’\n]+’|^[ \t]*>[^\n]*", re.M)
 REPORTING = frozenset("said says wrote writes called calls quote quoted quotes word words term terms slur means sagte schrieb wort begriff dijo escribió palabra término dit écrit mot terme".split())
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton vous votre tú ti usted ustedes".split())
 
 
 def allowed(term: str, stem: bool) -> int:
-    """Largest edit distance at which a word still counts as the term."""
+    """Largest edit distance at which a word may count as the term, before it is tested on the sample."""
     n = len(term)
-    return int(n >= 9) if stem else 0 if n < 5 else 1 if n < 9 else 2
+    return int(n >= 5) if stem else 0 if n < 4 else 1 if n < 9 else 2
 
 
 class Automaton:
     """Deterministic intersection of the terms' Levenshtein automata with their trie."""
 
-    def __init__(self, terms: list[tuple[str, bool]]):
-        self.terms = terms
+    def __init__(self, terms: list[tuple]):
+        """``terms``: (term, is a stem) or (term, is a stem, largest distance)."""
+        self.terms = [t if len(t) > 2 else (*t, allowed(*t)) for t in terms]
         self.children: list[dict[str, int]] = [{}]
         self.ends: list[list[int]] = [[]]
         self.most = [0]  # the largest distance that any term below allows
-        for t, (term, stem) in enumerate(terms):
-            node, k = 0, allowed(term, stem)
+        for t, (term, _, k) in enumerate(self.terms):
+            node = 0
             self.most[0] = max(self.most[0], k)
             for c in term:
                 if c not in self.children[node]:
@@ -73,6 +82,10 @@ class Automaton:
                 node = self.children[node][c]
                 self.most[node] = max(self.most[node], k)
             self.ends[node].append(t)
+        self.forget()
+
+    def forget(self) -> None:
+        """Back to the start state and the dead one; the others are made again as words come in."""
         self.states: list[tuple[frozenset, tuple[int, int] | None]] = []
         self.number: dict = {}
         self.steps: list[dict[str, int]] = []
@@ -92,8 +105,8 @@ class Automaton:
         whole = stem_hit
         for node, d in places.items():
             for t in self.ends[node]:
-                term, stem = self.terms[t]
-                if d <= allowed(term, stem):
+                _, stem, most = self.terms[t]
+                if d <= most:
                     whole = min(whole or (99, 0), (d, t))
                     if stem:
                         stem_hit = min(stem_hit or (99, 0), (d, t))
@@ -136,32 +149,36 @@ class Automaton:
 class Scanner:
     """Turns a text into features with an automaton and a memory of words."""
 
-    def __init__(self, terms: list[tuple[str, bool]]):
+    def __init__(self, terms: list[tuple]):
         self.automaton = Automaton(terms)
         self.memory: dict[str, tuple[int, int] | None] = {}
 
     def hits(self, words: list[str]) -> dict[str, tuple[int, int]]:
         memory, out = self.memory, {}
-        if len(memory) > 300_000:
-            memory.clear()
         for w in set(words):
             if w in memory:
                 hit = memory[w]
             else:
-                hit = memory[w] = self.automaton.match(w)
+                if len(memory) >= MEMORY:
+                    memory.clear()
+                if len(self.automaton.states) >= STATES:
+                    self.automaton.forget()
+                hit = self.automaton.match(w[:LETTERS])
+                if len(w) <= LETTERS:
+                    memory[w] = hit
             if hit is not None:
                 out[w] = hit
         return out
 
     def features(self, text: str | None) -> list[float]:
-        """log weighed hits, log weighed misspelled hits, any hit, weighed hits for 100 words, share of quoted hits."""
+        """log weighed hits, log weighed misspelled hits, any hit, weighed hits for 100 words, shares of quoted, reported and addressed hits."""
         lower = (text or "").lower()
         words = WORD.findall(lower)
         hit = self.hits(words)
         if not hit:
-            return [0.0] * 5
+            return [0.0] * 7
         quoted = [(m.start(), m.end()) for m in QUOTED.finditer(lower)]
-        exact = fuzzy = in_quotes = n = 0.0
+        exact = fuzzy = in_quotes = reported = addressed = n = 0.0
         q = 0
         for i, m in enumerate(WORD.finditer(lower)):
             found = hit.get(m[0])
@@ -174,8 +191,10 @@ class Scanner:
             weight = 1.0 - 0.7 * inside
             if not REPORTING.isdisjoint(window):
                 weight -= 0.2
+                reported += 1
             if not SECOND_PERSON.isdisjoint(window):
                 weight += 0.2
+                addressed += 1
             weight /= 1 + found[0]
             n += 1
             in_quotes += inside
@@ -183,7 +202,7 @@ class Scanner:
                 fuzzy += weight
             else:
                 exact += weight
-        return [math.log1p(exact), math.log1p(fuzzy), min(1.0, exact), (exact + fuzzy) * 100 / len(words), in_quotes / n]
+        return [math.log1p(exact), math.log1p(fuzzy), min(1.0, exact), (exact + fuzzy) * 100 / len(words), in_quotes / n, reported / n, addressed / n]
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_class: int) -> DataFrame:
@@ -195,7 +214,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     one = one.join(here, "id", "left_semi")
     some = [one.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_class) for y in (0, 1)]
     texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-    return texts.join(F.broadcast(some[0].union(some[1])), "id").dropDuplicates(["id"])  # at most 2 * per_class ids
+    return texts.join(F.broadcast(some[0].union(some[1])), "id").groupBy("id", "y").agg(F.min("text").alias("text"))  # at most 2 * per_class ids
 
 
 def held_out(key):
@@ -203,24 +222,25 @@ def held_out(key):
     return F.coalesce(F.crc32(key.cast("string")) % 3 == 1, F.lit(False))
 
 
-def learn_terms(train: DataFrame, least_odds: float = LEAST_ODDS, evidence: float = EVIDENCE, most_words: int = MOST_WORDS) -> list[tuple[str, bool]]:
-    """Words and stems that mark toxic documents: (term, is a stem).
+def learn_terms(train: DataFrame, least_odds: float = LEAST_ODDS, evidence: float = EVIDENCE) -> list[tuple[str, bool, int]]:
+    """Words and stems that mark toxic documents: (term, is a stem, largest distance of a misspelling).
 
     A stem must raise the odds of the toxic class by ``least_odds``, and so many
     of its documents must be toxic that chance would do it with probability
-    exp(-``evidence``) at most (Chernoff bound); equal texts count once.
+    exp(-``evidence``) at most (Chernoff bound); equal texts count once.  Words
+    of fewer than four letters are stems of their own.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: dict[str, list[int]] = {}
             for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist()):
-                for w in set(WORD.findall((text or "").lower())):
-                    if STEM <= len(w) <= 40:
+                for w in {w[:LETTERS] for w in WORD.findall((text or "").lower())}:
+                    if len(w) > 1:
                         seen.setdefault(w, [0, 0])[y] += 1
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([c[1] for c in seen.values()], pa.int64()), pa.array([c[0] for c in seen.values()], pa.int64())], ["word", "toxic", "clean"])
 
-    train = train.dropDuplicates(["text"])
+    train = train.groupBy("text").agg(F.max("y").alias("y"))
     sizes = {r["y"]: r["count"] for r in train.groupBy("y").count().collect()}
     if len(sizes) < 2:
         return []
@@ -231,10 +251,10 @@ def learn_terms(train: DataFrame, least_odds: float = LEAST_ODDS, evidence: floa
     chance = n * F.log(n / (n + m) / share) + F.when(m > 0, m * F.log(m / (n + m) / (1 - share))).otherwise(0.0)
     stems = words.groupBy(F.substring("word", 1, STEM).alias("stem")).agg(F.sum("toxic").alias("n"), F.sum("clean").alias("m"))
     stems = stems.where(n > 0).where((odds >= least_odds) & (chance >= evidence))
-    chosen = stems.orderBy(F.desc("n"), "stem").limit(512)
-    rows = words.withColumn("stem", F.substring("word", 1, STEM)).join(F.broadcast(chosen.select("stem")), "stem").where("toxic > 0").orderBy(F.desc("toxic"), "word").limit(most_words).collect()
+    # words of a bounded sample, and of these only those of the stems that passed
+    rows = words.withColumn("stem", F.substring("word", 1, STEM)).join(stems.select("stem"), "stem", "left_semi").where("toxic > 0").collect()
     by_stem: dict[str, dict[str, int]] = {}
-    for r in rows:
+    for r in sorted(rows, key=lambda r: r["word"]):
         by_stem.setdefault(r["stem"], {})[r["word"]] = r["toxic"]
     terms = []
     for stem, own in sorted(by_stem.items()):
@@ -249,7 +269,33 @@ def learn_terms(train: DataFrame, least_odds: float = LEAST_ODDS, evidence: floa
                 break
             at = best
         terms.append((at, own.get(at, 0) < 0.9 * total))
-    return terms
+    return _tested(train, terms, sizes, least_odds)
+
+
+def _tested(train: DataFrame, terms: list[tuple[str, bool]], sizes: dict[int, int], least_odds: float) -> list[tuple[str, bool, int]]:
+    """The terms with the distances that the sample bears out: words at a distance mustn't stand in clean documents as unlike the term itself."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = Scanner(terms)
+        for batch in batches:
+            seen: dict[tuple[int, int], list[int]] = {}
+            for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist()):
+                for d, t in set(scanner.hits(WORD.findall((text or "").lower())).values()):
+                    seen.setdefault((t, d), [0, 0])[y] += 1
+            yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in seen], pa.int32()) for i in (0, 1)] + [pa.array([c[i] for c in seen.values()], pa.int64()) for i in (0, 1)], ["term", "distance", "clean", "toxic"])
+
+    found = train.select("text", "y").mapInArrow(count, "term int, distance int, clean long, toxic long").groupBy("term", "distance").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).collect()  # three rows a term at most
+    counts = {(r["term"], r["distance"]): (r["clean"], r["toxic"]) for r in found}
+    out = []
+    for t, (term, stem) in enumerate(terms):
+        most = 0
+        for d in range(1, allowed(term, stem) + 1):
+            clean, toxic = counts.get((t, d), (0, 0))
+            if clean and (toxic + 0.5) / (sizes[1] + 1) < least_odds * (clean + 0.5) / (sizes[0] + 1):
+                break
+            most = d
+        out.append((term, stem, most))
+    return out
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -269,7 +315,7 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 class Model:
     """Terms and weights; small, and the same size whatever the corpus."""
 
-    def __init__(self, terms: list[tuple[str, bool]], weights: list[float]):
+    def __init__(self, terms: list[tuple[str, bool, int]], weights: list[float]):
         self.terms, self.weights = terms, weights
 
     def scorer(self):
@@ -317,15 +363,14 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
 
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text isn't predicted toxic, unchanged."""
+    """The rows of ``docs`` whose text isn't predicted toxic, unchanged, all columns in their order; null and empty texts are judged like any."""
 
-    @F.pandas_udf("double")
-    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = model.scorer()
-        for batch in texts:
-            yield batch.map(of)
+        for batch in batches:
+            yield batch.filter(pa.array([of(t.as_py()) < CUT for t in batch.column(text_col)], pa.bool_()))
 
-    return docs.where(score(docs[text_col]) < CUT)
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
