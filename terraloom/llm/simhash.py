@@ -19,6 +19,18 @@ combined minimum, with a checkpoint after each.
 Random fingerprints meet by chance in about 7e-6 of all pairs, each costing one
 bit count in the join.
 
+``near_texts`` serves a wider reach, as similar texts need: its fingerprints have
+128 bits, of the set of word pairs, and its segments are single bits, whose
+counts are the bits themselves (wider segments lose more than they merge at
+this reach).  The grid is laid over ``TABLES`` drawn subsets of segments; texts
+that share a cell of one are at Manhattan distance zero there, a lower bound of
+theirs, and meet.  What meets is tested for the exact Hamming distance, then
+for the exact Jaccard similarity of the sets of five-word shingles.  Two texts
+of similarity 0.8 share a cell with probability of about 0.97, closer ones with
+more.  In a cell all texts first meet its smallest only; after that, pairs that
+are in one component already are left out, so a large group of near copies
+makes pairs in proportion to its size, and no link between components is lost.
+
 Null and empty texts have fingerprint zero and link like any other.  Null ids
 get a fingerprint and the smallest id of their component, if there is one.
 Repeated rows give repeated results.  Other columns are ignored.  An empty
@@ -37,11 +49,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terraloom.llm.common import cut, table
+from terraloom.plans.components import connected_components as components
 
 SEED, SHINGLE, REACH = 42, 3, 3
 LOW_BITS = 0x5555555555555555
 HALF_SEGMENTS = 16
 CHUNK = 1 << 16
+TABLES, CELL_BITS, WIDE_BITS, WIDE_REACH = 48, 20, 128, 28
+SIMILAR, WORDS = 0.8, 5
 
 
 def fingerprint(text: str | None) -> int:
@@ -116,29 +131,6 @@ def links(distinct: DataFrame, reach: int = REACH) -> DataFrame:
     return pairs.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """From edges (u, v): node, root (the smallest node of its component)."""
-    edges = cut(edges.select("u", "v").where("u != v"))
-    state = None
-    for _ in range(most_rounds):
-        # large-star: the larger neighbours of a node get the smallest of its neighbourhood
-        both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # small-star: a node and its smaller neighbours get the smallest of these
-        low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), "m")
-        small = large.join(low, F.col("u") == F.col("c")).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        small = small.union(low.select(F.col("c").alias("u"), F.col("m").alias("v"))).where("u != v").distinct()
-        edges = cut(small)
-        now = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if now == state:
-            break
-        state = now
-    else:
-        raise RuntimeError(f"components didn't settle in {most_rounds} rounds")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH) -> DataFrame:
     """doc_id, fp, component_id for every row of ``docs``."""
     own = cut(fingerprints(docs, id_col, text_col))
@@ -150,20 +142,134 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return own.join(named, F.col("fp") == F.col("of_fp")).select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH) -> DataFrame:
-    """The rows of ``docs`` without those that have a near duplicate with a smaller id in their component.
+def wide_sketch(text: str | None) -> tuple[int, int, int, int, bool]:
+    """Key of the words of a text (two longs), its 128-bit SimHash of the set of word pairs (two longs), and whether it has words."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    signed = lambda raw: np.frombuffer(raw, "<i8").tolist()
+    key = signed(xxhash.xxh3_128_digest(b" ".join(words), SEED))
+    if not words:
+        return (*key, 0, 0, False)
+    pairs = list({a + b" " + b for a, b in zip(words, words[1:])} or {words[0]})
+    counts = np.zeros(WIDE_BITS, np.int64)
+    for at in range(0, len(pairs), CHUNK):
+        raw = b"".join([xxhash.xxh3_128_digest(x) for x in pairs[at : at + CHUNK]])
+        counts += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, WIDE_BITS // 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return (*key, *signed(np.packbits(counts * 2 > len(pairs), bitorder="little").tobytes()), True)
+
+
+def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
+    """Hashes of the distinct shingles of a text (fewer words: of the whole sequence; none: empty)."""
+    own = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not own:
+        return np.zeros(0, np.int64)
+    ends = list(accumulate(len(w) + 1 for w in own))
+    starts, joined, digest = [0, *ends], b" ".join(own), xxhash.xxh3_64_intdigest
+    n = max(1, len(own) - words + 1)
+    hashes = {digest(joined[starts[i] : ends[min(i + words, len(own)) - 1] - 1]) for i in range(n)}
+    return np.fromiter(hashes, np.uint64, len(hashes)).view(np.int64)
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each table: cell (with the table's number), node, f1, f2."""
+    rng = np.random.default_rng(SEED)
+    drawn = np.stack([rng.choice(WIDE_BITS, CELL_BITS, replace=False) for _ in range(TABLES)])
+    weigh = 1 << np.arange(CELL_BITS, dtype=np.int64)
+    for batch in batches:
+        node, f1, f2 = (batch.column(c).to_numpy() for c in ("node", "f1", "f2"))
+        bits = np.unpackbits(np.stack([f1, f2], axis=1).astype("<i8").view(np.uint8), axis=1, bitorder="little")
+        for t in range(TABLES):
+            cell = bits[:, drawn[t]].astype(np.int64) @ weigh | t << CELL_BITS
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (cell, node, f1, f2)], ["cell", "node", "f1", "f2"])
+
+
+def _hamming(other: str) -> Column:
+    return F.bit_count(F.col("f1").bitwiseXOR(F.col(f"{other}1"))) + F.bit_count(F.col("f2").bitwiseXOR(F.col(f"{other}2")))
+
+
+def similar_pairs(pairs: DataFrame, texts: DataFrame, words: int = WORDS, similar: float = SIMILAR) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose texts (node, text) have shingle sets of at least that Jaccard similarity, as (u, v)."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [shingle_set(t.as_py(), words) for t in batch.column("text")]
+            cuts = np.append(0, np.cumsum([len(x) for x in own]))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *own])))], ["node", "set"])
 
-    Of repeated rows of one id one stays; rows with a null id all stay.
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    known = texts.join(asked, "node", "left_semi").mapInArrow(sets, "node long, set array<long>").dropDuplicates(["node"])
+    both = pairs.join(known.toDF("a", "sa"), "a").join(known.toDF("b", "sb"), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    # as a quotient, like the definition
+    return both.where(common / (F.size("sa") + F.size("sb") - common) >= similar).select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
+def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similar: float = SIMILAR, reach: int = WIDE_REACH) -> DataFrame:
+    """doc_id, component_id: the smallest id reachable by links between texts whose shingle sets are similar.
+
+    Texts of the same words (letter case aside) are one node, known by its
+    smallest id, so copies make no pairs; texts without words link to each
+    other only.  Rows of one id count as one document; rows with a null id
+    don't come out.  Empty tables give an empty result.
     """
-    found = near_duplicates(docs, id_col, text_col, reach)
-    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias("gone_id")).distinct()
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [wide_sketch(t.as_py()) for t in batch.column("text")]
+            columns = list(zip(*rows)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.bool_())], ["doc_id", "k1", "k2", "f1", "f2", "some"])
+
+    own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).where("doc_id IS NOT NULL")
+    sketches = cut(own.mapInArrow(sketch, "doc_id long, k1 long, k2 long, f1 long, f2 long, some boolean"))
+    nodes = cut(sketches.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.min("f1").alias("f1"), F.min("f2").alias("f2"), F.max("some").alias("some")))
+    index = cut(nodes.where("some").select("node", "f1", "f2").mapInArrow(_cells, "cell long, node long, f1 long, f2 long"))
+    texts = own.withColumnRenamed("doc_id", "node")
+
+    def shared(cells: DataFrame, label: str) -> DataFrame:
+        """Cells with more than one label, and the smallest."""
+        return cells.groupBy("cell").agg(F.min(label).alias("head"), F.max(label).alias("last")).where("head < last").select(F.col("cell").alias("at"), "head")
+
+    prints = nodes.where("some").groupBy("node").agg(F.min("f1").alias("h1"), F.min("f2").alias("h2")).withColumnRenamed("node", "h")
+    met = index.join(shared(index, "node"), F.col("cell") == F.col("at")).where("node != head").select("node", "f1", "f2", "head").distinct()
+    first = met.join(prints, F.col("head") == F.col("h")).where(_hamming("h") <= reach).select(F.col("node").alias("b"), F.col("head").alias("a")).distinct()
+    links = cut(similar_pairs(first, texts, words, similar))
+    parts = components(links)
+    named = cut(index.join(parts.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("cell", "node", "f1", "f2", F.coalesce("root", "node").alias("part")))
+    left = named.join(shared(named, "part").select("at"), F.col("cell") == F.col("at"), "left_semi")
+    other = left.toDF("cell_b", "b", "h1", "h2", "part_b")
+    rest = left.join(other, (F.col("cell") == F.col("cell_b")) & (F.col("part") < F.col("part_b")) & (_hamming("h") <= reach)).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+    rest = rest.join(first.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")), (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti")
+    parts = components(links.union(cut(similar_pairs(rest, texts, words, similar))))
+    of_text = nodes.join(parts.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select(F.col("k1").alias("t1"), F.col("k2").alias("t2"), F.coalesce("root", "node").alias("component_id"))
+    return sketches.join(of_text, (F.col("k1") == F.col("t1")) & (F.col("k2") == F.col("t2"))).select("doc_id", "component_id")
+
+
+def _without(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``docs`` whose id isn't in ``gone`` (gone_id), one of each id, and all with a null id."""
     names = docs.columns
     whole = F.struct(*[docs[c] for c in names])
     rows = docs.select(docs[id_col].cast("long").alias("key"), whole.alias("row"), F.xxhash64(*[docs[c] for c in names]).alias("hash"), F.when(docs[id_col].isNull(), F.monotonically_increasing_id()).alias("alone"))
-    left = rows.join(gone, F.col("key") == F.col("gone_id"), "left_anti")
+    left = rows.join(gone.distinct(), F.col("key") == F.col("gone_id"), "left_anti")
     same_id = Window.partitionBy("key", "alone").orderBy("hash")
     return left.withColumn("nth", F.row_number().over(same_id)).where("nth = 1").select(*[F.col("row").getField(c).alias(c) for c in names])
 
 
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH) -> DataFrame:
+    """The rows of ``docs`` without those that have a near duplicate with a smaller id in their component.
+
+    Of repeated rows of one id one stays; rows with a null id all stay.
+    """
+    found = near_duplicates(docs, id_col, text_col, reach)
+    return _without(docs, found.where("doc_id != component_id").select(F.col("doc_id").alias("gone_id")), id_col)
+
+
+def keep_first_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similar: float = SIMILAR) -> DataFrame:
+    """The rows of ``docs`` without those that ``near_texts`` links to a smaller id.
+
+    Of repeated rows of one id one stays; rows with a null id all stay.
+    """
+    found = near_texts(docs, id_col, text_col, words, similar)
+    return _without(docs, found.where("doc_id != component_id").select(F.col("doc_id").alias("gone_id")), id_col)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
