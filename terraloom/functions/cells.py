@@ -57,9 +57,13 @@ def geohash_center(hash_) -> tuple[Column, Column]:
 
 def geohash_neighbor(hash_, dx: int, dy: int, precision: int) -> Column:
     """The cell dx to the east and dy to the north; empty past a pole."""
-    b = geohash_bounds(hash_)
-    lng, lat = (b.west + b.east) / 2 + dx * (b.east - b.west), (b.south + b.north) / 2 + dy * (b.north - b.south)
-    return F.when(F.abs(lat) > 90, F.lit("")).otherwise(geohash(F.pmod(lng + 180, F.lit(360.0)) - 180, lat, precision))
+
+    def move(b):
+        lng, lat = (b["west"] + b["east"]) / 2 + dx * (b["east"] - b["west"]), (b["south"] + b["north"]) / 2 + dy * (b["north"] - b["south"])
+        place = F.struct((F.pmod(lng + 180, F.lit(360.0)) - 180).alias("lng"), lat.alias("lat"))
+        return let(place, lambda p: F.when(F.abs(p["lat"]) > 90, F.lit("")).otherwise(geohash(p["lng"], p["lat"], precision)))
+
+    return let(geohash_bounds(hash_), move)
 
 
 def s2_face_ij(lng, lat, level: int = 30) -> Column:
@@ -122,3 +126,91 @@ def s2_level(token) -> Column:
 
 def s2_children(token) -> Column:
     return F.array(*[F.concat(c(token), F.lit(str(d))) for d in range(4)])
+
+
+# The published 64-bit form: three bits of face, two a level, a one, zeros.
+
+
+def s2_cell(lng, lat, level: int = 30) -> Column:
+    """Cell id as a long (ids of the faces 4 and 5 are negative)."""
+
+    def number(f):
+        start = F.struct(F.lit(0).cast("long").alias("pos"), (f["face"] % 2).cast("int").alias("turn"))
+
+        def step(s, k):
+            a, b = (F.call_function("shiftright", f[n], k.cast("int")).bitwiseAND(F.lit(1)).cast("int") for n in "ij")
+            inv, swap = F.call_function("shiftright", s["turn"], F.lit(1)), s["turn"].bitwiseAND(F.lit(1)) == 1
+
+            def digit(q):
+                d = F.when(q["p"] == 0, q["q"]).otherwise(3 - q["q"])
+                change = F.when(d == 0, 1).when(d == 3, 3).otherwise(0)
+                return F.struct((s["pos"] * 4 + d).alias("pos"), s["turn"].bitwiseXOR(change).cast("int").alias("turn"))
+
+            return let(F.struct(F.when(swap, b).otherwise(a).bitwiseXOR(inv).alias("p"), F.when(swap, a).otherwise(b).bitwiseXOR(inv).alias("q")), digit)
+
+        pos = F.aggregate(F.sequence(F.lit(level - 1), F.lit(0)), start, step)["pos"] if level else F.lit(0).cast("long")
+        face = F.shiftleft(f["face"].cast("long"), 61)
+        return face.bitwiseOR(F.shiftleft(pos, 61 - 2 * level)).bitwiseOR(F.lit(1 << 60 - 2 * level))
+
+    return let(s2_face_ij(lng, lat, level), number)
+
+
+def _lowest(cell) -> Column:
+    return c(cell).bitwiseAND(F.negate(c(cell)))
+
+
+def s2_cell_level(cell) -> Column:
+    return (30 - F.bit_count(_lowest(cell) - 1) / 2).cast("int")
+
+
+def s2_cell_face(cell) -> Column:
+    return F.shiftrightunsigned(c(cell), 61).cast("int")
+
+
+def s2_cell_parent(cell, level: int) -> Column:
+    last = F.lit(1 << 60 - 2 * level)
+    return c(cell).bitwiseAND(F.negate(last)).bitwiseOR(last)
+
+
+def s2_cell_children(cell) -> Column:
+    """The four cells of the next level, in the order of the curve; null for a leaf."""
+    step = F.shiftrightunsigned(_lowest(cell), 2)
+    return F.when(step > 0, F.array(*[c(cell) - _lowest(cell) + step * k for k in (1, 3, 5, 7)]))
+
+
+def s2_cell_center(cell) -> tuple[Column, Column]:
+    """(lng, lat) of a cell's middle."""
+
+    def decode(cell):
+        level, face = s2_cell_level(cell), s2_cell_face(cell)
+        start = F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), (face % 2).cast("int").alias("turn"))
+
+        def step(s, k):
+            def turned(d):
+                inv, swap = F.call_function("shiftright", s["turn"], F.lit(1)), s["turn"].bitwiseAND(F.lit(1)) == 1
+                p = F.when(d >= 2, 1).otherwise(0).bitwiseXOR(inv)
+                q = F.when((d == 1) | (d == 2), 1).otherwise(0).bitwiseXOR(inv)
+                change = F.when(d == 0, 1).when(d == 3, 3).otherwise(0)
+                i, j = F.when(swap, q).otherwise(p), F.when(swap, p).otherwise(q)
+                return F.struct((s["i"] * 2 + i).alias("i"), (s["j"] * 2 + j).alias("j"), s["turn"].bitwiseXOR(change).cast("int").alias("turn"))
+
+            digit = F.call_function("shiftrightunsigned", cell, (61 - 2 * k).cast("int")).bitwiseAND(F.lit(3)).cast("int")
+            return F.when(k <= level, let(digit, turned)).otherwise(s)
+
+        def place(s):
+            side = F.pow(F.lit(2.0), level)
+            uv = lambda n: let((s[n] + 0.5) / side, lambda t: F.when(t >= 0.5, (4 * t * t - 1) / 3).otherwise((1 - 4 * (1 - t) * (1 - t)) / 3))
+
+            def lifted(q):
+                u, v, one = q["u"], q["v"], F.lit(1.0)
+                x = F.when(face == 0, one).when((face == 1) | (face == 2), -u).when(face == 3, -one).otherwise(v)
+                y = F.when(face == 0, u).when(face == 1, one).when((face == 2) | (face == 3), -v).when(face == 4, -one).otherwise(u)
+                z = F.when((face == 0) | (face == 1), v).when(face == 2, one).when((face == 3) | (face == 4), -u).otherwise(-one)
+                return F.struct(F.degrees(F.atan2(y, x)).alias("lng"), F.degrees(F.atan2(z, F.hypot(x, y))).alias("lat"))
+
+            return let(F.struct(uv("i").alias("u"), uv("j").alias("v")), lifted)
+
+        return let(F.aggregate(F.sequence(F.lit(1), F.lit(30)), start, step), place)
+
+    out = let(c(cell), decode)
+    return out["lng"], out["lat"]

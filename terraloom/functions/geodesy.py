@@ -106,6 +106,49 @@ def ellipsoid_distance(lng1, lat1, lng2, lat2, rounds: int = 12) -> Column:
     return let(u, solve)
 
 
+def ellipsoid_destination(lng, lat, bearing, metres, rounds: int = 8) -> tuple[Column, Column, Column]:
+    """(lng, lat, final bearing) after ``metres`` along a geodesic of the ellipsoid, by the direct iteration on the auxiliary sphere."""
+    t = F.radians(c(bearing))
+    u = F.atan((1 - FLAT) * F.tan(F.radians(c(lat))))
+    start = F.struct(F.sin(u).alias("su"), F.cos(u).alias("cu"), F.atan2(F.tan(u), F.cos(t)).alias("s1"), (F.cos(u) * F.sin(t)).alias("sa"), F.sin(t).alias("st"), F.cos(t).alias("ct"))
+
+    def solve(q):
+        ca2 = 1 - q["sa"] * q["sa"]
+        v = ca2 * EP2
+        aa = 1 + v / 16384 * (4096 + v * (-768 + v * (320 - 175 * v)))
+        bb = v / 1024 * (256 + v * (-128 + v * (74 - 47 * v)))
+        base = c(metres) / (B * aa)
+
+        def step(s, _):
+            cm, ss, cs = F.cos(2 * q["s1"] + s), F.sin(s), F.cos(s)
+            return base + bb * ss * (cm + bb / 4 * (cs * (2 * cm * cm - 1) - bb / 6 * cm * (4 * ss * ss - 3) * (4 * cm * cm - 3)))
+
+        def end(s):
+            ss, cs, cm = F.sin(s), F.cos(s), F.cos(2 * q["s1"] + s)
+            x = q["su"] * ss - q["cu"] * cs * q["ct"]
+            lat2 = F.atan2(q["su"] * cs + q["cu"] * ss * q["ct"], (1 - FLAT) * F.hypot(q["sa"], x))
+            lam = F.atan2(ss * q["st"], q["cu"] * cs - q["su"] * ss * q["ct"])
+            k = FLAT / 16 * ca2 * (4 + FLAT * (4 - 3 * ca2))
+            turn = lam - (1 - k) * FLAT * q["sa"] * (s + k * ss * (cm + k * cs * (2 * cm * cm - 1)))
+            return F.struct(F.degrees(turn).alias("d"), F.degrees(lat2).alias("lat"), F.pmod(F.degrees(F.atan2(q["sa"], -x)) + 360, F.lit(360.0)).alias("final"))
+
+        return let(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), base, step), end)
+
+    out = let(start, solve)
+    return c(lng) + out["d"], out["lat"], out["final"]
+
+
+def closest_on_ellipsoid(x, y, z) -> tuple[Column, Column, Column, Column]:
+    """(x, y, z) of the foot point on the ellipsoid, and the height above it (below: negative)."""
+    lng, lat, h = from_ecef(x, y, z, 8)
+    return (*to_ecef(lng, lat, F.lit(0.0)), h)
+
+
+def rtc_offset(x, y, z, x0, y0, z0) -> tuple[Column, Column, Column]:
+    """Position relative to a centre, in single precision."""
+    return tuple((c(v) - c(o)).cast("float") for v, o in ((x, x0), (y, y0), (z, z0)))
+
+
 def to_ecef(lng, lat, h) -> tuple[Column, Column, Column]:
     p, lam = F.radians(c(lat)), F.radians(c(lng))
     n = A / F.sqrt(1 - E2 * F.sin(p) * F.sin(p))

@@ -20,6 +20,36 @@ BETA = (N / 2 - 2 * N**2 / 3 + 37 * N**3 / 96, N**2 / 48 + N**3 / 15, 17 * N**3
 DELTA = (2 * N - 2 * N**2 / 3 - 2 * N**3, 7 * N**2 / 3 - 8 * N**3 / 5, 56 * N**3 / 15)
 
 
+def spherical_y(lat) -> Column:
+    """Mercator y of the unit sphere (radians)."""
+    return F.asinh(F.tan(F.radians(c(lat))))
+
+
+def from_spherical_y(y) -> Column:
+    return F.degrees(F.atan(F.sinh(c(y))))
+
+
+def ellipsoidal_y(lat) -> Column:
+    """Mercator y of the ellipsoid, in units of its half axis."""
+    e, s = math.sqrt(G.E2), F.sin(F.radians(c(lat)))
+    return F.atanh(s) - e * F.atanh(e * s)
+
+
+def from_ellipsoidal_y(y, rounds: int = 8) -> Column:
+    e = math.sqrt(G.E2)
+    step = lambda s, _: F.tanh(c(y) + e * F.atanh(e * s))
+    return F.degrees(F.asin(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.tanh(c(y)), step)))
+
+
+def spherical_to_ellipsoidal_lat(lat) -> Column:
+    """Latitude on the ellipsoid with the same Mercator y."""
+    return from_ellipsoidal_y(spherical_y(lat))
+
+
+def ellipsoidal_to_spherical_lat(lat) -> Column:
+    return from_spherical_y(ellipsoidal_y(lat))
+
+
 def utm_zone(lng) -> Column:
     return (F.floor((c(lng) + 180) / 6) + 1).cast("int")
 
@@ -90,7 +120,7 @@ def from_laea(x, y, lng0: float = 0.0, lat0: float = 0.0) -> tuple[Column, Colum
     lng = lng0 + F.degrees(F.atan2(c(x) * F.sin(ang), rho * F.cos(b0) * F.cos(ang) - c(y) * F.sin(b0) * F.sin(ang)))
     e4, e6 = G.E2**2, G.E2**3
     lat = beta + (G.E2 / 3 + 31 * e4 / 180 + 517 * e6 / 5040) * F.sin(2 * beta) + (23 * e4 / 360 + 251 * e6 / 3780) * F.sin(4 * beta) + 761 * e6 / 45360 * F.sin(6 * beta)
-    return lng, F.degrees(lat)
+    return F.pmod(lng + 180, F.lit(360.0)) - 180, F.degrees(lat)
 
 
 # Fixed values of the GCJ-02 and BD-09 systems.

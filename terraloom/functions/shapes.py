@@ -183,6 +183,142 @@ def clip_ring(r, west, south, east, north) -> Column:
     return F.aggregate(sides, c(r).cast(RING), cut)
 
 
+def clip_convex(r, by) -> Column:
+    """A ring cut by the half planes of a convex ring (given in either turn), one after the other."""
+
+    def cut_all(by):
+        turn = F.when(signed_area(by) < 0, -1.0).otherwise(1.0)
+
+        def cut(line, side):
+            inside = lambda p: turn * _turn(side.a.x, side.a.y, side.b.x, side.b.y, p.x, p.y)
+            none = F.array().cast(RING)
+
+            def keep(e):
+                t = F.coalesce(div(inside(e.a), inside(e.a) - inside(e.b)), F.lit(0.0))
+                mid = point(e.a.x + t * (e.b.x - e.a.x), e.a.y + t * (e.b.y - e.a.y))
+                return F.concat(F.when((inside(e.a) >= 0) != (inside(e.b) >= 0), F.array(mid)).otherwise(none), F.when(inside(e.b) >= 0, F.array(e.b)).otherwise(none))
+
+            return F.when(F.size(line) == 0, line).otherwise(F.flatten(F.transform(edges(line, True), keep)))
+
+        return F.aggregate(edges(by, True), c(r).cast(RING), cut)
+
+    return let(c(by).cast(RING), cut_all)
+
+
+def split_ring(r, x0, y0, x1, y1) -> tuple[Column, Column]:
+    """Parts of a ring left and right of a line; a line without length leaves all on the left.  Pieces of a side stay joined along the line."""
+    x0, y0, x1, y1 = (c(v).cast("double") for v in (x0, y0, x1, y1))
+    none = F.array().cast(RING)
+
+    def half(sign: float):
+        inside = lambda p: sign * _turn(x0, y0, x1, y1, p.x, p.y)
+
+        def keep(e):
+            t = F.coalesce(div(inside(e.a), inside(e.a) - inside(e.b)), F.lit(0.0))
+            mid = point(e.a.x + t * (e.b.x - e.a.x), e.a.y + t * (e.b.y - e.a.y))
+            return F.concat(F.when((inside(e.a) >= 0) != (inside(e.b) >= 0), F.array(mid)).otherwise(none), F.when(inside(e.b) >= 0, F.array(e.b)).otherwise(none))
+
+        return F.flatten(F.transform(edges(r, True), keep))
+
+    flat = (x0 == x1) & (y0 == y1)
+    return F.when(flat, c(r).cast(RING)).otherwise(half(1.0)), F.when(flat, none).otherwise(half(-1.0))
+
+
+# Overlays of a ring with a convex one.  Polygons are arrays of rings.
+
+
+def intersection(a, b) -> Column:
+    """Common ring of a ring and a convex ring, null if they have no area in common."""
+    return let(clip_convex(a, b), lambda r: F.when(F.abs(signed_area(r)) > 0, r))
+
+
+def union(a, b) -> Column:
+    """Both rings as polygons, not dissolved; ``union_area`` counts what they share once."""
+    return F.array(F.array(c(a).cast(RING)), F.array(c(b).cast(RING)))
+
+
+def _common_area(a, b) -> Column:
+    return F.coalesce(F.abs(signed_area(clip_convex(a, b))), F.lit(0.0))
+
+
+def union_area(a, b) -> Column:
+    return F.abs(signed_area(a)) + F.abs(signed_area(b)) - _common_area(a, b)
+
+
+def difference(a, b) -> Column:
+    """Polygon of ring a without the convex ring b, which becomes a hole; null if over 99.9 % of a go."""
+
+    def cut(r):
+        share = div(F.abs(signed_area(r)), F.abs(signed_area(a)))
+        hole = F.when(F.abs(signed_area(r)) > 0, F.array(c(a).cast(RING), r)).otherwise(F.array(c(a).cast(RING)))
+        return F.when(F.coalesce(share, F.lit(0.0)) <= 0.999, hole)
+
+    return let(clip_convex(a, b), cut)
+
+
+def symmetric_difference(a, b) -> Column:
+    """Array of the differences of two convex rings that are left."""
+    return F.filter(F.array(difference(a, b), difference(b, a)), lambda p: p.isNotNull())
+
+
+def make_valid(polygon) -> Column:
+    """Rings without positions repeated in a row, the outer one counter-clockwise, holes clockwise, rings of fewer than three corners left out."""
+    return rewind(F.filter(F.transform(c(polygon), lambda r: clean(r)), lambda r: F.size(r) >= 3))
+
+
+# Buffers in degrees and metres, by great circles.
+
+
+def _offset(line, i, n, metres, turn: float, closed: bool) -> Column:
+    """Position i of a line moved along the bisector of its two edges' bearings, turned by ``turn`` degrees."""
+    at = lambda k: F.element_at(line, k)
+    before = F.when(i > 1, at(F.greatest(i - 1, F.lit(1)))).otherwise(at(F.lit(-1)) if closed else at(F.lit(1)))
+    after = F.when(i < n, at(F.least(i + 1, n))).otherwise(at(F.lit(1)) if closed else at(F.lit(-1)))
+    here = at(i)
+    come, go = G.initial_bearing(before.x, before.y, here.x, here.y), G.initial_bearing(here.x, here.y, after.x, after.y)
+    if not closed:
+        come, go = F.when(i > 1, come).otherwise(go), F.when(i < n, go).otherwise(come)
+    middle = F.degrees(F.atan2(F.sin(F.radians(come)) + F.sin(F.radians(go)), F.cos(F.radians(come)) + F.cos(F.radians(go))))
+    return point(*G.destination(here.x, here.y, middle + turn, metres))
+
+
+def offset_curve(line, metres, side: str = "left") -> Column:
+    """A line beside another, each position moved by ``metres`` at right angles to the mean bearing there."""
+    turn = -90.0 if side == "left" else 90.0
+    return let(clean(line), lambda own: F.transform(F.sequence(F.lit(1), F.size(own)), lambda i: _offset(own, i, F.size(own), c(metres), turn, False)))
+
+
+def line_buffer(line, metres, steps: int = 16) -> Column:
+    """Closed ring around a line of two positions at least: both offset curves, joined by round caps of ``steps`` parts; nothing is dissolved."""
+
+    def around(own):
+        n = F.size(own)
+        left = F.transform(F.sequence(F.lit(1), n), lambda i: _offset(own, i, n, c(metres), -90.0, False))
+        right = F.transform(F.sequence(F.lit(1), n), lambda i: _offset(own, i, n, c(metres), 90.0, False))
+
+        def cap(p, bearing):
+            return F.transform(F.sequence(F.lit(1), F.lit(steps - 1)), lambda k: point(*G.destination(p.x, p.y, bearing - 90 + k * (180.0 / steps), c(metres))))
+
+        first, second = F.element_at(own, 1), F.element_at(own, 2)
+        last, before = F.element_at(own, -1), F.element_at(own, -2)
+        ring = F.concat(left, cap(last, G.initial_bearing(before.x, before.y, last.x, last.y)), F.reverse(right), cap(first, G.initial_bearing(second.x, second.y, first.x, first.y)))
+        return F.when(n >= 2, F.concat(ring, F.slice(ring, 1, 1)))
+
+    return let(clean(line), around)
+
+
+def ring_buffer(r, metres) -> Column:
+    """Closed ring around an outer ring (holes don't count), every corner moved outward along its bisector."""
+
+    def around(own):
+        n = F.size(own)
+        out = F.transform(F.sequence(F.lit(1), n), lambda i: _offset(own, i, n, c(metres), 90.0, True))
+        return F.concat(out, F.slice(out, 1, 1))
+
+    open_ = lambda r: F.when((F.element_at(r, 1) == F.element_at(r, -1)) & (F.size(r) > 1), F.slice(r, 1, F.size(r) - 1)).otherwise(r)
+    return let(let(let(clean(r), open_), lambda r: F.when(signed_area(r) < 0, F.reverse(r)).otherwise(r)), around)
+
+
 # Predicates.
 
 
@@ -352,6 +488,11 @@ def box_has(b, x, y) -> Column:
     return ~F.isnan(x) & ~F.isnan(y) & (x >= b.west) & (x <= b.east) & (y >= b.south) & (y <= b.north)
 
 
+def box3(west, south, east, north, low, high) -> Column:
+    """struct<west, south, east, north, low, high>."""
+    return F.struct(*[c(v).cast("double").alias(n) for v, n in zip((west, south, east, north, low, high), ("west", "south", "east", "north", "low", "high"))])
+
+
 def box_intersect(a, b) -> Column:
     a, b = c(a), c(b)
     return box(F.greatest(a.west, b.west), F.greatest(a.south, b.south), F.least(a.east, b.east), F.least(a.north, b.north))

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terraloom.functions.num import c, finite
+from terraloom.plans.lineage import sequential
 
 
 def _breaks(df: DataFrame, values: Column) -> DataFrame:
@@ -21,9 +22,21 @@ def equal_interval(df: DataFrame, column: str, k: int) -> DataFrame:
 
 
 def quantile(df: DataFrame, column: str, k: int) -> DataFrame:
-    """k + 1 breaks at exact quantiles, linear between neighbours."""
-    one = df.select(finite(column).alias("v")).agg(F.percentile("v", [i / k for i in range(k + 1)]).alias("q")).where("q IS NOT NULL")
-    return _breaks(one, F.col("q"))
+    """k + 1 breaks at exact quantiles, linear between neighbours.
+
+    Values are put in order over range partitions; of these only the ranks at
+    the breaks are picked.
+    """
+    ranked = sequential(df.select(finite(column).alias("v")).where("v IS NOT NULL"), "v", name="n")
+    total = ranked.count()
+    if not total:
+        return _breaks(ranked.agg(F.collect_list("v").alias("q")), F.col("q"))
+    places = [i * (total - 1) / k for i in range(k + 1)]
+    wanted = sorted({int(x) for p in places for x in (p // 1, min(p // 1 + 1, total - 1))})
+    picked = ranked.where(F.col("n").isin(wanted)).agg(F.map_from_entries(F.collect_list(F.struct("n", "v"))).alias("at"))  # 2 (k + 1) rows
+    low = lambda p: F.col("at")[F.lit(int(p))]
+    high = lambda p: F.col("at")[F.lit(min(int(p) + 1, total - 1))]
+    return _breaks(picked, F.array(*[low(p) + (high(p) - low(p)) * (p - int(p)) for p in places]))
 
 
 def std_deviation(df: DataFrame, column: str, step: float = 1.0) -> DataFrame:
@@ -36,48 +49,57 @@ def std_deviation(df: DataFrame, column: str, step: float = 1.0) -> DataFrame:
     return _breaks(one, F.when(F.col("s") == 0, F.array("m", "m")).otherwise(F.concat(F.array("lo"), inner, F.array("hi"))))
 
 
-def natural_breaks(df: DataFrame, column: str, k: int, most_values: int = 2000) -> list[float]:
+def natural_breaks(df: DataFrame, column: str, k: int, bins: int = 16_384) -> list[float]:
     """Breaks with the least sum of squares within classes.
 
-    Values are counted in Spark; the dynamic program runs over the distinct
-    values, or, where there are more than ``most_values``, over that many bins
-    of equal width (each known by its mean), so the driver's work is bounded.
-    An inner break is the first value of the upper class.
+    Values are counted in Spark by ``bins`` bins of equal width over their range
+    (each known by its mean and its least value), whatever their number, so
+    values nearer to each other than a bin's width may be taken as one; the
+    dynamic program over the bins runs on the driver.  Its splits move one way,
+    so it takes k * bins * log(bins) steps.  An inner break is the first value of
+    the upper class.
     """
     own = df.select(finite(column).alias("v")).where("v IS NOT NULL")
-    counts = own.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    rows = counts.limit(most_values + 1).collect()
-    if len(rows) > most_values:
-        lo, hi = own.agg(F.min("v"), F.max("v")).first()
-        bins = F.least(F.floor((F.col("v") - lo) / ((hi - lo) / most_values)), F.lit(most_values - 1))
-        rows = own.groupBy(bins.alias("b")).agg(F.avg("v").alias("v"), F.count(F.lit(1)).alias("n")).collect()
-    pairs = sorted((r["v"], r["n"]) for r in rows)
+    lo, hi = own.agg(F.min("v"), F.max("v")).first()
+    if lo is None:
+        return []
+    place = F.least(F.floor((F.col("v") - lo) / ((hi - lo) / bins)), F.lit(bins - 1)) if hi > lo else F.lit(0)
+    rows = own.groupBy(place.alias("b")).agg(F.avg("v").alias("v"), F.min("v").alias("least"), F.count(F.lit(1)).alias("n")).orderBy("b").collect()  # ``bins`` rows at most
     k = min(max(k, 2), 20)
-    if len(pairs) <= k:
-        return [v for v, _ in pairs]
-    v, n = (np.array(x, float) for x in zip(*pairs))
+    least = [r["least"] for r in rows]
+    if len(rows) <= k:
+        return [float(x) for x in least]
+    v, n = np.array([r["v"] for r in rows]), np.array([r["n"] for r in rows], float)
+    v = v - v.mean()
     w, s, q = (np.append(0, np.cumsum(x)) for x in (n, n * v, n * v * v))
     m = len(v)
-    at = np.arange(m)
-    cost = q[1:] - s[1:] ** 2 / w[1:]  # of the values up to each as one class
-    cuts = []
-    for _ in range(1, k):
+
+    def inside(i, j):
+        """Sum of squares of the bins i to j - 1 as one class."""
+        return (q[j] - q[i]) - (s[j] - s[i]) ** 2 / (w[j] - w[i])
+
+    cost, splits = inside(0, np.arange(1, m + 1)), []
+    for classes in range(2, k + 1):
         new, cut = np.full(m, np.inf), np.zeros(m, int)
-        for j in range(m):
-            i = at[1 : j + 1]
-            if len(i):
-                inside = (q[j + 1] - q[i]) - (s[j + 1] - s[i]) ** 2 / (w[j + 1] - w[i])
-                total = cost[i - 1] + inside
-                best = int(np.argmin(total))
-                new[j], cut[j] = total[best], i[best]
+        todo = [(classes - 1, m - 1, classes - 1, m - 1)]
+        while todo:
+            a, b, first, last = todo.pop()
+            if a > b:
+                continue
+            j = (a + b) // 2
+            i = np.arange(first, min(last, j) + 1)
+            total = cost[i - 1] + inside(i, j + 1)
+            best = int(np.argmin(total))
+            new[j], cut[j] = total[best], i[best]
+            todo += [(a, j - 1, first, cut[j]), (j + 1, b, cut[j], last)]
         cost = new
-        cuts.append(cut)
-    breaks, j = [v[-1]], m - 1
-    for cut in reversed(cuts):
+        splits.append(cut)
+    out, j = [float(hi)], m - 1
+    for cut in reversed(splits):
         j = cut[j]
-        breaks.append(v[j])
+        out.append(float(least[j]))
         j -= 1
-    return [float(x) for x in [v[0], *reversed(breaks[1:]), breaks[0]]]
+    return [float(lo), *reversed(out[1:]), out[0]]
 
 
 def reclassify(column, rules: list[tuple[float, float, float]]) -> Column:

@@ -81,28 +81,28 @@ def k_means(points: DataFrame, k: int, id_col: str, features: list[str], most_ro
 
     Lloyd's rounds from farthest-first centres: the point of smallest id, then
     each time the point farthest from the centres so far.  A round is one
-    aggregation to k rows; an empty cluster keeps its centre.
+    aggregation to k rows; an empty cluster keeps its centre.  The centres come
+    as a table of one row, so all rounds share one plan.
     """
+    spark = points.sparkSession
     own = points.select(F.col(id_col).alias("id"), F.array(*[c(f).cast("double") for f in features]).alias("f")).persist()
 
-    def apart(centre) -> Column:
-        return sum((((F.col("f")[i] - v) * (F.col("f")[i] - v)) for i, v in enumerate(centre)), F.lit(0.0))
+    def ranked(centres: list[list[float]]) -> DataFrame:
+        """id, f, and (d, i) of the nearest centre."""
+        table = spark.createDataFrame([(centres,)], "m array<array<double>>")
+        apart = lambda m: F.aggregate(F.zip_with("f", m, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+        near = F.array_min(F.transform("m", lambda m, i: F.struct(apart(m).alias("d"), i.alias("i"))))
+        return own.join(F.broadcast(table)).select("id", "f", near.alias("n"))  # one row
 
     row = own.agg(F.min_by("f", "id").alias("f")).first()
     if row["f"] is None:
         return own.select(F.col("id").alias(id_col), F.lit(0).alias("cluster")), []
     centres = [list(row["f"])]
     while len(centres) < k:
-        gap = F.least(*[apart(m) for m in centres]) if len(centres) > 1 else apart(centres[0])
-        best = own.select("f", F.struct(gap.alias("gap"), (-F.col("id")).alias("o")).alias("key")).agg(F.max_by("f", "key").alias("f")).first()
+        best = ranked(centres).agg(F.max_by("f", F.struct(F.col("n.d"), (-F.col("id")).alias("o"))).alias("f")).first()
         centres.append(list(best["f"]))
-
-    def assigned() -> DataFrame:
-        ranked = F.array_min(F.array(*[F.struct(apart(m).alias("d"), F.lit(i).alias("i")) for i, m in enumerate(centres)]))
-        return own.select("id", "f", ranked["i"].alias("cluster"))
-
     for _ in range(most_rounds):
-        means = assigned().groupBy("cluster").agg(*[F.avg(F.col("f")[i]).alias(f"m{i}") for i in range(len(features))]).collect()
+        means = ranked(centres).groupBy(F.col("n.i").alias("cluster")).agg(*[F.avg(F.col("f")[i]).alias(f"m{i}") for i in range(len(features))]).collect()
         moved = 0.0
         for r in means:
             new = [r[f"m{i}"] for i in range(len(features))]
@@ -110,7 +110,38 @@ def k_means(points: DataFrame, k: int, id_col: str, features: list[str], most_ro
             centres[r["cluster"]] = new
         if moved <= tolerance:
             break
-    return assigned().select(F.col("id").alias(id_col), "cluster"), centres
+    out = cut(ranked(centres).select(F.col("id").alias(id_col), F.col("n.i").alias("cluster")))
+    own.unpersist()
+    return out, centres
+
+
+def cluster_leaves(points: DataFrame, radius: float, cx: int, cy: int, order: str, limit: int | None = 10, offset: int = 0, x: str = "x", y: str = "y") -> DataFrame:
+    """The points of one grid cluster in the order of ``order``, ``limit`` of them (None: all) from ``offset`` on."""
+    size = radius / 256 * 360
+    own = points.where((F.floor(c(x) / size) == cx) & (F.floor(c(y) / size) == cy)).orderBy(order).offset(offset)
+    return own if limit is None else own.limit(limit)
+
+
+def cluster_children(points: DataFrame, radius: float, x: str = "x", y: str = "y", least: int = 2) -> DataFrame:
+    """Every point of a grid cluster with the cluster's cell: the columns of ``points``, cx, cy."""
+    size = radius / 256 * 360
+    own = points.withColumn("cx", F.floor(c(x) / size)).withColumn("cy", F.floor(c(y) / size))
+    large = own.groupBy(F.col("cx").alias("gx"), F.col("cy").alias("gy")).count().where(F.col("count") >= least)
+    return own.join(large, (F.col("cx") == F.col("gx")) & (F.col("cy") == F.col("gy")), "left_semi")
+
+
+def expansion_zooms(points: DataFrame, pixels: float, zooms: range, x: str = "x", y: str = "y") -> DataFrame:
+    """zoom, cx, cy, expands: the first zoom at which a cluster of the pyramid falls apart, null if none of ``zooms`` does that."""
+    top = max(zooms)
+    px, py = to_pixel(c(x), c(y), F.lit(top))
+    base = points.select(F.floor(px / pixels).alias("bx"), F.floor(py / pixels).alias("by")).distinct()
+    levels = F.explode(F.array(*[F.struct(F.lit(z).alias("z"), F.lit(w).alias("w")) for z in zooms for w in zooms if w >= z]))
+    at = lambda n, z: F.floor(F.col(n) / F.pow(F.lit(2.0), F.lit(top) - F.col(z)))
+    own = base.withColumn("l", levels).select("bx", "by", F.col("l.z").alias("z"), F.col("l.w").alias("w"))
+    parts = own.select("z", "w", at("bx", "z").alias("cx"), at("by", "z").alias("cy"), at("bx", "w").alias("dx"), at("by", "w").alias("dy"))
+    apart = (F.min("dx") < F.max("dx")) | (F.min("dy") < F.max("dy"))
+    split = parts.groupBy("z", "cx", "cy", "w").agg(apart.alias("apart"))
+    return split.groupBy(F.col("z").alias("zoom"), "cx", "cy").agg(F.min(F.when(F.col("apart"), F.col("w"))).alias("expands"))
 
 
 def heat_density(cells: DataFrame, points: DataFrame, radius: float, cell_id: str, weight: str | None = None, intensity: float = 1.0) -> DataFrame:

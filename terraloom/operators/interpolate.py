@@ -1,48 +1,51 @@
-"""Surfaces from samples: inverse distance, bilinear, bicubic, variogram."""
+"""Surfaces from samples: inverse distance, bilinear, bicubic, variogram, kriging, natural neighbours."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terraloom.functions.num import c, catmull_rom, div, lerp
+from terraloom.operators.clustering import hulls
+from terraloom.operators.spatial_join import nearest_planar
+from terraloom.plans.lineage import cut
 
-MOST_SAMPLES = 20_000
+BLOCK = 2_000  # samples that meet in one block
 
 
-def _bounded(samples: DataFrame, most: int) -> DataFrame:
-    """One row with all samples as an array; refuses more than ``most``, for which a radius is the way."""
-    n = samples.limit(most + 1).count()
-    if n > most:
-        raise ValueError(f"more than {most} samples: give a radius, so that they are joined by place")
-    return samples.agg(F.sort_array(F.collect_list(F.struct(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("value").cast("double").alias("v")))).alias("s"))
+def _blocks(samples: DataFrame, size: int = BLOCK) -> tuple[DataFrame, int]:
+    """Samples (x, y, v, n: a number of their own) dealt into hash blocks of about ``size``, and the number of blocks."""
+    own = samples.select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("value").cast("double").alias("v")).withColumn("n", F.monotonically_increasing_id())
+    own = cut(own)
+    blocks = max(1, -(-own.count() // size))
+    return own.withColumn("block", F.pmod(F.xxhash64("n"), F.lit(blocks)).cast("int")), blocks
 
 
-def idw(targets: DataFrame, samples: DataFrame, target_id: str, power: float = 2.0, radius: float | None = None, most_samples: int = MOST_SAMPLES) -> DataFrame:
+def idw(targets: DataFrame, samples: DataFrame, target_id: str, power: float = 2.0, radius: float | None = None) -> DataFrame:
     """target_id, value: mean of the samples weighted by 1 / distance^power; a sample at the place itself decides.
 
-    Without ``radius`` every sample counts, and they must be few enough to be
-    sent to every task; with it samples are joined by grid cell.
+    Without ``radius`` every sample counts for every target: both are dealt into
+    blocks that meet one by one, and their sums are added up by target.  With it
+    samples are joined by grid cell, which is the way for many targets.
     """
+    d = F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"))
     if radius is None:
-        one = F.broadcast(_bounded(samples, most_samples))
-        t = targets.select(target_id, "x", "y").join(one)
-        d2 = lambda s: (s.x - F.col("x")) * (s.x - F.col("x")) + (s.y - F.col("y")) * (s.y - F.col("y"))
-        w = F.transform("s", lambda s: F.struct(s.v.alias("v"), F.sqrt(d2(s)).alias("d")))
-        start = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("b"), F.lit(None).cast("double").alias("hit"))
-
-        def add(z, s):
-            k = F.coalesce(div(F.lit(1.0), F.pow(s.d, F.lit(float(power)))), F.lit(0.0))
-            return F.struct((z.a + k * s.v).alias("a"), (z.b + k).alias("b"), F.coalesce(z.hit, F.when(s.d < 1e-10, s.v)).alias("hit"))
-
-        return t.select(target_id, F.aggregate(w, start, add).alias("z")).select(target_id, F.coalesce("z.hit", div(F.col("z.a"), F.col("z.b"))).alias("value"))
+        own, blocks = _blocks(samples)
+        a = targets.select(F.col(target_id).alias("_t"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("asked"))
+        b = own.select(F.col("x").alias("bx"), F.col("y").alias("by"), "v", "block")
+        return _weighed(targets, a.join(b, F.col("asked") == F.col("block")), d, power, target_id)
     near = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    a = targets.select(F.col(target_id).alias("t"), F.col("x").alias("ax"), F.col("y").alias("ay"), near.alias("n")).withColumn("cx", F.floor(F.col("ax") / radius) + F.col("n.i")).withColumn("cy", F.floor(F.col("ay") / radius) + F.col("n.j"))
+    a = targets.select(F.col(target_id).alias("_t"), F.col("x").alias("ax"), F.col("y").alias("ay"), near.alias("n")).withColumn("cx", F.floor(F.col("ax") / radius) + F.col("n.i")).withColumn("cy", F.floor(F.col("ay") / radius) + F.col("n.j"))
     b = samples.select(F.col("x").alias("bx"), F.col("y").alias("by"), F.col("value").alias("v"), F.floor(F.col("x") / radius).alias("ex"), F.floor(F.col("y") / radius).alias("ey"))
-    d = F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"))
-    hit = a.join(b, (F.col("cx") == F.col("ex")) & (F.col("cy") == F.col("ey")) & (d <= radius)).withColumn("d", d).withColumn("w", F.coalesce(div(F.lit(1.0), F.pow("d", F.lit(float(power)))), F.lit(0.0)))
-    sums = hit.groupBy("t").agg(F.min(F.when(F.col("d") < 1e-10, F.col("v"))).alias("hit"), F.sum(F.col("w") * F.col("v")).alias("a"), F.sum("w").alias("b"))
-    return targets.select(target_id).join(sums, F.col(target_id) == F.col("t"), "left").select(target_id, F.coalesce("hit", div(F.col("a"), F.col("b"))).alias("value"))
+    return _weighed(targets, a.join(b, (F.col("cx") == F.col("ex")) & (F.col("cy") == F.col("ey")) & (d <= radius)), d, power, target_id)
+
+
+def _weighed(targets: DataFrame, pairs: DataFrame, d: Column, power: float, target_id: str) -> DataFrame:
+    hit = pairs.withColumn("d", d).withColumn("w", F.coalesce(div(F.lit(1.0), F.pow("d", F.lit(float(power)))), F.lit(0.0)))
+    sums = hit.groupBy("_t").agg(F.min(F.when(F.col("d") < 1e-10, F.col("v"))).alias("hit"), F.sum(F.col("w") * F.col("v")).alias("a"), F.sum("w").alias("b"))
+    return targets.select(target_id).join(sums, F.col(target_id) == F.col("_t"), "left").select(target_id, F.coalesce("hit", div(F.col("a"), F.col("b"))).alias("value"))
 
 
 def bilinear(q00, q10, q01, q11, u, v) -> Column:
@@ -66,17 +69,101 @@ def sample_raster(raster: DataFrame, points: DataFrame, point_id: str) -> DataFr
     return sums.select(F.col("p").alias(point_id), F.when(F.col("missing") == 0, F.col("s")).alias("value"))
 
 
-def variogram(samples: DataFrame, lags: int = 10, most_samples: int = MOST_SAMPLES) -> DataFrame:
-    """lag, distance (mean), semivariance (mean), pairs, over all pairs of a bounded set of samples."""
-    one = _bounded(samples, most_samples)
-    rows = one.select(F.posexplode("s").alias("i", "a"), "s")
-    pairs = rows.select("a", F.explode(F.slice("s", F.col("i") + 2, F.greatest(F.size("s") - F.col("i") - 1, F.lit(0)))).alias("b"))
-    d = F.hypot(F.col("a.x") - F.col("b.x"), F.col("a.y") - F.col("b.y"))
-    half = (F.col("a.v") - F.col("b.v")) * (F.col("a.v") - F.col("b.v")) / 2
-    measured = pairs.select(d.alias("d"), half.alias("g"))
-    most = measured.agg(F.max("d").alias("most"))
-    lag = F.least(F.floor(div(F.col("d"), F.col("most")) * lags), F.lit(lags - 1))
-    return measured.join(F.broadcast(most)).groupBy(lag.alias("lag")).agg(F.avg("d").alias("distance"), F.avg("g").alias("semivariance"), F.count(F.lit(1)).alias("pairs"))  # one row
+def variogram(samples: DataFrame, lags: int = 10) -> DataFrame:
+    """lag, distance (mean), semivariance (mean), pairs, over all pairs of samples.
+
+    Samples are dealt into blocks; every two blocks meet in a task of their own
+    and come out as sums by lag, so pairs aren't kept anywhere.  The largest
+    distance, which sets the lags, lies between corners of the convex hull.
+    """
+    own, blocks = _blocks(samples)
+    ring = hulls(own.withColumn("one", F.lit(0)), "one").select("ring")
+    corners = ring.select("ring", F.explode("ring").alias("p"))
+    most = corners.agg(F.max(F.array_max(F.transform("ring", lambda q: F.hypot(q.x - F.col("p.x"), q.y - F.col("p.y"))))).alias("most"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    meet = lambda q: F.struct(F.least("block", q).alias("i"), F.greatest("block", q).alias("j"))
+    a = own.withColumn("q", every).where("block <= q").select(meet("q").alias("pair"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("v").alias("av"), F.col("n").alias("an"))
+    b = own.withColumn("q", every).where("block >= q").select(meet("q").alias("pair_b"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("v").alias("bv"), F.col("n").alias("bn"))
+    met = a.join(b, (F.col("pair") == F.col("pair_b")) & ((F.col("pair.i") < F.col("pair.j")) | (F.col("an") < F.col("bn"))))
+    half = (F.col("av") - F.col("bv")) * (F.col("av") - F.col("bv")) / 2
+    measured = met.select(F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")).alias("d"), half.alias("g")).join(F.broadcast(most))  # one row
+    lag = F.coalesce(F.least(F.floor(div(F.col("d"), F.col("most")) * lags), F.lit(lags - 1)), F.lit(0))
+    return measured.groupBy(lag.alias("lag")).agg(F.avg("d").alias("distance"), F.avg("g").alias("semivariance"), F.count(F.lit(1)).alias("pairs"))
+
+
+def fit_variogram(lagged: DataFrame) -> DataFrame:
+    """One row (nugget, sill, range_) from the rows of ``variogram``: the first lag's value, the largest, and the first distance at 95 % of it."""
+    sill = lagged.agg(F.max("semivariance").alias("sill"), F.min_by("semivariance", "lag").alias("first"), F.max("distance").alias("far"))
+    reached = lagged.join(F.broadcast(sill)).agg(F.min(F.when(F.col("semivariance") >= 0.95 * F.col("sill"), F.col("distance"))).alias("at"))  # one row
+    return sill.join(F.broadcast(reached)).select(F.greatest(F.lit(0.0), F.least("first", "sill")).alias("nugget"), "sill", F.coalesce("at", "far").alias("range_"))
+
+
+def halton(index, base: int) -> Column:
+    """Radical inverse of a number, in [0, 1)."""
+    digits = F.sequence(F.lit(0), F.lit(int(64 / math.log2(base))))
+    digit = lambda k: F.pmod(F.floor(c(index) / F.pow(F.lit(float(base)), k)), F.lit(base)) / F.pow(F.lit(float(base)), k + 1)
+    return F.aggregate(digits, F.lit(0.0), lambda s, k: s + digit(k))
+
+
+def natural_neighbour(targets: DataFrame, samples: DataFrame, target_id: str, sample_id: str, draws: int = 1024) -> DataFrame:
+    """target_id, value: Sibson's weights by ``draws`` Halton points in the disc of twice the distance to the second nearest sample.
+
+    A draw that is nearer to the target than to any sample counts for the sample
+    nearest to it.  A target at a sample has its value; one that no draw counts
+    for has the nearest sample's.
+    """
+    own = samples.select(F.col(sample_id).alias("_s"), F.col("x").cast("double").alias("rx"), F.col("y").cast("double").alias("ry"), F.col("value").cast("double").alias("_v"))
+    asks = targets.select(F.col(target_id).alias("_t"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    values = own.select(F.col("_s").alias("of"), "_v")
+    near = nearest_planar(asks, own, 2, "_t", "_s").join(values, F.col("_s") == F.col("of"))
+    around = near.groupBy("_t").agg(F.max("distance").alias("d2"), F.min("distance").alias("d1"), F.min_by("_v", "rank").alias("first"))
+    asked = asks.join(around, "_t")
+    i = F.col("i")
+    spread = asked.where("d1 > 1e-10").withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("r", 2 * F.col("d2") * F.sqrt(halton(i, 2))).withColumn("w", 2 * math.pi * halton(i, 3))
+    spread = cut(spread.select(F.struct("_t", "i").alias("draw"), (F.col("x") + F.col("r") * F.cos("w")).alias("x"), (F.col("y") + F.col("r") * F.sin("w")).alias("y"), "r"))
+    met = nearest_planar(spread, own, 1, "draw", "_s")
+    won = met.join(spread.select(F.col("draw").alias("d"), "r"), F.col("draw") == F.col("d")).where("r < distance").join(values, F.col("_s") == F.col("of"))
+    # a draw is won where the target is nearer to it than any sample
+    means = won.groupBy(F.col("draw._t").alias("t")).agg(F.avg("_v").alias("mean"))
+    return asked.join(means, F.col("_t") == F.col("t"), "left").select(F.col("_t").alias(target_id), F.when(F.col("d1") <= 1e-10, F.col("first")).otherwise(F.coalesce("mean", "first")).alias("value"))
+
+
+def ordinary_kriging(targets: DataFrame, samples: DataFrame, target_id: str, sample_id: str, nugget: float, sill: float, range_: float, kind: str = "exponential", near: int = 32) -> DataFrame:
+    """target_id, value, variance (0 at least) from the ``near`` nearest samples of every target.
+
+    Each target's small system is solved in a task; with ``near`` at the number
+    of samples this is the global estimate.  A singular system gives the nearest
+    sample's value.
+    """
+    import numpy as np
+    import pandas as pd
+
+    own = samples.select(F.col(sample_id).alias("_s"), F.col("x").cast("double").alias("sx"), F.col("y").cast("double").alias("sy"), F.col("value").cast("double").alias("v"))
+    asks = targets.select(F.col(target_id).alias("_t"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    found = nearest_planar(asks, own, near, "_t", "_s", point_dims=("sx", "sy")).withColumnRenamed("_s", "_found")
+    rows = found.join(own, F.col("_found") == F.col("_s")).groupBy("_t").agg(F.sort_array(F.collect_list(F.struct("rank", "sx", "sy", "v", "distance"))).alias("near"))  # ``near`` rows each
+    shape = {"spherical": lambda r: np.where(r < 1, 1.5 * r - 0.5 * r**3, 1.0), "exponential": lambda r: 1 - np.exp(-3 * r), "gaussian": lambda r: 1 - np.exp(-3 * r * r)}[kind]
+
+    def gamma(h):
+        return np.where(h == 0, 0.0, nugget + (sill - nugget) * shape(h / range_))
+
+    def solve(batches):
+        for pdf in batches:
+            out = []
+            for near_rows in pdf["near"]:
+                sx, sy, v, d = (np.array([r[k] for r in near_rows]) for k in ("sx", "sy", "v", "distance"))
+                n = len(v)
+                left, right = np.ones((n + 1, n + 1)), np.append(gamma(d), 1.0)
+                left[:n, :n], left[n, n] = gamma(np.hypot(sx[:, None] - sx, sy[:, None] - sy)), 0.0
+                try:
+                    w = np.linalg.solve(left, right)
+                    out.append((float(w[:n] @ v), max(0.0, float(w @ right))))
+                except np.linalg.LinAlgError:
+                    out.append((float(v[0]), 0.0))
+            yield pd.DataFrame({"_t": pdf["_t"], "value": [a for a, _ in out], "variance": [b for _, b in out]})
+
+    kind_of = targets.schema[target_id].dataType.simpleString()
+    return rows.mapInPandas(solve, f"_t {kind_of}, value double, variance double").withColumnRenamed("_t", target_id)
 
 
 def variogram_model(h, nugget, sill, range_, kind: str = "spherical") -> Column:

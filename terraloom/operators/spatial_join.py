@@ -31,17 +31,37 @@ def _cells(b: Column, step: float) -> Column:
     return F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.struct(x.alias("cx"), y.alias("cy")))))
 
 
+def _levels(shapes: DataFrame, bounds: Column) -> list[int]:
+    """Powers of two at or above the extents of the shapes; at most some dozens come to the driver."""
+    rows = shapes.select(_level(bounds).alias("level")).where("level IS NOT NULL").distinct().collect()
+    return sorted(r["level"] for r in rows) or [0]
+
+
+def _level(b: Column) -> Column:
+    extent = F.greatest(b.east - b.west, b.north - b.south)
+    return F.ceil(F.log2(F.when(extent > 1e-9, extent).otherwise(F.when(extent.isNotNull(), F.lit(1e-9))))).cast("int")
+
+
 def points_in_polygons(polygons: DataFrame, points: DataFrame, polygon_col: str = "polygon", x: str = "x", y: str = "y", step: float | None = None, how: str = "inner") -> DataFrame:
     """Each polygon with each point in its outer ring and in none of its holes (``how`` may be left).
 
-    Points without finite coordinates, and null polygons, match nothing.
+    Each polygon is laid on the grid of its own size, so it has four cells at
+    most, however unequal the polygons are; a point has a cell in every grid in
+    use.  ``step`` sets one grid for all instead.  Points without finite
+    coordinates, and null polygons, match nothing.
     """
     bounds = S.bounds(F.col(polygon_col)[0])
-    step = step or cell_size(polygons, bounds)
-    left = polygons.withColumn("_cell", F.explode_outer(_cells(bounds, step)))
-    right = points.withColumn("_px", F.floor(c(x) / step)).withColumn("_py", F.floor(c(y) / step)).where(c(x).isNotNull() & c(y).isNotNull() & ~F.isnan(c(x)) & ~F.isnan(c(y)))
-    match = (F.col("_cell.cx") == F.col("_px")) & (F.col("_cell.cy") == F.col("_py")) & S.in_polygon(c(x), c(y), F.col(polygon_col))
-    return left.join(right, match, how).drop("_cell", "_px", "_py")
+    finite = c(x).isNotNull() & c(y).isNotNull() & ~F.isnan(c(x)) & ~F.isnan(c(y))
+    if step:
+        left = polygons.withColumn("_cell", F.explode_outer(_cells(bounds, step))).withColumn("_level", F.lit(0))
+        right = points.where(finite).withColumn("_grid", F.lit(0)).withColumn("_step", F.lit(float(step)))
+    else:
+        left = polygons.withColumn("_level", _level(bounds)).withColumn("_cell", F.explode_outer(_cells(bounds, F.pow(F.lit(2.0), F.col("_level")))))
+        grids = F.array(*[F.lit(n) for n in _levels(polygons, bounds)])
+        right = points.where(finite).withColumn("_grid", F.explode(grids)).withColumn("_step", F.pow(F.lit(2.0), F.col("_grid")))
+    right = right.withColumn("_px", F.floor(c(x) / F.col("_step"))).withColumn("_py", F.floor(c(y) / F.col("_step")))
+    match = (F.col("_level") == F.col("_grid")) & (F.col("_cell.cx") == F.col("_px")) & (F.col("_cell.cy") == F.col("_py")) & S.in_polygon(c(x), c(y), F.col(polygon_col))
+    return left.join(right, match, how).drop("_cell", "_level", "_grid", "_step", "_px", "_py")
 
 
 def boxes_overlap(left: DataFrame, right: DataFrame, left_box: str, right_box: str, step: float | None = None) -> DataFrame:
@@ -105,3 +125,62 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, query_id: str, point_
         if last or todo.isEmpty():
             return done.select(F.col("_q").alias(query_id), "rank", F.col("_p").alias(point_id), "distance")
         reach *= 2
+
+
+def nearest_planar(queries: DataFrame, points: DataFrame, k: int, query_id: str, point_id: str, first: float | None = None, dims: tuple = ("x", "y"), point_dims: tuple = ("rx", "ry")) -> DataFrame:
+    """The k nearest points of each query in the plane (or in space): query_id, rank, point_id, distance; ties to the smaller id.
+
+    Rounds of grid joins with doubling reach, like ``nearest``.
+    """
+    spread = points.agg(F.count(F.lit(1)).alias("n"), *[F.max(d).alias(f"hi{i}") for i, d in enumerate(point_dims)], *[F.min(d).alias(f"lo{i}") for i, d in enumerate(point_dims)]).first()
+    away = queries.agg(*[F.max(d).alias(f"hi{i}") for i, d in enumerate(dims)], *[F.min(d).alias(f"lo{i}") for i, d in enumerate(dims)]).first()
+    n = spread["n"]
+    side = [spread[f"hi{i}"] - spread[f"lo{i}"] if n else 0.0 for i in range(len(dims))]
+    whole = math.sqrt(sum(max(abs((spread[f"hi{i}"] or 0) - (away[f"lo{i}"] or 0)), abs((away[f"hi{i}"] or 0) - (spread[f"lo{i}"] or 0))) ** 2 for i in range(len(dims)))) or 1.0
+    reach = first or max(max(side) * (max(k, 1) / max(n, 1)) ** (1 / len(dims)), whole * 1e-6)
+    order = Window.partitionBy("_q").orderBy("distance", "_p")
+    todo = queries.select(F.col(query_id).alias("_q"), *[c(d).cast("double").alias(f"_q{i}") for i, d in enumerate(dims)])
+    others = points.select(F.col(point_id).alias("_p"), *[c(d).cast("double").alias(f"_p{i}") for i, d in enumerate(point_dims)])
+    done = None
+    while True:
+        last = reach >= whole
+        found = within_reach(todo, others, reach, [f"_q{i}" for i in range(len(dims))], [f"_p{i}" for i in range(len(dims))]).select("_q", "_p", "distance")
+        found = cut(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
+        full = found.groupBy("_q").count().where(F.col("count") >= min(k, n)).select(F.col("_q").alias("_f"))
+        part = found if last else found.join(full, F.col("_q") == F.col("_f"), "left_semi")
+        done = part if done is None else done.union(part)
+        todo = cut(todo.join(full, F.col("_q") == F.col("_f"), "left_anti"))
+        if last or todo.isEmpty():
+            return done.select(F.col("_q").alias(query_id), "rank", F.col("_p").alias(point_id), "distance")
+        reach *= 2
+
+
+def within_reach(left: DataFrame, right: DataFrame, reach: float, left_dims: list[str], right_dims: list[str]) -> DataFrame:
+    """Pairs at most ``reach`` apart in the plane or in space, with the distance as ``distance``."""
+    import itertools
+
+    around = F.array(*[F.array(*[F.lit(d) for d in ds]) for ds in itertools.product((-1, 0, 1), repeat=len(left_dims))])
+    a = left.withColumn("_d", F.explode(around)).withColumn("_a", F.array(*[F.floor(c(d) / reach) + F.col("_d")[i] for i, d in enumerate(left_dims)]))
+    b = right.withColumn("_b", F.array(*[F.floor(c(d) / reach) for d in right_dims]))
+    apart = F.sqrt(sum(((c(p) - c(q)) * (c(p) - c(q)) for p, q in zip(left_dims, right_dims)), F.lit(0.0)))
+    return a.join(b, (F.col("_a") == F.col("_b")) & (apart <= reach)).withColumn("distance", apart).drop("_a", "_b", "_d")
+
+
+def nearest_on_lines(points: DataFrame, lines: DataFrame, point_id: str, line_id: str, line: str, x: str = "x", y: str = "y") -> DataFrame:
+    """point_id, line_id, lng, lat, metres: nearest place on each line (arcs of great circles) for every pair of ids that the caller has joined.
+
+    ``points`` and ``lines`` are joined on equal ``line_id``; segments are exploded, so a long line is spread over tasks.
+    """
+    v = lambda lng, lat: F.array(*G.surface_normal(lng, lat))
+    from terraloom.functions import num as N
+
+    parts = lines.select(F.col(line_id), F.explode(S.edges(F.col(line), False)).alias("e"))
+    pairs = points.join(parts, line_id).withColumn("_a", v(F.col("e.a.x"), F.col("e.a.y"))).withColumn("_b", v(F.col("e.b.x"), F.col("e.b.y"))).withColumn("_p", v(c(x), c(y)))
+    pairs = pairs.withColumn("_n", N.vec_normalize(N.vec_cross("_a", "_b")))
+    pairs = pairs.withColumn("_f", N.vec_normalize(N.vec_sub("_p", N.vec_scale("_n", N.vec_dot("_p", "_n")))))
+    inside = (N.vec_dot(N.vec_cross("_a", "_f"), "_n") >= 0) & (N.vec_dot(N.vec_cross("_f", "_b"), "_n") >= 0) & (N.vec_length2("_n") > 0)
+    foot = F.when(inside, F.col("_f")).when(N.vec_dot("_p", "_a") >= N.vec_dot("_p", "_b"), F.col("_a")).otherwise(F.col("_b"))
+    best = pairs.withColumn("_q", foot).withColumn("_lng", F.degrees(F.atan2(F.col("_q")[1], F.col("_q")[0]))).withColumn("_lat", F.degrees(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("_q")[2])))))
+    best = best.withColumn("_m", G.haversine(c(x), c(y), F.col("_lng"), F.col("_lat")))
+    out = best.groupBy(point_id, line_id).agg(F.min(F.struct("_m", "_lng", "_lat")).alias("_o"))
+    return out.select(point_id, line_id, F.col("_o._lng").alias("lng"), F.col("_o._lat").alias("lat"), F.col("_o._m").alias("metres"))

@@ -2,12 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; our own only where the session names none."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/terraloom-checkpoints"
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
+
+    A folder of our own is used only where the session has no such setting and
+    runs on one machine; on a cluster the missing setting is an error.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "/tmp/terraloom-checkpoints"
+
+
+def sequential(df: DataFrame, *order, name: str = "n") -> DataFrame:
+    """``df`` with a gapless number from 0 in the given order (which should decide all ties).
+
+    Rows are dealt by range and numbered inside their partitions; only one count
+    a partition is put in sequence.
+    """
+    part = cut(df.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_in", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = part.groupBy(F.col("_part").alias("_p")).count().withColumn("_start", F.coalesce(F.sum("count").over(before), F.lit(0)))
+    return part.join(F.broadcast(starts), F.col("_part") == F.col("_p")).withColumn(name, F.col("_start") + F.col("_in")).drop("_part", "_in", "_p", "count", "_start")  # a row a partition
 
 
 def cut(df: DataFrame) -> DataFrame:
