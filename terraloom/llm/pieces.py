@@ -8,7 +8,11 @@ by a keyed hash of seed, document, copy number, place and number of the
 candidate: the hash gives how many candidates go by until the next skip, as
 independent draws would.  What a chunk becomes depends only on which of its
 candidates are skipped, so that a task may remember (bounded) the pieces for a
-chunk and its skips, as a cache that changes no result.
+chunk and its skips, as a cache that changes no result.  All occurrences of a
+batch are drawn for in one pass of arrays, round by round: only those whose
+next skip falls on a candidate that comes up go on, and their agendas are worked
+off side by side.  Long chunks, and those with characters outside the
+vocabulary, are worked off one by one, each in one pass over its own skips.
 With ``dropout`` 0 the pieces are those of the model itself.
 
 A space becomes U+2581, and one is put in front of a text that isn't empty.
@@ -40,9 +44,10 @@ from terraloom.llm.common import table
 
 MODEL_PATH, DROPOUT, SEED = "/opt/tokenizers/piece_bpe_32k.model", 0.1, 11
 SPACE = "▁"
-MEMORY = 400_000  # remembered chunks with their skips, and as many older ones
-FAR = 1 << 20  # more candidates than are ever drawn for
+MEMORY = 200_000  # remembered chunks, and twice as many chunks with skips, about 80 MB; then a task starts anew, as it does at its end
+FAR = 1 << 40  # beyond any number of candidates
 MASK, NONE, LONG = (1 << 64) - 1, 1 << 60, 40
+CHUNKS = 250_000  # occurrences of a batch that are in arrays at once
 
 
 class Codec:
@@ -78,9 +83,38 @@ class Codec:
         self.dropout, self.seed = dropout, seed
         self.kind = np.uint16 if len(self.pieces) <= 1 << 16 else np.uint32
         self.code = "H" if self.kind is np.uint16 else "I"
-        # chunk, or (chunk, candidates skipped as bits) -> packed pieces, number of candidates that came up
-        self.memory: dict[str | tuple[str, int], tuple[bytes, int]] = {}
-        self.older: dict[str | tuple[str, int], tuple[bytes, int]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop what is remembered.
+
+        A state is a chunk with its skips.  Chunks have their state without skips
+        in ``index`` (-1: to be worked off one by one), and ``child`` leads from a
+        state and the candidate skipped next to the state with that skip, too.
+        """
+        self.index: dict[str, int] = {}
+        self.child: dict[int, int] = {}
+        self.chunks: list[str] = []
+        self.n_states = 0
+        # of each state: number of its chunk, skips as bits in two words, candidates that come up, where its pieces are
+        self.chunk_of, self.low, self.high = np.zeros(1024, np.int32), np.zeros(1024, np.uint64), np.zeros(1024, np.uint64)
+        self.came, self.first, self.size = np.zeros(1024, np.int16), np.zeros(1024, np.int64), np.zeros(1024, np.int16)
+        self.pool, self.pooled = np.zeros(4096, self.kind), 0
+
+    def _add(self, chunk_of: np.ndarray, low: np.ndarray, high: np.ndarray, came: np.ndarray, size: np.ndarray, flat: np.ndarray) -> int:
+        """New states; gives the number of the first."""
+        at, to = self.n_states, self.n_states + len(size)
+        while to > len(self.came):
+            for name in ("chunk_of", "low", "high", "came", "first", "size"):
+                old = getattr(self, name)
+                setattr(self, name, np.concatenate([old, np.zeros_like(old)]))
+        while self.pooled + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.chunk_of[at:to], self.low[at:to], self.high[at:to], self.came[at:to], self.size[at:to] = chunk_of, low, high, came, size
+        self.first[at:to] = self.pooled + np.cumsum(size) - size
+        self.pool[self.pooled : self.pooled + len(flat)] = flat
+        self.n_states, self.pooled = to, self.pooled + len(flat)
+        return at
 
     def _look_up(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Level and piece of the merge of two pieces, as one number; NONE if there is none."""
@@ -90,37 +124,44 @@ class Codec:
 
     def _segment_many(self, chunks: list[str], skips: list[int]) -> list[bytes]:
         """Packed pieces of many chunks; bit n of a chunk's skips: the n-th candidate that comes up is skipped."""
-        return [packed for packed, _ in self._work_off(chunks, skips)]
+        plain = self._plain(chunks)
+        out = [b"" if ok else array(self.code, self._segment(c, s)).tobytes() for c, s, ok in zip(chunks, skips, plain)]
+        rows = np.flatnonzero(plain)
+        low, high = (np.array([skips[i] >> at & MASK for i in rows], np.uint64) for at in (0, 64))
+        order, flat, sizes, _ = self._work_off([chunks[i] for i in rows], low, high)
+        for i, x in zip(rows[order].tolist(), np.split(flat, np.cumsum(sizes)[:-1]) if len(rows) else []):
+            out[i] = x.tobytes()
+        return out
+
+    def _plain(self, chunks: list[str]) -> np.ndarray:
+        """True for the chunks that can be worked off side by side."""
+        lengths = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        codes = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), "<u4")
+        strange = np.append(0, np.cumsum(self.char_ids[codes] < 0))
+        ends = np.cumsum(lengths)
+        return (lengths <= LONG) & (strange[ends] == strange[ends - lengths])
 
-    def _work_off(self, chunks: list[str], skips: list[int]) -> list[tuple[bytes, int]]:
-        """Packed pieces and numbers of candidates of many chunks, whose agendas are worked off side by side.
+    def _work_off(self, chunks: list[str], low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Pieces of many chunks, whose agendas are worked off side by side, as they get done: order, pieces, their numbers, numbers of candidates.
 
         Chunks of like length form a matrix; in every round each chunk takes
         the best candidate of its agenda, which is skipped or merged.
         """
-        out: list[tuple[bytes, int]] = [(b"", 0)] * len(chunks)
-        lengths = np.array([len(c) for c in chunks])
-        codes = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), "<u4")
-        flat = self.char_ids[codes]
-        starts = np.append(0, np.cumsum(lengths))
-        odd = np.zeros(len(chunks), bool)
-        odd[np.repeat(np.arange(len(chunks)), lengths)[flat < 0]] = True
-        odd |= lengths > LONG
-        for i in np.flatnonzero(odd):
-            found, count = self._segment_counted(chunks[i], skips[i])
-            out[i] = array(self.code, found).tobytes(), count
-        low = 0
-        for high in (4, 6, 8, 10, 12, 16, 24, LONG):
-            rows = np.flatnonzero((lengths > low) & (lengths <= high) & ~odd)
-            low = high
+        order, flats, sizes, cames = [np.zeros(0, np.int64)], [np.zeros(0, self.kind)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        lengths = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        every = self.char_ids[np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), "<u4")]
+        starts = np.cumsum(lengths) - lengths
+        shortest = 0
+        for longest in (2, 3, 4, 5, 6, 7, 8, 10, 12, 16, 24, LONG):
+            rows = np.flatnonzero((lengths > shortest) & (lengths <= longest))
+            shortest = longest
             if not len(rows):
                 continue
-            cols = np.arange(high)
+            cols = np.arange(longest)
             inside = cols < lengths[rows][:, None]
-            ids = np.where(inside, flat[np.minimum(starts[rows][:, None] + cols, len(flat) - 1)], -1)
-            own = [skips[i] for i in rows.tolist()]
-            most = max(own).bit_length()
-            words = [np.array([x >> at & MASK for x in own] if at or most > 64 else own, np.uint64) for at in range(0, most, 64)]
+            ids = np.where(inside, every[np.minimum(starts[rows][:, None] + cols, len(every) - 1)], -1)
+            words = low[rows], high[rows]
+            some = bool((words[0] | words[1]).any())
             came = 0
             agenda = np.full(ids.shape, NONE, np.int64)
             agenda[:, :-1] = np.where(inside[:, 1:], self._look_up(ids[:, :-1], np.maximum(ids[:, 1:], 0)), NONE)
@@ -131,44 +172,47 @@ class Codec:
                 done = top == NONE
                 if done.any():
                     kept = ids[done]
-                    packed = kept[kept >= 0].astype(self.kind).tobytes()
-                    ends = np.cumsum((kept >= 0).sum(axis=1)) * self.kind().itemsize
-                    for i, a, b in zip(rows[done].tolist(), [0, *ends[:-1].tolist()], ends.tolist()):
-                        out[i] = packed[a:b], came
+                    order.append(rows[done])
+                    flats.append(kept[kept >= 0].astype(self.kind))
+                    sizes.append((kept >= 0).sum(axis=1))
+                    cames.append(np.full(len(kept), came))
                     go = ~done
-                    rows, ids, agenda, best, top, words = rows[go], ids[go], agenda[go], best[go], top[go], [x[go] for x in words]
-                    at = np.arange(len(rows))
+                    rows, ids, agenda, best, top, words = rows[go], ids[go], agenda[go], best[go], top[go], (words[0][go], words[1][go])
+                    at = at[: len(rows)]
                 if not len(rows):
                     break
-                piece = top & 0xFFFFFFFF
-                if came < most:
+                m = at
+                if some and came < 128:
                     skip = words[came >> 6] >> np.uint64(came & 63) & np.uint64(1) == 1
-                    agenda[at[skip], best[skip]] = NONE
-                    m = np.flatnonzero(~skip)
-                else:
-                    m = at
+                    if skip.any():
+                        agenda[at[skip], best[skip]] = NONE
+                        m = np.flatnonzero(~skip)
                 came += 1
-                b, new = best[m], piece[m]
-                source = np.minimum(cols + (cols > b[:, None]), high - 1)
+                b, new = best[m], top[m] & 0xFFFFFFFF
+                source = np.minimum(cols + (cols > b[:, None]), longest - 1) + m[:, None] * longest
                 for x in (agenda, ids):
-                    x[m] = np.take_along_axis(x[m], source, axis=1)
+                    x[m] = x.ravel()[source]
                 ids[m, -1] = -1
                 agenda[m, -1] = NONE
                 ids[m, b] = new
-                right = np.minimum(b + 1, high - 1)
-                has = (b + 1 < high) & (ids[m, right] >= 0)
+                right = np.minimum(b + 1, longest - 1)
+                has = (b + 1 < longest) & (ids[m, right] >= 0)
                 agenda[m, b] = NONE
                 agenda[m[has], b[has]] = self._look_up(new[has], ids[m[has], right[has]])
                 has = b > 0
                 agenda[m[has], b[has] - 1] = self._look_up(ids[m[has], b[has] - 1], new[has])
-        return out
+        return np.concatenate(order), np.concatenate(flats), np.concatenate(sizes), np.concatenate(cames)
 
     def _segment(self, chunk: str, skips: int) -> list[int]:
         """Piece ids of a chunk by its agenda of merges."""
         return self._segment_counted(chunk, skips)[0]
 
     def _segment_counted(self, chunk: str, skips: int) -> tuple[list[int], int]:
-        scores, ids, came = self.scores, self.ids, 0
+        return self._agenda(chunk, (n for n in range(skips.bit_length()) if skips >> n & 1))
+
+    def _agenda(self, chunk: str, skipped: Iterator[int]) -> tuple[list[int], int]:
+        """Piece ids of a chunk, and how many candidates came up; the numbers of the skipped ones are taken as they are needed."""
+        scores, ids, came, skip = self.scores, self.ids, 0, next(skipped, -1)
         n = len(chunk)
         symbols: list[str | None] = list(chunk)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -188,7 +232,8 @@ class Codec:
             if j >= n or len(left) + len(symbols[j]) != len(both) or left + symbols[j] != both:
                 continue  # one side has changed meanwhile
             came += 1
-            if skips >> came - 1 & 1:
+            if skip == came - 1:
+                skip = next(skipped, -1)
                 continue
             symbols[i], symbols[j] = both, None
             k = after[i] = after[j]
@@ -226,11 +271,12 @@ class Codec:
             chunks += self.chunk.findall((part if n else " " + part).replace(" ", SPACE))
         return chunks, literal
 
-    def _draw(self, own: np.ndarray, turn: int) -> np.ndarray:
+    def _draw(self, own: np.ndarray, turn: int | np.ndarray) -> np.ndarray:
         """How many candidates go by until the next skip, for occurrences named by a number: geometric, by a keyed hash."""
         if not self.dropout:
             return np.full(len(own), FAR)
-        x = (own + np.uint64((turn + 1) * 0x9E3779B97F4A7C15 & MASK)) ^ np.uint64(self.seed * 0xC2B2AE3D27D4EB4F & MASK)
+        steps = (np.atleast_1d(turn).astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        x = (own + steps) ^ np.uint64(self.seed * 0xC2B2AE3D27D4EB4F & MASK)
         for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
             x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
         x ^= x >> np.uint64(31)
@@ -239,88 +285,102 @@ class Codec:
         uniform = ((x >> np.uint64(11)).astype(np.float64) + 0.5) / 2**53
         return np.minimum(np.log(uniform) / np.log1p(-self.dropout), FAR).astype(np.int64)
 
-    def _all_skips(self, own: np.ndarray) -> list[int]:
-        """The skips of occurrences among their first 128 candidates, as bits."""
-        words = np.zeros((2, len(own)), np.uint64)
-        at, turn, open_ = self._draw(own, 0), 0, np.arange(len(own))
-        while True:
-            go = at < 128
-            open_, at = open_[go], at[go]
-            if not len(open_):
-                return [a | b << 64 if b else a for a, b in zip(*words.tolist())]
-            words[at >> 6, open_] |= np.uint64(1) << (at & 63).astype(np.uint64)
+    def _skips_of(self, own: int, gaps: list[int]) -> Iterator[int]:
+        """All skips of one occurrence, drawn some at a time; ``gaps`` are its first draws."""
+        at, turn = -1, 0
+        while at < FAR:
+            for gap in gaps:
+                at += 1 + gap
+                yield at
+            turn += len(gaps)
+            gaps = self._draw(np.full(256, own, np.uint64), np.arange(turn, turn + 256)).tolist()
+
+    def _occurrences(self, every: list[str], own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of all chunks in a row, and how many each has; ``own`` names the occurrences for the draws."""
+        index, child = self.index, self.child
+        new = list(set(every).difference(index))
+        if new:
+            plain = self._plain(new)
+            index.update((new[i], -1) for i in np.flatnonzero(~plain).tolist())
+            new = [new[i] for i in np.flatnonzero(plain).tolist()]
+            none = np.zeros(len(new), np.uint64)
+            order, flat, sizes, came = self._work_off(new, none, none)
+            at = self._add(order + len(self.chunks), none, none, came, sizes, flat)
+            self.chunks += new
+            index.update(zip(map(new.__getitem__, order.tolist()), range(at, self.n_states)))
+        state = np.fromiter(map(index.__getitem__, every), np.int64, len(every))
+        alone = np.flatnonzero(state < 0)
+        # round by round: occurrences whose next skip falls on a candidate that comes up get one skip more
+        at = self._draw(own, 0)
+        open_ = np.flatnonzero((at < self.came[state]) & (state >= 0))
+        at, turn = at[open_], 0
+        while len(open_):
             turn += 1
+            key, back = np.unique(state[open_] << 7 | at, return_inverse=True)
+            found = np.fromiter((child.get(k, -1) for k in key.tolist()), np.int64, len(key))
+            missing = np.flatnonzero(found < 0)
+            if len(missing):
+                parent, skip = key[missing] >> 7, (key[missing] & 127).astype(np.uint64)
+                bit = np.uint64(1) << (skip & np.uint64(63))
+                low, high = self.low[parent] | np.where(skip < 64, bit, np.uint64(0)), self.high[parent] | np.where(skip < 64, np.uint64(0), bit)
+                chunk = self.chunk_of[parent]
+                order, flat, sizes, came = self._work_off(list(map(self.chunks.__getitem__, chunk.tolist())), low, high)
+                first = self._add(chunk[order], low[order], high[order], came, sizes, flat)
+                found[missing[order]] = np.arange(first, self.n_states)
+                child.update(zip(key[missing].tolist(), found[missing].tolist()))
+            state[open_] = found[back]
             at = at + 1 + self._draw(own[open_], turn)
-
-    def _new(self, chunks: list[str], skips: list[int]) -> list[tuple[bytes, int]]:
-        """Chunks with their skips worked off; the results are remembered."""
-        out = []
-        for first in range(0, len(chunks), 50_000):
-            out += self._work_off(chunks[first : first + 50_000], skips[first : first + 50_000])
-        for c, s, found in zip(chunks, skips, out):
-            s &= (1 << found[1]) - 1
-            self.memory[(c, s) if s else c] = found
-        return out
+            go = at < self.came[state[open_]]
+            open_, at = open_[go], at[go]
+        sizes = np.where(state < 0, 0, self.size[state]).astype(np.int64)
+        one_by_one = {}
+        gaps = self._draw(np.repeat(own[alone], 4), np.tile(np.arange(4), len(alone))).reshape(-1, 4).tolist()
+        for i, drawn in zip(alone.tolist(), gaps):
+            one_by_one[i] = np.array(self._agenda(every[i], self._skips_of(int(own[i]), drawn))[0], self.kind)
+            sizes[i] = len(one_by_one[i])
+        ends = np.cumsum(sizes)
+        known = sizes if not len(alone) else np.where(state < 0, 0, sizes)
+        out = np.zeros(int(ends[-1]), self.kind)
+        shift = np.repeat(self.first[state] - (np.cumsum(known) - known), known)
+        pieces = self.pool[shift + np.arange(len(shift))]
+        if len(alone):
+            out[np.repeat(state >= 0, sizes)] = pieces
+            for i, x in one_by_one.items():
+                out[ends[i] - len(x) : ends[i]] = x
+        else:
+            out = pieces
+        if len(self.chunks) > MEMORY or len(child) > 2 * MEMORY or len(index) > 2 * MEMORY:
+            self.forget()
+        return out, sizes
 
     def encode_many(self, texts: list[str], keys: list[int]) -> list[np.ndarray]:
         """Piece ids of each text; its key names the document, and with the seed decides the draws."""
         cut = [self._chunks(t) if t else ([], []) for t in texts]
-        sizes = [len(c) for c, _ in cut]
+        n_chunks = np.array([len(c) for c, _ in cut], np.int64)
         every = [c for chunks, _ in cut for c in chunks]
+        literal = np.array([first + i for first, (_, own) in zip((np.cumsum(n_chunks) - n_chunks).tolist(), cut) for i in own], np.int64)
+        del cut
         if not every:
             return [np.zeros(0, self.kind) for _ in texts]
-        place = np.concatenate([np.arange(n, dtype=np.uint64) for n in sizes])
-        named = np.repeat(np.array([k & MASK for k in keys], np.uint64), sizes)
+        place = np.concatenate([np.arange(n, dtype=np.uint64) for n in n_chunks.tolist()])
+        named = np.array([k & MASK for k in keys], np.uint64)
         named = (named ^ (named >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        own = (named ^ (named >> np.uint64(29))) + place * np.uint64(0xA0761D6478BD642F)
-        number = {c: n for n, c in enumerate(dict.fromkeys(every))}
-        of = np.fromiter(map(number.__getitem__, every), np.int64, len(every))
-        memory, older = self.memory, self.older
-        plain = [memory.get(c) or older.get(c) for c in number]
-        new = [n for n, x in enumerate(plain) if x is None]
-        names = list(number)
-        # A chunk that is new and stands once is worked off with its own skips at once, others without skips first.
-        once = np.zeros(len(names), bool)
-        once[new] = True
-        once &= np.bincount(of) == 1
-        once &= np.fromiter(map(len, names), np.int64, len(names)) <= LONG
-        alone = np.flatnonzero(once[of])
-        settled = dict(zip(of[alone].tolist(), self._new([every[i] for i in alone.tolist()], self._all_skips(own[alone]))))
-        for n, found in settled.items():
-            plain[n] = found[0], 0
-        rest = [n for n in new if n not in settled]
-        for n, found in zip(rest, self._new([names[n] for n in rest], [0] * len(rest))):
-            plain[n] = found
-        found = list(map([x for x, _ in plain].__getitem__, of.tolist()))
-        # Occurrences whose next skip falls on a candidate that comes up, round by round: each round has one skip more.
-        came = np.array([n for _, n in plain])[of]
-        at = self._draw(own, 0)
-        open_ = np.flatnonzero(at < came)
-        at, skips, turn = at[open_], [0] * len(open_), 0
-        while len(open_):
-            turn += 1
-            asked = [(every[i], s | 1 << a) for i, s, a in zip(open_.tolist(), skips, at.tolist())]
-            fresh = {k: memory.get(k) or older.get(k) for k in set(asked)}
-            new = [k for k, x in fresh.items() if x is None]
-            fresh.update(zip(new, self._new([c for c, _ in new], [s for _, s in new])))
-            got = [fresh[k] for k in asked]
-            for i, (x, _) in zip(open_.tolist(), got):
-                found[i] = x
-            came = np.array([n for _, n in got])
-            at = at + 1 + self._draw(own[open_], turn)
-            go = np.flatnonzero(at < came)
-            skips = [asked[n][1] for n in go.tolist()]
-            open_, at = open_[go], at[go]
-        mark = array(self.code, [self.bytes[b] for b in SPACE.encode()]).tobytes()
-        out, first = [], 0
-        for (_, literal), n in zip(cut, sizes):
-            for i in literal:
-                found[first + i] = mark
-            out.append(np.frombuffer(b"".join(found[first : first + n]), self.kind))
-            first += n
-        if len(memory) > MEMORY:
-            self.older, self.memory = {k: v for k, v in memory.items() if len(k if isinstance(k, str) else k[0]) <= LONG}, {}
-        return out
+        own = np.repeat(named ^ (named >> np.uint64(29)), n_chunks) + place * np.uint64(0xA0761D6478BD642F)
+        parts = [self._occurrences(every[at : at + CHUNKS], own[at : at + CHUNKS]) for at in range(0, len(every), CHUNKS)]
+        flat, sizes = (np.concatenate(x) for x in zip(*parts))
+        del parts, place
+        if len(literal):
+            # a U+2581 of the text itself becomes its bytes
+            mark = np.array([self.bytes[b] for b in SPACE.encode()], self.kind)
+            ends = np.cumsum(sizes)
+            pieces, before = [], 0
+            for i in literal.tolist():
+                pieces += [flat[before : ends[i] - sizes[i]], mark]
+                before = ends[i]
+            flat = np.concatenate([*pieces, flat[before:]])
+            sizes[literal] = len(mark)
+        ends = np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(n_chunks))]
+        return [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
     def encode(self, text: str, key: int = 0) -> np.ndarray:
         return self.encode_many([text], [key])[0]
@@ -351,7 +411,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             while at < len(texts):
                 first = at
                 size = 0
-                while at < len(texts) and size < 4_000_000:
+                while at < len(texts) and size < 2_000_000:
                     size += len(texts[at] or "")
                     at += 1
                 part = [t or "" for t in texts[first:at]]
@@ -363,6 +423,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 missing = np.array([t is None for t in texts[first:at]])
                 ids = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.concatenate(found).astype(np.int32)), mask=pa.array(missing))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, at - first), pa.array(np.diff(cuts), pa.int64()), ids, pa.array(same)], ["doc_id", "n_tokens", "ids", "lossless"])
+        own.forget()
 
     copy = docs[copy_col].cast("long") if copy_col else F.lit(0).cast("long")
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), copy.alias("copy"))

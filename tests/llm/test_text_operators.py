@@ -5,6 +5,7 @@ import random
 import re
 from itertools import product
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -311,3 +312,63 @@ def test_copies_of_a_document_differ(spark):
     got = pieces.encode_copies(rows).collect()
     assert len(got) == 8 and all(r.lossless for r in got) and len({tuple(r.ids) for r in got}) == 8
     assert {tuple(r.ids) for r in pieces.encode_copies(rows.repartition(3)).collect()} == {tuple(r.ids) for r in got}
+
+
+def plain_pieces(own, text, key, copy_key=0):
+    """One agenda for each chunk, read from its rules: the best candidate first, leftmost of equals, each skipped by its own draw."""
+    out = []
+    for place, chunk in enumerate(own._chunks(text)[0] if text else []):
+        if place in own._chunks(text)[1]:
+            out += [own.bytes[b] for b in chunk.encode()]
+            continue
+        named = key & (1 << 64) - 1
+        named = (named ^ named >> 32) * 0xD6E8FEB86659FD93 & (1 << 64) - 1
+        name = ((named ^ named >> 29) + place * 0xA0761D6478BD642F) & (1 << 64) - 1
+        draw = lambda turn: int(own._draw(np.array([name], np.uint64), turn)[0])
+        symbols, gone, came, turn = list(chunk), set(), 0, 1
+        skip = draw(0)
+        while True:
+            starts = [sum(map(len, symbols[:i])) for i in range(len(symbols))]
+            some = [(-own.scores[a + b], starts[i], i) for i, (a, b) in enumerate(zip(symbols, symbols[1:])) if a + b in own.scores and (starts[i], a, b) not in gone]
+            if not some:
+                break
+            _, start, i = min(some)
+            if came == skip:
+                gone.add((start, symbols[i], symbols[i + 1]))
+                skip, turn = skip + 1 + draw(turn), turn + 1
+            else:
+                symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+            came += 1
+        for s in symbols:
+            out += [own.ids[s]] if s in own.ids else [own.bytes[b] for b in s.encode("utf-8", "surrogatepass")]
+    return out
+
+
+@pytest.mark.parametrize("dropout", [0.0, 0.1, 0.5, 1.0])
+def test_merge_dropout_by_brute_force(dropout, labelled, spark):
+    own = pieces.Codec(pieces.MODEL_PATH, dropout, 5)
+    rnd = random.Random(3)
+    texts = [t for t in TEXTS if len(t) < 400] + [r.text[:600] for r in spark.read.parquet(f"{labelled}/documents.parquet").where("text IS NOT NULL").limit(30).collect()]
+    texts += ["".join(rnd.choices(["understand", "ing", " ", "x", "東", "a▁", "é", "supercalifragilistic", "zq"], k=30)) for _ in range(20)]
+    keys = list(range(7, 7 + len(texts)))
+    for t, k, got in zip(texts, keys, own.encode_many(texts, keys)):
+        assert got.tolist() == plain_pieces(own, t, k), t
+        assert own.decode(got.tolist()) == t
+
+
+def test_what_is_remembered_changes_nothing(monkeypatch):
+    texts = [" ".join(random.Random(i).choices(["understanding", "tokenization", "naïve", "東京", "of", "the", "x" * 50], k=400)) for i in range(6)]
+    want = [x.tolist() for x in pieces.Codec(pieces.MODEL_PATH, 0.2, 5).encode_many(texts, list(range(6)))]
+    monkeypatch.setattr(pieces, "MEMORY", 3)
+    monkeypatch.setattr(pieces, "CHUNKS", 64)
+    own = pieces.Codec(pieces.MODEL_PATH, 0.2, 5)
+    assert [own.encode(t, k).tolist() for k, t in enumerate(texts)] == want
+
+
+def test_a_very_long_word_takes_one_pass():
+    import time
+
+    own = pieces.Codec(pieces.MODEL_PATH, 0.1, 5)
+    start = time.process_time()
+    text = "".join(random.Random(1).choices("abcdefghijklmnopqrstuvwxyz", k=200_000))
+    assert own.decode(own.encode(text).tolist()) == text and time.process_time() - start < 30
