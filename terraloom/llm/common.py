@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terraloom.plans.lineage import cut, shared_dir  # noqa: F401
+
 #: Words are maximal runs of anything but space, tab, LF, VT, FF and CR; Java and RE2 read it alike.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -15,23 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
-
-    Only where the session has no such setting (tests on one machine) a folder
-    of our own is used.
-    """
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/terraloom-checkpoints"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
