@@ -12,8 +12,8 @@ most ``slots`` rows, a fixed number, so it may pass through the driver and be
 broadcast.  Records never do: they meet only in sums by slot (combined before
 the shuffle) and in a numbering inside each slot.
 
-Null texts have no bytes and the crc of the empty string; null ids share one
-slot.  Repeated rows are records of their own.  Extra columns are ignored.
+Null texts have no bytes and the crc of the empty string; records without an id
+are spread by their size and crc.  Repeated rows are records of their own.  Extra columns are ignored.
 Empty tables give an empty result and an even map.
 """
 
@@ -101,6 +101,12 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> Data
     return maps.where(F.col("version") == version).drop("version")
 
 
+def _stored(spark: SparkSession, path: str) -> bool:
+    """Whether any version of a map is stored at ``path``, on whatever file system it is."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot, map_version.
 
@@ -111,12 +117,12 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     """
     spark = docs.sparkSession
     text = F.coalesce(docs[text_col], F.lit(""))
-    sized = docs.select(docs[id_col].cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32")).withColumn("virtual_slot", slot_of(F.col("doc_id"), slots))
+    sized = docs.select(docs[id_col].cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32")).withColumn("virtual_slot", F.when(F.col("doc_id").isNotNull(), slot_of(F.col("doc_id"), slots)).otherwise(F.pmod(F.xxhash64("size", "text_crc32"), F.lit(slots)).cast("int")))
     sums = slot_sums(sized, slots)
     path, version = map_path or scratch_path(spark, "slot-map"), 0
-    if map_path is not None:
-        old = load_map(spark, path)
+    if map_path is not None and _stored(spark, path):
         version = 1 + spark.read.parquet(path).agg(F.max("version")).first()[0]
+        old = load_map(spark, path, version - 1)
         mapping = rebalance({r["virtual_slot"]: r["shard"] for r in old.select("virtual_slot", "shard").collect()}, sums, shards)
     else:
         mapping = even_map(sums, shards)

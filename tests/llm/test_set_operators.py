@@ -52,6 +52,27 @@ def test_rebalancing_moves_few_slots_and_keeps_versions(spark, tmp_path):
     assert {r.virtual_slot: r.shard for r in sharding.load_map(spark, path).collect()} == new
 
 
+def test_a_stored_map_is_rebalanced(spark, tmp_path):
+    path = str(tmp_path / "map")
+    rows = [(i, "x" * (i % 50)) for i in range(3000)]
+    first = {r.doc_id: r.shard for r in sharding.shard(docs(spark, rows), slots=512, map_path=path).collect()}
+    again = sharding.shard(docs(spark, rows + [(i, "y" * 90) for i in range(3000, 3300)]), shards=25, slots=512, map_path=path).collect()
+    assert {r.map_version for r in again} == {1} and {r.shard for r in again} == set(range(25))
+    moved = sum(first[r.doc_id] != r.shard for r in again if r.doc_id in first)
+    assert 0 < moved < 0.2 * len(rows)
+    assert sorted(r["version"] for r in spark.read.parquet(path).select("version").distinct().collect()) == [0, 1]
+
+
+def test_records_without_an_id_are_spread(spark):
+    rows = [(None, "x" * i) for i in range(2000)]
+    got = sharding.shard(docs(spark, rows)).collect()
+    load = {}
+    for r in got:
+        load[r.shard] = load.get(r.shard, 0) + r.size
+    assert len({r.virtual_slot for r in got}) > 1000 and max(load.values()) < 1.2 * min(load.values())
+    assert len({(r.shard, r.slot) for r in got}) == 2000
+
+
 def test_sharding_of_odd_rows(spark):
     got = sharding.shard(docs(spark, ODD)).collect()
     assert sorted(r.size for r in got) == [8, 8, 8, 8, 8, 12, 100_008]
