@@ -16,7 +16,8 @@ distance or beyond would be nearer than the k-th found with probability at most
 with its k-th distance so far, doesn't exclude, and searches them in the same
 way.  All vectors are indexed, equal ones once with their k + 1 smallest ids.
 
-Null ids, and vectors that are null, zero, hold a null or non-finite component
+Components are kept in double precision, so scores are those of the vectors as
+given.  Null ids, and vectors that are null, zero, hold a null or non-finite component
 or have another length than most, take no part.  A query never finds its own
 id.  With fewer than k candidates all are found.  Repeated rows count once.
 Other columns are ignored; empty tables give empty results.
@@ -35,7 +36,7 @@ from terraloom.llm.common import cut, table
 
 K, EVERY, DIMS, SURE, LEAF_ROWS, BUCKET_ROWS, SAMPLE, SEED = 20, 20, 8, 0.98, 20_000, 512, 50_000, 7
 
-POINTS = "leaf int, vec array<float>, ids array<long>, proj array<double>"
+POINTS = "leaf int, vec array<double>, ids array<long>, proj array<double>"
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -57,7 +58,7 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     v = vectors[vec_col]
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     own = vectors.where(vectors[id_col].isNotNull() & v.isNotNull() & finite & F.exists(v, lambda x: x != 0))
-    own = own.select(vectors[id_col].cast("long").alias("id"), v.cast("array<float>").alias("vec"))
+    own = own.select(vectors[id_col].cast("long").alias("id"), v.cast("array<double>").alias("vec"))
     most = own.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").first()
     return own.where(F.size("vec") == (most["n"] if most else 0)).distinct()
 
@@ -117,9 +118,15 @@ def _query_points(vecs: np.ndarray, norm2: float) -> np.ndarray:
 
 
 def _box_distance2(points: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Squared distance of each point to each box."""
-    gap = np.maximum(0.0, np.maximum(low[None] - points[:, None], points[:, None] - high[None]))
-    return (gap * gap).sum(axis=2)
+    """Squared distance of each point to each box, one axis after the other, so that no more than the result is held."""
+    out = np.zeros((len(points), len(low)))
+    for axis in range(points.shape[1]):
+        at = points[:, axis, None]
+        gap = np.maximum(low[None, :, axis] - at, at - high[None, :, axis])
+        np.maximum(gap, 0.0, out=gap)
+        gap *= gap
+        out += gap
+    return out
 
 
 def _buckets(proj: np.ndarray, most: int) -> list[np.ndarray]:
@@ -224,10 +231,10 @@ def search_vectors(vectors: DataFrame, query_where, id_col: str = "vec_id", vec_
 
     def ask(first: bool):
         def route(batches):
-            for batch in batches:
+            # a matrix of queries by leaves is bounded, whatever the number of leaves
+            rows = max(1, 2_000_000 // len(leaf_ids))
+            for batch in (whole.slice(at, rows) for whole in batches for at in range(0, whole.num_rows, rows)):
                 vecs = _matrix(batch.column("vec"), dims)
-                if not len(vecs):
-                    continue
                 proj = _query_points(vecs, norm2) @ weights
                 away = _box_distance2(proj, low, high)
                 home = np.argmin(away, axis=1)
@@ -247,7 +254,7 @@ def search_vectors(vectors: DataFrame, query_where, id_col: str = "vec_id", vec_
 
         return route
 
-    asks = "leaf int, query_id long, vec array<float>, worst double, proj array<double>"
+    asks = "leaf int, query_id long, vec array<double>, worst double, proj array<double>"
     search = _searcher(dims, norm2, k, limit, bucket_rows)
     asked = own.where(query_where).select(F.col("id").alias("query_id"), "vec")
     start = asked.withColumn("worst", F.lit(float("-inf")))

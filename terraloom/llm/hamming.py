@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from terraloom.llm.common import cut, table
+from terraloom.llm.common import blocks_for, cut, table
 
 BITS, SEGMENTS, WIDTH = 64, 4, 16
 K, EVERY, BLOCK_CODES = 10, 50, 50_000
@@ -103,7 +103,7 @@ def search_codes(codes: DataFrame, queries: DataFrame, k: int = K, block_codes:
     rows, n_codes = codes.count(), index.count()
     segments = F.explode(F.array(*[F.struct(F.lit(s).alias("seg"), _segment(F.col("code"), s).alias("value")) for s in range(SEGMENTS)]))
     entries = index.select("code", "ids", segments.alias("k")).select("code", "ids", "k.seg", "k.value")
-    n_blocks = max(4, SEGMENTS * n_codes // block_codes)
+    n_blocks = blocks_for(codes, least=max(8, SEGMENTS * n_codes // block_codes))
     part = max(1, block_codes // 2)
     hot = cut(entries.groupBy("seg", "value").count().where(F.col("count") > part).select(F.col("seg").alias("hot_seg"), F.col("value").alias("hot_value"), F.ceil(F.col("count") / part).cast("int").alias("salts")))
     is_hot = (F.col("seg") == F.col("hot_seg")) & (F.col("value") == F.col("hot_value"))
@@ -114,11 +114,11 @@ def search_codes(codes: DataFrame, queries: DataFrame, k: int = K, block_codes:
     open_queries, best = asked, None
     for radius in range(WIDTH + 1):
         own = F.explode(F.array(*[F.struct(F.lit(s).alias("seg"), _segment(F.col("query_code"), s).alias("value")) for s in range(SEGMENTS)]))
-        masks = F.array(*[F.lit(m) for m in _masks(radius)]) if radius <= 2 else None
-        probes = open_queries.select("query_id", "query_code", own.alias("k")).select("query_id", "query_code", "k.seg", F.col("k.value").alias("home"))
-        if masks is None:  # every 16-bit value at this distance
-            every = F.filter(F.sequence(F.lit(0), F.lit((1 << WIDTH) - 1)), lambda m: F.bit_count(m) == radius)
-            masks = every
+        # each query makes hundreds of probes, so the queries are dealt out before
+        spread = open_queries.repartition(n_blocks, "query_id")
+        probes = spread.select("query_id", "query_code", own.alias("k")).select("query_id", "query_code", "k.seg", F.col("k.value").alias("home"))
+        # the 16-bit values at this distance, one constant of the plan
+        masks = F.from_json(F.lit(str(_masks(radius))), "array<int>")
         probes = probes.withColumn("mask", F.explode(masks)).select("query_id", "query_code", "seg", F.col("home").bitwiseXOR(F.col("mask")).alias("value"))
         probes = probes.join(hot, is_hot, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
         asks = probes.select(block(F.col("salt")), "query_id", "query_code", "seg", "value").groupBy("block", "query_id", "query_code", "seg").agg(F.collect_set("value").alias("values"))

@@ -134,6 +134,12 @@ def test_recall_of_stable_projections(spark):
     assert hit >= 0.9 * asked
 
 
+def test_double_vectors_keep_their_precision(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.1, 0.3]), (2, [0.1 + 1e-12, 0.7]), (20, [0.3, 0.1])]
+    got = ann.search_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") == 0).collect()
+    assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"])] == [(20, 0.3), (2, 0.1 + 1e-12), (1, 0.1)]
+
+
 def test_neighbours_of_odd_rows(spark):
     rows = [(0, [1.0, 0.0], "x"), (20, [1.0, 0.0], "x"), (1, [0.5, 1.0], "x"), (1, [0.5, 1.0], "x"), (2, None, "x"), (None, [1.0, 1.0], "x"), (3, [0.0, 0.0], "x"), (4, [float("nan"), 1.0], "x"), (5, [None, 1.0], "x"), (6, [1.0], "x")]
     got = ann.search_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, leaf string"), F.col("id") % 20 == 0).collect()
