@@ -23,13 +23,17 @@ def _blocks(samples: DataFrame, size: int = BLOCK) -> tuple[DataFrame, int]:
     return own.withColumn("block", F.pmod(F.xxhash64("n"), F.lit(blocks)).cast("int")), blocks
 
 
-def idw(targets: DataFrame, samples: DataFrame, target_id: str, power: float = 2.0, radius: float | None = None) -> DataFrame:
+def idw(targets: DataFrame, samples: DataFrame, target_id: str, power: float = 2.0, radius: float | None = None, most_samples: int | None = None) -> DataFrame:
     """target_id, value: mean of the samples weighted by 1 / distance^power; a sample at the place itself decides.
 
     Without ``radius`` every sample counts for every target: both are dealt into
     blocks that meet one by one, and their sums are added up by target.  With it
-    samples are joined by grid cell, which is the way for many targets.
+    samples are joined by grid cell, which is the way for many targets.  A
+    caller may set ``most_samples`` to be stopped before an all-to-all run over
+    more; by default there is no bound.
     """
+    if radius is None and most_samples is not None and samples.limit(most_samples + 1).count() > most_samples:
+        raise ValueError(f"more than {most_samples} samples: give a radius, so that they are joined by place")
     d = F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"))
     if radius is None:
         own, blocks = _blocks(samples)

@@ -243,7 +243,10 @@ def crs_round_trip(spark, sf_dir):
     return there.select("id", r6(lng).alias("lng"), r6(lat).alias("lat"), ((F.col("a") != F.col("x")) | (F.col("b") != F.col("y"))).alias("shifted"))
 
 
-@query(f"WITH c AS ({CUST}) SELECT id, round(x, 3) AS lng, round(y, 3) AS lat FROM c WHERE x <> -170 OR y <> -20")
+LAEA = f"WITH c AS ({CUST}) SELECT id, round(x, 3) AS lng, round(y, 3) AS lat FROM c WHERE x <> -170 OR y <> -20"
+
+
+@query(LAEA)
 def laea_round_trip(spark, sf_dir):
     """All customers but those at the antipode of the centre, where the projection isn't defined."""
     f = customers(spark, sf_dir).where("x <> -170 OR y <> -20").select("id", *[v.alias(n) for n, v in zip(("a", "b"), P.laea("x", "y", 10.0, 20.0))])
@@ -251,6 +254,12 @@ def laea_round_trip(spark, sf_dir):
     return f.select("id", F.round(lng, 3).alias("lng"), F.round(lat, 3).alias("lat"))
 
 
+@query(LAEA)
+def laea_everywhere(spark, sf_dir):
+    """The same rows under the name that this query had while the other covered a part of them."""
+    return laea_round_trip(spark, sf_dir)
+
+
 @query(f"""WITH c AS ({CUST}), g AS (SELECT id, x, y, least(floor((x + 180) / 360 * 1048576), 1048575)::BIGINT AS i, least(floor((y + 90) / 180 * 1048576), 1048575)::BIGINT AS j FROM c),
 l AS (SELECT id, k, list_sum([((CASE WHEN (k * 5 + b) % 2 = 0 THEN i >> (19 - (k * 5 + b) // 2)::INT ELSE j >> (19 - (k * 5 + b) // 2)::INT END) & 1) << (4 - b)::INT FOR b IN range(0, 5)])::INT AS v FROM g, range(0, 8) t(k))
 SELECT id, string_agg(substr('0123456789bcdefghjkmnpqrstuvwxyz', v + 1, 1), '' ORDER BY k) AS hash, true AS holds FROM l GROUP BY id""")
