@@ -324,9 +324,9 @@ def cluster_leaves(spark, sf_dir):
 
 @query(f"""WITH c AS ({CUST}), p AS (SELECT DISTINCT floor((x + 180) / 360 * 512 * 8 / 60)::BIGINT AS bx, floor((1 - ln(tan(radians(y)) + 1 / cos(radians(y))) / {PI}) / 2 * 512 * 8 / 60)::BIGINT AS b2 FROM c),
 s AS (SELECT z, w, bx // (1 << (3 - z)::INT) AS cx, b2 // (1 << (3 - z)::INT) AS cy, count(DISTINCT (bx // (1 << (3 - w)::INT)) * 100000 + b2 // (1 << (3 - w)::INT)) AS n FROM p, range(0, 4) a(z), range(0, 4) b(w) WHERE w >= z GROUP BY 1, 2, 3, 4)
-SELECT z::INT AS zoom, cx, cy, min(CASE WHEN n > 1 THEN w END)::INT AS expands FROM s GROUP BY 1, 2, 3""")
+SELECT z::INT AS zoom, cx, cy, coalesce(min(CASE WHEN n > 1 THEN w END), -1)::INT AS expands FROM s GROUP BY 1, 2, 3""")
 def cluster_expansion(spark, sf_dir):
-    return clustering.expansion_zooms(customers(spark, sf_dir), 60.0, range(0, 4))
+    return clustering.expansion_zooms(customers(spark, sf_dir), 60.0, range(0, 4)).withColumn("expands", F.coalesce("expands", F.lit(-1)))
 
 
 @query(f"""WITH c AS ({CUST}), p AS (SELECT x, y, floor((x + 180) / 360 * 512 * 4 / 60)::BIGINT AS cx, floor((1 - ln(tan(radians(y)) + 1 / cos(radians(y))) / {PI}) / 2 * 512 * 4 / 60)::BIGINT AS cy FROM c)

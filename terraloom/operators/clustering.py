@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,18 +83,17 @@ def k_means(points: DataFrame, k: int, id_col: str, features: list[str], most_ro
 
     Lloyd's rounds from farthest-first centres: the point of smallest id, then
     each time the point farthest from the centres so far.  A round is one
-    aggregation to k rows; an empty cluster keeps its centre.  The centres come
-    as a table of one row, so all rounds share one plan.
+    aggregation to k rows; an empty cluster keeps its centre.  The centres are
+    one constant array, so all rounds share the generated code.
     """
-    spark = points.sparkSession
     own = points.select(F.col(id_col).alias("id"), F.array(*[c(f).cast("double") for f in features]).alias("f")).persist()
 
     def ranked(centres: list[list[float]]) -> DataFrame:
         """id, f, and (d, i) of the nearest centre."""
-        table = spark.createDataFrame([(centres,)], "m array<array<double>>")
+        table = F.from_json(F.lit(json.dumps(centres)), "array<array<double>>")
         apart = lambda m: F.aggregate(F.zip_with("f", m, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-        near = F.array_min(F.transform("m", lambda m, i: F.struct(apart(m).alias("d"), i.alias("i"))))
-        return own.join(F.broadcast(table)).select("id", "f", near.alias("n"))  # one row
+        near = F.array_min(F.transform(table, lambda m, i: F.struct(apart(m).alias("d"), i.alias("i"))))
+        return own.select("id", "f", near.alias("n"))
 
     row = own.agg(F.min_by("f", "id").alias("f")).first()
     if row["f"] is None:
