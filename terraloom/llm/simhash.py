@@ -24,12 +24,14 @@ bit count in the join.
 counts are the bits themselves (wider segments lose more than they merge at
 this reach).  The grid is laid over ``TABLES`` drawn subsets of segments; texts
 that share a cell of one are at Manhattan distance zero there, a lower bound of
-theirs, and meet.  What meets is tested for the exact Hamming distance, then
-for the exact Jaccard similarity of the sets of five-word shingles.  Two texts
-of similarity 0.8 share a cell with probability of about 0.97, closer ones with
-more.  In a cell all texts first meet its smallest only; after that, pairs that
-are in one component already are left out, so a large group of near copies
-makes pairs in proportion to its size, and no link between components is lost.
+theirs, and meet.  What meets is tested for the exact Hamming distance, and for
+that of another 512 bits of the set of five-word shingles; both reaches are far
+above what similarity 0.8 gives.  What is left is tested for the exact Jaccard
+similarity of the shingle sets.  Two texts of similarity 0.8 come so far with
+probability of about 0.97, closer ones with more.  In a cell all texts first
+meet its smallest only; after that, pairs that are in one component already are
+left out, so a large group of near copies makes pairs in proportion to its
+size, and no link between components is lost.
 
 Null and empty texts have fingerprint zero and link like any other.  Null ids
 get a fingerprint and the smallest id of their component, if there is one.
@@ -55,7 +57,8 @@ SEED, SHINGLE, REACH = 42, 3, 3
 LOW_BITS = 0x5555555555555555
 HALF_SEGMENTS = 16
 CHUNK = 1 << 16
-TABLES, CELL_BITS, WIDE_BITS, WIDE_REACH = 48, 20, 128, 28
+TABLES, CELL_BITS, WIDE_BITS, WIDE_REACH = 64, 24, 128, 26
+FINE, FINE_REACH = 8, 98  # words of 64 bits; at similarity 0.8 the distance is 78 with a deviation of 8
 SIMILAR, WORDS = 0.8, 5
 
 
@@ -142,48 +145,80 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return own.join(named, F.col("fp") == F.col("of_fp")).select("doc_id", "fp", "component_id")
 
 
-def wide_sketch(text: str | None) -> tuple[int, int, int, int, bool]:
-    """Key of the words of a text (two longs), its 128-bit SimHash of the set of word pairs (two longs), and whether it has words."""
+def wide_sketch(text: str | None, shingle: int = WORDS) -> tuple[int, int, int, int, bool, list[int]]:
+    """Key of the words of a text (two longs), its 128-bit SimHash of the set of word pairs (two longs), whether it has words, and ``FINE`` longs of a SimHash of its shingle set."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     signed = lambda raw: np.frombuffer(raw, "<i8").tolist()
     key = signed(xxhash.xxh3_128_digest(b" ".join(words), SEED))
     if not words:
-        return (*key, 0, 0, False)
+        return (*key, 0, 0, False, [0] * FINE)
     pairs = list({a + b" " + b for a, b in zip(words, words[1:])} or {words[0]})
     counts = np.zeros(WIDE_BITS, np.int64)
     for at in range(0, len(pairs), CHUNK):
         raw = b"".join([xxhash.xxh3_128_digest(x) for x in pairs[at : at + CHUNK]])
         counts += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, WIDE_BITS // 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return (*key, *signed(np.packbits(counts * 2 > len(pairs), bitorder="little").tobytes()), True)
+    return (*key, *signed(np.packbits(counts * 2 > len(pairs), bitorder="little").tobytes()), True, _fine(_shingles(words, shingle)))
 
 
-def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
-    """Hashes of the distinct shingles of a text (fewer words: of the whole sequence; none: empty)."""
-    own = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not own:
-        return np.zeros(0, np.int64)
+def _fine(hashes: np.ndarray) -> list[int]:
+    """``FINE`` longs of a SimHash, each of other bits made from the same hashes."""
+    out = []
+    for k in range(FINE):
+        counts = np.zeros(64, np.int64)
+        for at in range(0, len(hashes), CHUNK):
+            h = hashes[at : at + CHUNK].view(np.uint64) + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+            for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+            h ^= h >> np.uint64(31)
+            counts += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<i8")[0]))
+    return out
+
+
+def _shingles(own: list[bytes], words: int) -> np.ndarray:
     ends = list(accumulate(len(w) + 1 for w in own))
     starts, joined, digest = [0, *ends], b" ".join(own), xxhash.xxh3_64_intdigest
     n = max(1, len(own) - words + 1)
-    hashes = {digest(joined[starts[i] : ends[min(i + words, len(own)) - 1] - 1]) for i in range(n)}
+    hashes = {digest(joined[s : e - 1]) for s, e in zip(starts[:n], ends[min(words, len(own)) - 1 :])}
     return np.fromiter(hashes, np.uint64, len(hashes)).view(np.int64)
 
 
+def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
+    """Hashes of the distinct shingles of a text (fewer words: of the whole sequence; none: empty)."""
+    own = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return _shingles(own, words) if own else np.zeros(0, np.int64)
+
+
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each table: cell (with the table's number), node, f1, f2."""
+    """One row for each table: cell (with the table's number), node."""
     rng = np.random.default_rng(SEED)
     drawn = np.stack([rng.choice(WIDE_BITS, CELL_BITS, replace=False) for _ in range(TABLES)])
     weigh = 1 << np.arange(CELL_BITS, dtype=np.int64)
     for batch in batches:
-        node, f1, f2 = (batch.column(c).to_numpy() for c in ("node", "f1", "f2"))
-        bits = np.unpackbits(np.stack([f1, f2], axis=1).astype("<i8").view(np.uint8), axis=1, bitorder="little")
+        node = batch.column("node").to_numpy()
+        f = np.stack([batch.column("print").field(n).to_numpy() for n in ("f1", "f2")], axis=1)
+        bits = np.unpackbits(f.astype("<i8").view(np.uint8), axis=1, bitorder="little")
         for t in range(TABLES):
             cell = bits[:, drawn[t]].astype(np.int64) @ weigh | t << CELL_BITS
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (cell, node, f1, f2)], ["cell", "node", "f1", "f2"])
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(node)], ["cell", "node"])
+
+
+def _sized(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A table of few short columns, cut off its plan; to be broadcast if it is counted and found small, else joined by shuffle."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= most else df
 
 
-def _hamming(other: str) -> Column:
-    return F.bit_count(F.col("f1").bitwiseXOR(F.col(f"{other}1"))) + F.bit_count(F.col("f2").bitwiseXOR(F.col(f"{other}2")))
+def _near_prints(a: Column, b: Column, reach: int) -> Column:
+    """Both fingerprints of two texts (structs of longs) are within their reach."""
+    bits = lambda names: sum((F.bit_count(a[n].bitwiseXOR(b[n])) for n in names), F.lit(0))
+    return (bits(["f1", "f2"]) <= reach) & (bits([f"g{k}" for k in range(FINE)]) <= FINE_REACH)
+
+
+def _close(pairs: DataFrame, prints: DataFrame, reach: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose fingerprints (node, print) are near."""
+    both = pairs.join(prints.toDF("a", "pa"), "a").join(prints.toDF("b", "pb"), "b")
+    return both.where(_near_prints(F.col("pa"), F.col("pb"), reach)).select("a", "b")
 
 
 def similar_pairs(pairs: DataFrame, texts: DataFrame, words: int = WORDS, similar: float = SIMILAR) -> DataFrame:
@@ -196,7 +231,10 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, words: int = WORDS, simila
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *own])))], ["node", "set"])
 
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    known = texts.join(asked, "node", "left_semi").mapInArrow(sets, "node long, set array<long>").dropDuplicates(["node"])
+    known = cut(texts.join(_sized(asked), "node", "left_semi").mapInArrow(sets, "node long, set array<long>").groupBy("node").agg(F.first("set").alias("set")))  # one text a node
+    held = known.agg(F.sum(F.size("set"))).first()[0] or 0
+    if held <= 8_000_000:  # 64 MB; more are joined by shuffle
+        known = F.broadcast(known)
     both = pairs.join(known.toDF("a", "sa"), "a").join(known.toDF("b", "sb"), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     # as a quotient, like the definition
@@ -214,43 +252,54 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [wide_sketch(t.as_py()) for t in batch.column("text")]
-            columns = list(zip(*rows)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.bool_())], ["doc_id", "k1", "k2", "f1", "f2", "some"])
+            rows = [wide_sketch(t.as_py(), words) for t in batch.column("text")]
+            columns = list(zip(*rows)) or [[]] * 6
+            fine = np.array(columns[5], np.int64).reshape(-1, FINE)
+            longs = [pa.array(c, pa.int64()) for c in columns[2:4]] + [pa.array(fine[:, k].copy()) for k in range(FINE)]
+            prints = pa.StructArray.from_arrays(longs, ["f1", "f2", *(f"g{k}" for k in range(FINE))])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns[:2]), prints, pa.array(columns[4], pa.bool_())], ["doc_id", "k1", "k2", "print", "some"])
 
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).where("doc_id IS NOT NULL")
-    sketches = cut(own.mapInArrow(sketch, "doc_id long, k1 long, k2 long, f1 long, f2 long, some boolean"))
-    nodes = cut(sketches.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.min("f1").alias("f1"), F.min("f2").alias("f2"), F.max("some").alias("some")))
-    index = cut(nodes.where("some").select("node", "f1", "f2").mapInArrow(_cells, "cell long, node long, f1 long, f2 long"))
+    kind = "struct<" + ",".join(f"{n}:long" for n in ("f1", "f2", *(f"g{k}" for k in range(FINE)))) + ">"
+    sketches = cut(own.mapInArrow(sketch, f"doc_id long, k1 long, k2 long, print {kind}, some boolean"))
+    nodes = cut(sketches.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("print").alias("print"), F.max("some").alias("some")))  # equal for equal keys
     texts = own.withColumnRenamed("doc_id", "node")
+    prints = cut(nodes.where("some").groupBy("node").agg(F.min("print").alias("print")))
+    index = prints.mapInArrow(_cells, "cell long, node long")
 
     def shared(cells: DataFrame, label: str) -> DataFrame:
         """Cells with more than one label, and the smallest."""
         return cells.groupBy("cell").agg(F.min(label).alias("head"), F.max(label).alias("last")).where("head < last").select(F.col("cell").alias("at"), "head")
 
-    prints = nodes.where("some").groupBy("node").agg(F.min("f1").alias("h1"), F.min("f2").alias("h2")).withColumnRenamed("node", "h")
-    met = index.join(shared(index, "node"), F.col("cell") == F.col("at")).where("node != head").select("node", "f1", "f2", "head").distinct()
-    first = met.join(prints, F.col("head") == F.col("h")).where(_hamming("h") <= reach).select(F.col("node").alias("b"), F.col("head").alias("a")).distinct()
+    # only cells that texts share go on
+    met = cut(index.join(_sized(shared(index, "node")), F.col("cell") == F.col("at")).select("cell", "node", "head"))
+    first = cut(_close(met.where("node != head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), prints, reach))
     links = cut(similar_pairs(first, texts, words, similar))
     parts = components(links)
-    named = cut(index.join(parts.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("cell", "node", "f1", "f2", F.coalesce("root", "node").alias("part")))
-    left = named.join(shared(named, "part").select("at"), F.col("cell") == F.col("at"), "left_semi")
-    other = left.toDF("cell_b", "b", "h1", "h2", "part_b")
-    rest = left.join(other, (F.col("cell") == F.col("cell_b")) & (F.col("part") < F.col("part_b")) & (_hamming("h") <= reach)).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-    rest = rest.join(first.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")), (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti")
+    named = cut(met.join(parts.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("cell", "node", F.coalesce("root", "node").alias("part")))
+    left = named.join(shared(named, "part").select("at"), F.col("cell") == F.col("at"), "left_semi").join(prints, "node")
+    other = left.toDF("b", "cell_b", "part_b", "print_b")
+    rest = left.join(other, (F.col("cell") == F.col("cell_b")) & (F.col("part") < F.col("part_b")) & _near_prints(F.col("print"), F.col("print_b"), reach)).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+    rest = cut(rest.join(first, ["a", "b"], "left_anti"))
     parts = components(links.union(cut(similar_pairs(rest, texts, words, similar))))
     of_text = nodes.join(parts.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select(F.col("k1").alias("t1"), F.col("k2").alias("t2"), F.coalesce("root", "node").alias("component_id"))
     return sketches.join(of_text, (F.col("k1") == F.col("t1")) & (F.col("k2") == F.col("t2"))).select("doc_id", "component_id")
 
 
 def _without(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
-    """The rows of ``docs`` whose id isn't in ``gone`` (gone_id), one of each id, and all with a null id."""
+    """The rows of ``docs`` whose id isn't in ``gone`` (gone_id), one of each id, and all with a null id.
+
+    Whole rows are shuffled only where an id repeats.
+    """
     names = docs.columns
     whole = F.struct(*[docs[c] for c in names])
-    rows = docs.select(docs[id_col].cast("long").alias("key"), whole.alias("row"), F.xxhash64(*[docs[c] for c in names]).alias("hash"), F.when(docs[id_col].isNull(), F.monotonically_increasing_id()).alias("alone"))
-    left = rows.join(gone.distinct(), F.col("key") == F.col("gone_id"), "left_anti")
-    same_id = Window.partitionBy("key", "alone").orderBy("hash")
-    return left.withColumn("nth", F.row_number().over(same_id)).where("nth = 1").select(*[F.col("row").getField(c).alias(c) for c in names])
+    rows = docs.select(docs[id_col].cast("long").alias("key"), whole.alias("row"), F.xxhash64(*[docs[c] for c in names]).alias("hash"))
+    twice = _sized(rows.groupBy("key").count().where("count > 1 AND key IS NOT NULL").select(F.col("key").alias("twice")))
+    left = rows.join(_sized(gone.distinct()), F.col("key") == F.col("gone_id"), "left_anti")
+    same_id = Window.partitionBy("key").orderBy("hash")
+    firsts = left.join(twice, F.col("key") == F.col("twice"), "left_semi").withColumn("nth", F.row_number().over(same_id)).where("nth = 1").drop("nth")
+    every = left.join(twice, F.col("key") == F.col("twice"), "left_anti").union(firsts)
+    return every.select(*[F.col("row").getField(c).alias(c) for c in names])
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH) -> DataFrame:
