@@ -20,15 +20,15 @@ Random fingerprints meet by chance in about 7e-6 of all pairs, each costing one
 bit count in the join.
 
 ``near_texts`` serves a wider reach, as similar texts need: its fingerprints have
-128 bits, of the set of word pairs, and its segments are single bits, whose
+512 bits, of the set of word pairs, and its segments are single bits, whose
 counts are the bits themselves (wider segments lose more than they merge at
 this reach).  The grid is laid over ``TABLES`` drawn subsets of segments; texts
 that share a cell of one are at Manhattan distance zero there, a lower bound of
 theirs, and meet.  What meets is tested for the exact Hamming distance, and for
-that of another 512 bits of the set of five-word shingles; both reaches are far
+that of another 1024 bits of the set of five-word shingles; both reaches are far
 above what similarity 0.8 gives.  What is left is tested for the exact Jaccard
 similarity of the shingle sets.  Two texts of similarity 0.8 come so far with
-probability of about 0.97, closer ones with more.  In a cell all texts first
+probability of about 0.98, closer ones with more.  In a cell all texts first
 meet its smallest only; after that, pairs that are in one component already are
 left out, so a large group of near copies makes pairs in proportion to its
 size, and no link between components is lost.
@@ -57,8 +57,9 @@ SEED, SHINGLE, REACH = 42, 3, 3
 LOW_BITS = 0x5555555555555555
 HALF_SEGMENTS = 16
 CHUNK = 1 << 16
-TABLES, CELL_BITS, WIDE_BITS, WIDE_REACH = 64, 24, 128, 26
-FINE, FINE_REACH = 8, 98  # words of 64 bits; at similarity 0.8 the distance is 78 with a deviation of 8
+TABLES, CELL_BITS = 64, 24
+WIDE, WIDE_REACH = 8, 80  # words of 64 bits; at similarity 0.8 the distance is 49 with a deviation of 7
+FINE, FINE_REACH = 16, 184  # likewise 155 and 11
 SIMILAR, WORDS = 0.8, 5
 
 
@@ -145,28 +146,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return own.join(named, F.col("fp") == F.col("of_fp")).select("doc_id", "fp", "component_id")
 
 
-def wide_sketch(text: str | None, shingle: int = WORDS) -> tuple[int, int, int, int, bool, list[int]]:
-    """Key of the words of a text (two longs), its 128-bit SimHash of the set of word pairs (two longs), whether it has words, and ``FINE`` longs of a SimHash of its shingle set."""
+def wide_sketch(text: str | None, shingle: int = WORDS) -> tuple[int, int, bool, list[int]]:
+    """Key of the words of a text (two longs), whether it has words, and ``WIDE`` longs of a SimHash of its set of word pairs and ``FINE`` longs of one of its shingle set."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    signed = lambda raw: np.frombuffer(raw, "<i8").tolist()
-    key = signed(xxhash.xxh3_128_digest(b" ".join(words), SEED))
+    key = np.frombuffer(xxhash.xxh3_128_digest(b" ".join(words), SEED), "<i8").tolist()
     if not words:
-        return (*key, 0, 0, False, [0] * FINE)
-    pairs = list({a + b" " + b for a, b in zip(words, words[1:])} or {words[0]})
-    counts = np.zeros(WIDE_BITS, np.int64)
-    for at in range(0, len(pairs), CHUNK):
-        raw = b"".join([xxhash.xxh3_128_digest(x) for x in pairs[at : at + CHUNK]])
-        counts += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, WIDE_BITS // 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return (*key, *signed(np.packbits(counts * 2 > len(pairs), bitorder="little").tobytes()), True, _fine(_shingles(words, shingle)))
+        return (*key, False, [0] * (WIDE + FINE))
+    pairs = {a + b" " + b for a, b in zip(words, words[1:])} or {words[0]}
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, pairs), np.uint64, len(pairs))
+    return (*key, True, _many_bits(hashes, WIDE) + _many_bits(_shingles(words, shingle).view(np.uint64), FINE))
 
 
-def _fine(hashes: np.ndarray) -> list[int]:
-    """``FINE`` longs of a SimHash, each of other bits made from the same hashes."""
+def _many_bits(hashes: np.ndarray, longs: int) -> list[int]:
+    """A SimHash of several longs, each of other bits made from the same hashes."""
     out = []
-    for k in range(FINE):
+    for k in range(longs):
         counts = np.zeros(64, np.int64)
         for at in range(0, len(hashes), CHUNK):
-            h = hashes[at : at + CHUNK].view(np.uint64) + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+            h = hashes[at : at + CHUNK] + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
             for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
                 h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
             h ^= h >> np.uint64(31)
@@ -175,6 +172,9 @@ def _fine(hashes: np.ndarray) -> list[int]:
     return out
 
 
+PRINT = [f"f{k}" for k in range(WIDE)] + [f"g{k}" for k in range(FINE)]
+
+
 def _shingles(own: list[bytes], words: int) -> np.ndarray:
     ends = list(accumulate(len(w) + 1 for w in own))
     starts, joined, digest = [0, *ends], b" ".join(own), xxhash.xxh3_64_intdigest
@@ -192,11 +192,11 @@ def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each table: cell (with the table's number), node."""
     rng = np.random.default_rng(SEED)
-    drawn = np.stack([rng.choice(WIDE_BITS, CELL_BITS, replace=False) for _ in range(TABLES)])
+    drawn = np.stack([rng.choice(64 * WIDE, CELL_BITS, replace=False) for _ in range(TABLES)])
     weigh = 1 << np.arange(CELL_BITS, dtype=np.int64)
     for batch in batches:
         node = batch.column("node").to_numpy()
-        f = np.stack([batch.column("print").field(n).to_numpy() for n in ("f1", "f2")], axis=1)
+        f = np.stack([batch.column("print").field(n).to_numpy() for n in PRINT[:WIDE]], axis=1)
         bits = np.unpackbits(f.astype("<i8").view(np.uint8), axis=1, bitorder="little")
         for t in range(TABLES):
             cell = bits[:, drawn[t]].astype(np.int64) @ weigh | t << CELL_BITS
@@ -212,7 +212,7 @@ def _sized(df: DataFrame, most: int = 1_000_000) -> DataFrame:
 def _near_prints(a: Column, b: Column, reach: int) -> Column:
     """Both fingerprints of two texts (structs of longs) are within their reach."""
     bits = lambda names: sum((F.bit_count(a[n].bitwiseXOR(b[n])) for n in names), F.lit(0))
-    return (bits(["f1", "f2"]) <= reach) & (bits([f"g{k}" for k in range(FINE)]) <= FINE_REACH)
+    return (bits(PRINT[:WIDE]) <= reach) & (bits(PRINT[WIDE:]) <= FINE_REACH)
 
 
 def _close(pairs: DataFrame, prints: DataFrame, reach: int) -> DataFrame:
@@ -253,14 +253,13 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [wide_sketch(t.as_py(), words) for t in batch.column("text")]
-            columns = list(zip(*rows)) or [[]] * 6
-            fine = np.array(columns[5], np.int64).reshape(-1, FINE)
-            longs = [pa.array(c, pa.int64()) for c in columns[2:4]] + [pa.array(fine[:, k].copy()) for k in range(FINE)]
-            prints = pa.StructArray.from_arrays(longs, ["f1", "f2", *(f"g{k}" for k in range(FINE))])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns[:2]), prints, pa.array(columns[4], pa.bool_())], ["doc_id", "k1", "k2", "print", "some"])
+            columns = list(zip(*rows)) or [[]] * 4
+            longs = np.array(columns[3], np.int64).reshape(-1, len(PRINT))
+            prints = pa.StructArray.from_arrays([pa.array(longs[:, k].copy()) for k in range(len(PRINT))], PRINT)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns[:2]), prints, pa.array(columns[2], pa.bool_())], ["doc_id", "k1", "k2", "print", "some"])
 
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).where("doc_id IS NOT NULL")
-    kind = "struct<" + ",".join(f"{n}:long" for n in ("f1", "f2", *(f"g{k}" for k in range(FINE)))) + ">"
+    kind = "struct<" + ",".join(f"{n}:long" for n in PRINT) + ">"
     sketches = cut(own.mapInArrow(sketch, f"doc_id long, k1 long, k2 long, print {kind}, some boolean"))
     nodes = cut(sketches.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("print").alias("print"), F.max("some").alias("some")))  # equal for equal keys
     texts = own.withColumnRenamed("doc_id", "node")
