@@ -41,7 +41,9 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from functools import reduce
 from itertools import accumulate
 
 import numpy as np
@@ -189,10 +191,28 @@ def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
     return _shingles(own, words) if own else np.zeros(0, np.int64)
 
 
+def _drawn() -> np.ndarray:
+    """The segments of each table."""
+    rng = np.random.default_rng(SEED)
+    return np.stack([rng.choice(64 * WIDE, CELL_BITS, replace=False) for _ in range(TABLES)])
+
+
+def _first_shared(a: Column, b: Column, table: Column) -> Column:
+    """Two texts that share a cell of this table share none of a table before it, so that a pair comes out once."""
+    masks = [[sum(1 << int(i) % 64 for i in own if i // 64 == k) for k in range(WIDE)] for own in _drawn()]
+    signed = [[m - (1 << 64) if m >> 63 else m for m in own] for own in masks]
+    every = F.from_json(F.lit(json.dumps(signed)), "array<array<long>>")
+    apart = [a[n].bitwiseXOR(b[n]) for n in PRINT[:WIDE]]
+
+    def same(mask: Column) -> Column:
+        return reduce(lambda x, y: x & y, [d.bitwiseAND(mask[k]) == 0 for k, d in enumerate(apart)])
+
+    return ~F.exists(F.slice(every, F.lit(1), table.cast("int")), same)
+
+
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each table: cell (with the table's number), node."""
-    rng = np.random.default_rng(SEED)
-    drawn = np.stack([rng.choice(64 * WIDE, CELL_BITS, replace=False) for _ in range(TABLES)])
+    drawn = _drawn()
     weigh = 1 << np.arange(CELL_BITS, dtype=np.int64)
     for batch in batches:
         node = batch.column("node").to_numpy()
@@ -278,7 +298,7 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = cut(met.join(parts.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("cell", "node", F.coalesce("root", "node").alias("part")))
     left = named.join(shared(named, "part").select("at"), F.col("cell") == F.col("at"), "left_semi").join(prints, "node")
     other = left.toDF("b", "cell_b", "part_b", "print_b")
-    rest = left.join(other, (F.col("cell") == F.col("cell_b")) & (F.col("part") < F.col("part_b")) & _near_prints(F.col("print"), F.col("print_b"), reach)).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+    rest = left.join(other, (F.col("cell") == F.col("cell_b")) & (F.col("part") < F.col("part_b")) & _near_prints(F.col("print"), F.col("print_b"), reach) & _first_shared(F.col("print"), F.col("print_b"), F.shiftright("cell", CELL_BITS))).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
     rest = cut(rest.join(first, ["a", "b"], "left_anti"))
     parts = components(links.union(cut(similar_pairs(rest, texts, words, similar))))
     of_text = nodes.join(parts.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select(F.col("k1").alias("t1"), F.col("k2").alias("t2"), F.coalesce("root", "node").alias("component_id"))
