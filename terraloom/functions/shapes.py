@@ -16,6 +16,7 @@ from terraloom.functions.num import c, div, let
 
 POSITION = "struct<x:double,y:double>"
 RING = f"array<{POSITION}>"
+GONE = 0.999  # a difference of less than the rest is null
 POLYGON = f"array<{RING}>"
 
 
@@ -251,7 +252,7 @@ def difference(a, b) -> Column:
     def cut(r):
         share = div(F.abs(signed_area(r)), F.abs(signed_area(a)))
         hole = F.when(F.abs(signed_area(r)) > 0, F.array(c(a).cast(RING), r)).otherwise(F.array(c(a).cast(RING)))
-        return F.when(F.coalesce(share, F.lit(0.0)) <= 0.999, hole)
+        return F.when(F.coalesce(share, F.lit(0.0)) <= GONE, hole)
 
     return let(clip_convex(a, b), cut)
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from terraloom.functions import geodesy as G
 from terraloom.functions import shapes as S
 from terraloom.functions.num import c
-from terraloom.plans.lineage import cut
+from terraloom.plans.lineage import cut, spread
 
 
 def cell_size(polygons: DataFrame, bounds: Column) -> float:
@@ -71,13 +71,13 @@ def boxes_overlap(left: DataFrame, right: DataFrame, left_box: str, right_box: s
     lower left corner of the common part.
     """
     step = step or cell_size(left, F.col(left_box))
-    a = left.withColumn("_cell", F.explode(_cells(F.col(left_box), step)))
-    b = right.withColumn("_other", F.explode(_cells(F.col(right_box), step)))
+    a = left.withColumn("_cell", F.explode(_cells(F.col(left_box), step))).withColumn("_ax", F.col("_cell.cx")).withColumn("_ay", F.col("_cell.cy")).drop("_cell")
+    b = right.withColumn("_cell", F.explode(_cells(F.col(right_box), step))).withColumn("_bx", F.col("_cell.cx")).withColumn("_by", F.col("_cell.cy")).drop("_cell")
     west = F.greatest(F.col(f"{left_box}.west"), F.col(f"{right_box}.west"))
     south = F.greatest(F.col(f"{left_box}.south"), F.col(f"{right_box}.south"))
-    first = (F.floor(west / step) == F.col("_cell.cx")) & (F.floor(south / step) == F.col("_cell.cy"))
-    on = (F.col("_cell") == F.col("_other")) & S.box_overlap(left_box, right_box) & first
-    return a.join(b, on).drop("_cell", "_other")
+    first = (F.floor(west / step) == F.col("_ax")) & (F.floor(south / step) == F.col("_ay"))
+    on = (F.col("_ax") == F.col("_bx")) & (F.col("_ay") == F.col("_by")) & S.box_overlap(left_box, right_box) & first
+    return spread(a, "_ax", "_ay").join(spread(b, "_bx", "_by"), on).drop("_ax", "_ay", "_bx", "_by")
 
 
 def _sphere_cell(lng: Column, lat: Column, step: float) -> list[Column]:

@@ -38,3 +38,13 @@ def cut(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
+
+
+def spread(df: DataFrame, *keys) -> DataFrame:
+    """``df`` dealt evenly, or by ``keys``, over several tasks a core.
+
+    For steps whose work doesn't show in the bytes of their input, by which
+    Spark sizes tasks: joins with many candidates, costly functions of a row.
+    The fixed number keeps adaptive execution from merging the tasks again.
+    """
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *keys)
