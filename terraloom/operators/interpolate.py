@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from terraloom.functions.num import c, catmull_rom, div, lerp
 from terraloom.operators.clustering import hulls
 from terraloom.operators.spatial_join import nearest_planar
-from terraloom.plans.lineage import cut
+from terraloom.plans.lineage import cut, spread
 
 BLOCK = 2_000  # samples that meet in one block
 
@@ -76,23 +76,60 @@ def sample_raster(raster: DataFrame, points: DataFrame, point_id: str) -> DataFr
 def variogram(samples: DataFrame, lags: int = 10) -> DataFrame:
     """lag, distance (mean), semivariance (mean), pairs, over all pairs of samples.
 
-    Samples are dealt into blocks; every two blocks meet in a task of their own
-    and come out as sums by lag, so pairs aren't kept anywhere.  The largest
-    distance, which sets the lags, lies between corners of the convex hull.
+    Samples at one place are one row with their number and moments, which is all
+    that a sum over pairs needs.  Rows are dealt into blocks; every two blocks
+    meet in a task and come out as sums by lag, so pairs aren't kept anywhere.
+    The largest distance, which sets the lags, lies between corners of the
+    convex hull.
     """
-    own, blocks = _blocks(samples)
-    ring = hulls(own.withColumn("one", F.lit(0)), "one").select("ring")
-    corners = ring.select("ring", F.explode("ring").alias("p"))
-    most = corners.agg(F.max(F.array_max(F.transform("ring", lambda q: F.hypot(q.x - F.col("p.x"), q.y - F.col("p.y"))))).alias("most"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    meet = lambda q: F.struct(F.least("block", q).alias("i"), F.greatest("block", q).alias("j"))
-    a = own.withColumn("q", every).where("block <= q").select(meet("q").alias("pair"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("v").alias("av"), F.col("n").alias("an"))
-    b = own.withColumn("q", every).where("block >= q").select(meet("q").alias("pair_b"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("v").alias("bv"), F.col("n").alias("bn"))
-    met = a.join(b, (F.col("pair") == F.col("pair_b")) & ((F.col("pair.i") < F.col("pair.j")) | (F.col("an") < F.col("bn"))))
-    half = (F.col("av") - F.col("bv")) * (F.col("av") - F.col("bv")) / 2
-    measured = met.select(F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")).alias("d"), half.alias("g")).join(F.broadcast(most))  # one row
-    lag = F.coalesce(F.least(F.floor(div(F.col("d"), F.col("most")) * lags), F.lit(lags - 1)), F.lit(0))
-    return measured.groupBy(lag.alias("lag")).agg(F.avg("d").alias("distance"), F.avg("g").alias("semivariance"), F.count(F.lit(1)).alias("pairs"))
+    import numpy as np
+    import pandas as pd
+
+    own = samples.select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("value").cast("double").alias("v"))
+    middle = own.agg(F.avg("v")).first()[0] or 0.0  # smaller moments, fewer lost digits
+    u = F.col("v") - middle
+    places = cut(own.groupBy("x", "y").agg(F.count(F.lit(1)).cast("double").alias("n"), F.count("v").cast("double").alias("m"), F.coalesce(F.sum(u), F.lit(0.0)).alias("s"), F.coalesce(F.sum(u * u), F.lit(0.0)).alias("q")))
+    blocks = max(1, -(-places.count() // BLOCK))
+    corners = hulls(places.withColumn("one", F.lit(0)), "one").select("ring", F.explode("ring").alias("p"))
+    apart = lambda q: F.sqrt((q.x - F.col("p.x")) * (q.x - F.col("p.x")) + (q.y - F.col("p.y")) * (q.y - F.col("p.y")))
+    most = corners.agg(F.max(F.array_max(F.transform("ring", apart)))).first()[0]
+    held = cut(places.withColumn("block", F.pmod(F.xxhash64("x", "y"), F.lit(blocks))).groupBy("block").agg(*[F.collect_list(F.coalesce(n, F.lit(float("nan")))).alias(n) for n in "xynmsq"]))  # about BLOCK rows each
+    side = lambda n: held.select(*[F.col(k).alias(f"{n}_{k}") for k in ("block", *"xynmsq")])
+    met = spread(side("a").join(side("b"), F.col("a_block") <= F.col("b_block")))
+
+    def lagged(d):
+        if not most:
+            return np.full(d.shape, lags - 1)
+        known = ~np.isnan(d)
+        return np.where(known, np.minimum(np.floor(np.where(known, d, 0.0) / most * lags), lags - 1), lags - 1).astype(np.int64)
+
+    def sums(batches):
+        total = np.zeros((5, lags))
+
+        def add(d, pairs, valued, halves):
+            lag = lagged(d).ravel()
+            known = np.where(np.isnan(d), 0.0, pairs)
+            for k, w in enumerate((pairs, known, known * np.nan_to_num(d), valued, halves)):
+                total[k] += np.bincount(lag, weights=w.ravel(), minlength=lags)
+
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                ax, ay, an, am, s, q = (np.asarray(getattr(row, f"a_{k}")) for k in "xynmsq")
+                bx, by, bn, bm, t, r = (np.asarray(getattr(row, f"b_{k}")) for k in "xynmsq")
+                same = row.a_block == row.b_block
+                for i in range(0, len(ax), 50):
+                    j = slice(i, i + 50)
+                    dx, dy = ax[j, None] - bx, ay[j, None] - by
+                    once = np.arange(len(ax))[j, None] < np.arange(len(bx)) if same else 1.0
+                    halves = (am[j, None] * r + q[j, None] * bm - 2 * s[j, None] * t) / 2
+                    add(np.sqrt(dx * dx + dy * dy), an[j, None] * bn * once, am[j, None] * bm * once, halves * once)
+                if same:
+                    add(np.hypot(ax - ax, ay - ay), an * (an - 1) / 2, am * (am - 1) / 2, (am * q - s * s) / 2)
+        yield pd.DataFrame({"lag": np.arange(lags), **dict(zip(("pairs", "known", "d", "valued", "g"), total))})
+
+    part = met.mapInPandas(sums, "lag long, pairs double, known double, d double, valued double, g double")
+    all_ = part.groupBy("lag").agg(*[F.sum(n).alias(n) for n in ("pairs", "known", "d", "valued", "g")]).where("pairs > 0")
+    return all_.select("lag", div(F.col("d"), F.col("known")).alias("distance"), div(F.col("g"), F.col("valued")).alias("semivariance"), F.col("pairs").cast("long").alias("pairs"))
 
 
 def fit_variogram(lagged: DataFrame) -> DataFrame:

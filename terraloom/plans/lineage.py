@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -48,3 +51,12 @@ def spread(df: DataFrame, *keys) -> DataFrame:
     The fixed number keeps adaptive execution from merging the tasks again.
     """
     return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
+def once_each(df: DataFrame, keys: list[str], compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``df`` with the columns that ``compute`` adds to ``keys``, a costly function of theirs, worked out once for each distinct value."""
+    own = compute(spread(df.select(*keys).distinct(), *keys))
+    names = [n for n in own.columns if n not in keys]
+    other = own.select(*[F.col(k).alias(f"_{k}") for k in keys], *names)
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return df.join(other, same).drop(*[f"_{k}" for k in keys])
