@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from terraloom.functions.num import c
 from terraloom.functions.tiles import to_pixel
 from terraloom.plans.components import connected_components
-from terraloom.plans.lineage import cut
+from terraloom.plans.lineage import cut, spread
 
 
 def abbreviate(count) -> Column:
@@ -49,33 +49,45 @@ def cluster_pyramid(points: DataFrame, pixels: float, zooms: range, x: str = "x"
 
 
 def _pairs(points: DataFrame, eps: float) -> DataFrame:
-    """Pairs (a, b), a != b, of points (id, x, y) at most ``eps`` apart, in both orders."""
+    """Pairs (a, b), a != b, of points (id, x, y, n, cell) at most ``eps`` apart, in both orders, with the n of b and the cells of both."""
     near = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    a = points.select(F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), near.alias("d")).withColumn("cx", F.floor(F.col("ax") / eps) + F.col("d.i")).withColumn("cy", F.floor(F.col("ay") / eps) + F.col("d.j"))
-    b = points.select(F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), F.floor(F.col("x") / eps).alias("ex"), F.floor(F.col("y") / eps).alias("ey"))
+    a = points.select(F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("cell").alias("acell"), near.alias("d")).withColumn("cx", F.floor(F.col("ax") / eps) + F.col("d.i")).withColumn("cy", F.floor(F.col("ay") / eps) + F.col("d.j"))
+    b = points.select(F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("n"), F.col("cell").alias("bcell"), F.floor(F.col("x") / eps).alias("ex"), F.floor(F.col("y") / eps).alias("ey"))
     dx, dy = F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")
-    return a.join(b, (F.col("cx") == F.col("ex")) & (F.col("cy") == F.col("ey")) & (F.col("a") != F.col("b")) & (dx * dx + dy * dy <= eps * eps)).select("a", "b")
+    on = (F.col("cx") == F.col("ex")) & (F.col("cy") == F.col("ey")) & (F.col("a") != F.col("b")) & (dx * dx + dy * dy <= eps * eps)
+    return spread(a.drop("d"), "cx", "cy").join(spread(b, "ex", "ey"), on).select("a", "b", "n", "acell", "bcell")
 
 
 def dbscan(points: DataFrame, eps: float, min_points: int, id_col: str, x: str = "x", y: str = "y") -> DataFrame:
     """id, label: clusters are numbered by their first core point, -1 is noise.
 
     A core point has ``min_points`` others within ``eps``.  A border point joins
-    the first cluster that reaches it.
+    the first cluster that reaches it.  Points at one place have the same
+    neighbours, so a place is one node, known by its smallest id and weighted by
+    its points.  Core places in one cell with a diagonal below ``eps`` are in
+    one cluster, so cells are linked, not places.
     """
     own = points.select(F.col(id_col).alias("id"), c(x).alias("x"), c(y).alias("y"))
-    pairs = cut(_pairs(own, eps))
-    core = pairs.groupBy("a").count().where(F.col("count") >= min_points).select(F.col("a").alias("core"))
-    inner = pairs.join(core, F.col("a") == F.col("core"), "left_semi")
-    links = inner.join(core, F.col("b") == F.col("core"), "left_semi").where("a > b").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    side = eps / 1.4143
+    cell = F.struct(F.floor(F.col("x") / side).alias("cx"), F.floor(F.col("y") / side).alias("cy"))
+    places = cut(own.where("x IS NOT NULL AND y IS NOT NULL").groupBy("x", "y").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")).withColumn("cell", cell))
+    pairs = cut(_pairs(places, eps))
+    others = pairs.groupBy("a").agg(F.sum("n").alias("others"))
+    core = cut(places.join(others, F.col("id") == F.col("a"), "left").where(F.col("n") - 1 + F.coalesce("others", F.lit(0)) >= min_points).select(F.col("id").alias("core"), "cell"))
+    heads = cut(core.groupBy("cell").agg(F.min("core").alias("head")))
+    inner = pairs.join(core.select("core"), F.col("a") == F.col("core"), "left_semi")
+    across = inner.where("acell != bcell").join(core.select("core"), F.col("b") == F.col("core"), "left_semi").select("acell", "bcell").distinct()
+    links = across.join(heads.toDF("acell", "u"), "acell").join(heads.toDF("bcell", "v"), "bcell").where("u > v").select("u", "v")
     roots = connected_components(links)
-    named = core.join(roots, F.col("core") == F.col("node"), "left").select("core", F.coalesce("root", "core").alias("root"))
+    of_cell = heads.join(roots, F.col("head") == F.col("node"), "left").select("cell", F.coalesce("root", "head").alias("root"))
+    named = cut(core.join(of_cell, "cell").select("core", "root"))
     reached = inner.join(named.withColumnRenamed("core", "k"), F.col("a") == F.col("k")).groupBy(F.col("b").alias("p")).agg(F.min("root").alias("near"))
-    out = own.select("id").join(named, F.col("id") == F.col("core"), "left").join(reached, F.col("id") == F.col("p"), "left").select("id", F.coalesce("root", "near").alias("root"))
+    of_place = places.join(named, F.col("id") == F.col("core"), "left").join(reached, F.col("id") == F.col("p"), "left").select(F.col("x").alias("px"), F.col("y").alias("py"), F.coalesce("root", "near").alias("root"))
     first = named.groupBy("root").agg(F.min("core").alias("first"))
     # one row per cluster is numbered, not one per point
     labels = first.withColumn("label", F.row_number().over(Window.orderBy("first")) - 1).select(F.col("root").alias("r"), "label")
-    return out.join(labels, F.col("root") == F.col("r"), "left").select(F.col("id").alias(id_col), F.coalesce("label", F.lit(-1)).alias("label"))
+    labelled = of_place.join(labels, F.col("root") == F.col("r")).select("px", "py", "label")
+    return own.join(labelled, (F.col("x") == F.col("px")) & (F.col("y") == F.col("py")), "left").select(F.col("id").alias(id_col), F.coalesce("label", F.lit(-1)).alias("label"))
 
 
 def k_means(points: DataFrame, k: int, id_col: str, features: list[str], most_rounds: int = 100, tolerance: float = 1e-9) -> tuple[DataFrame, list[list[float]]]:
@@ -84,26 +96,28 @@ def k_means(points: DataFrame, k: int, id_col: str, features: list[str], most_ro
     Lloyd's rounds from farthest-first centres: the point of smallest id, then
     each time the point farthest from the centres so far.  A round is one
     aggregation to k rows; an empty cluster keeps its centre.  The centres are
-    one constant array, so all rounds share the generated code.
+    one constant array, so all rounds share the generated code.  The rounds run
+    over the distinct feature values, weighted by their points.
     """
-    own = points.select(F.col(id_col).alias("id"), F.array(*[c(f).cast("double") for f in features]).alias("f")).persist()
+    every = points.select(F.col(id_col).alias("id"), F.array(*[c(f).cast("double") for f in features]).alias("f"))
+    own = spread(every.groupBy("f").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("w"))).persist()
 
-    def ranked(centres: list[list[float]]) -> DataFrame:
-        """id, f, and (d, i) of the nearest centre."""
+    def ranked(centres: list[list[float]], own: DataFrame = own) -> DataFrame:
+        """The columns of ``own``, and n: (d, i) of the nearest centre."""
         table = F.from_json(F.lit(json.dumps(centres)), "array<array<double>>")
         apart = lambda m: F.aggregate(F.zip_with("f", m, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
         near = F.array_min(F.transform(table, lambda m, i: F.struct(apart(m).alias("d"), i.alias("i"))))
-        return own.select("id", "f", near.alias("n"))
+        return own.withColumn("n", near)
 
     row = own.agg(F.min_by("f", "id").alias("f")).first()
     if row["f"] is None:
-        return own.select(F.col("id").alias(id_col), F.lit(0).alias("cluster")), []
+        return every.select(F.col("id").alias(id_col), F.lit(0).alias("cluster")), []
     centres = [list(row["f"])]
     while len(centres) < k:
         best = ranked(centres).agg(F.max_by("f", F.struct(F.col("n.d"), (-F.col("id")).alias("o"))).alias("f")).first()
         centres.append(list(best["f"]))
     for _ in range(most_rounds):
-        means = ranked(centres).groupBy(F.col("n.i").alias("cluster")).agg(*[F.avg(F.col("f")[i]).alias(f"m{i}") for i in range(len(features))]).collect()
+        means = ranked(centres).groupBy(F.col("n.i").alias("cluster")).agg(*[(F.sum(F.col("f")[i] * F.col("w")) / F.sum("w")).alias(f"m{i}") for i in range(len(features))]).collect()
         moved = 0.0
         for r in means:
             new = [r[f"m{i}"] for i in range(len(features))]
@@ -111,7 +125,7 @@ def k_means(points: DataFrame, k: int, id_col: str, features: list[str], most_ro
             centres[r["cluster"]] = new
         if moved <= tolerance:
             break
-    out = cut(ranked(centres).select(F.col("id").alias(id_col), F.col("n.i").alias("cluster")))
+    out = cut(ranked(centres, spread(every)).select(F.col("id").alias(id_col), F.col("n.i").alias("cluster")))
     own.unpersist()
     return out, centres
 

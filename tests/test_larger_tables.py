@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from terraloom.functions import shapes as S
-from terraloom.operators import overlay
+from terraloom.operators import changes, clustering, interpolate, overlay, spatial_join
 
 RING = "array<struct<x:double,y:double>>"
 
@@ -45,3 +45,75 @@ def test_ring_relations_equal_the_column_expressions(spark):
     got = {r.id: tuple(r[1:]) for r in overlay.relations(pairs, "ra", "rb").collect()}
     assert {i: g for i, g in got.items() if i < 104} == want and got[104] == (None,) * 5
     assert len(set(want.values())) > 4
+
+
+def test_variogram_of_many_samples_at_few_places(spark):
+    """12,000 samples at 30 places: 72 million pairs, known from the places' moments; null values don't count."""
+    rows = spark.range(12_000).selectExpr("cast(id % 6 as double) x", "cast(floor(id / 6) % 5 as double) y", "case when id % 101 = 0 then null else cast((id * 37) % 23 as double) end value")
+    own = [(r.x, r.y, r.value) for r in rows.collect()]
+    places = {}
+    for x, y, v in own:
+        places.setdefault((x, y), []).append(v)
+    most = math.hypot(5, 4)
+    want = {}
+    for i, (p, vs) in enumerate(sorted(places.items())):
+        for q, ws in sorted(places.items())[i:]:
+            d = math.hypot(p[0] - q[0], p[1] - q[1])
+            lag = min(9, math.floor(d / most * 10))
+            n, g, m = want.get(lag, (0, 0.0, 0))
+            known, other = [v for v in vs if v is not None], [v for v in ws if v is not None]
+            every = sum(len(other) * v * v - 2 * v * sum(other) + sum(w * w for w in other) for v in known) / 2
+            same = p == q
+            n += len(vs) * (len(vs) - 1) // 2 if same else len(vs) * len(ws)
+            m += len(known) * (len(known) - 1) // 2 if same else len(known) * len(other)
+            want[lag] = (n, g + (every / 2 if same else every), m)
+    got = {r.lag: r for r in interpolate.variogram(rows).collect()}
+    assert {k: r.pairs for k, r in got.items()} == {k: w[0] for k, w in want.items()}
+    assert all(abs(got[k].semivariance - w[1] / w[2]) < 1e-7 for k, w in want.items())
+
+
+def test_dbscan_counts_all_points_of_a_place(spark):
+    places = [(0.0, 0.0, 1), (3.0, 0.0, 3), (6.0, 0.0, 1), (20.0, 0.0, 5), (40.0, 0.0, 4), (60.0, 60.0, 1), (64.0, 60.0, 1), (62.0, 63.0, 1), (62.0, 58.0, 1), (62.0, 61.0, 1)]
+    rows, n = [], 0
+    for x, y, k in reversed(places):
+        for _ in range(k):
+            rows.append((n, x, y))
+            n += 1
+    rows.append((n, None, 1.0))
+    got = {r.id: r.label for r in clustering.dbscan(spark.createDataFrame(rows, "id int, x double, y double"), 7.0, 4, "id").collect()}
+    near = {i: {j for j, u, v in rows if j != i and None not in (x, u) and (x - u) ** 2 + (y - v) ** 2 <= 49} for i, x, y in rows}
+    core = {i for i in near if len(near[i]) >= 4}
+    root = {i: i for i in core}
+    for _ in core:
+        root = {i: min([root[i], *(root[j] for j in near[i] & core)]) for i in core}
+    order = sorted(set(root.values()))
+    want = {i: order.index(root[i]) if i in core else order.index(min(root[j] for j in near[i] & core)) if near[i] & core else -1 for i in near}
+    assert got == want and len(order) > 2 and -1 in want.values()
+
+
+def test_suppressed_labels_with_equal_boxes(spark):
+    rng = random.Random(3)
+    spots = [(rng.randint(0, 12), rng.randint(0, 12)) for _ in range(40)]
+    rows = [(i, *rng.choice(spots), rng.randint(0, 5)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, x int, y int, p int").select("id", S.box(F.col("x"), F.col("y"), F.col("x") + 1.5, F.col("y") + 1.5).alias("b"), "p")
+    kept = []
+    for i, x, y, _ in sorted(rows, key=lambda r: (-r[3], r[0])):
+        if all(abs(x - u) > 1.5 or abs(y - v) > 1.5 for _, u, v in kept):
+            kept.append((i, x, y))
+    assert {r.id for r in changes.suppress_overlaps(df, "id", "b", "p").collect()} == {k[0] for k in kept}
+
+
+def test_reach_is_compared_squared(spark):
+    """A squared distance a little above the squared reach has a root that rounds to the reach."""
+    x, y = 11.653915625078684, 16.25380726487019
+    a = spark.createDataFrame([(1, 0.0, 0.0)], "i int, x double, y double")
+    b = spark.createDataFrame([(1, x, y), (2, 12.0, 16.0)], "j int, rx double, ry double")
+    assert x * x + y * y > 400 and math.sqrt(x * x + y * y) == 20.0
+    assert [r.j for r in spatial_join.within_reach(a, b, 20.0, ["x", "y"], ["rx", "ry"]).collect()] == [2]
+
+
+def test_nearest_with_many_queries_and_points_at_one_place(spark):
+    q = spark.createDataFrame([(i, float(i % 3), 0.0) for i in range(30)], "i int, x double, y double")
+    p = spark.createDataFrame([(j, float(j % 4), 1.0) for j in range(40)], "j int, rx double, ry double")
+    want = {(i, k + 1, j) for i in range(30) for k, (_, j) in enumerate(sorted(((j % 4 - i % 3) ** 2 + 1, j) for j in range(40))[:12])}
+    assert {(r.i, r.rank, r.j) for r in spatial_join.nearest_planar(q, p, 12, "i", "j").collect()} == want
