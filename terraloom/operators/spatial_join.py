@@ -8,6 +8,7 @@ splits hot cells.  A point has one cell, so nothing is found twice.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -94,11 +95,15 @@ def within_distance(left: DataFrame, right: DataFrame, metres: float, left_xy=("
     step = max(2 * math.sin(angle / 2), 1e-9) * (1 + 1e-9)
     around = F.array(*[F.struct(*[F.lit(d).alias(n) for d, n in zip((i, j, k), "ijk")]) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
     lx, ly, lz = _sphere_cell(c(left_xy[0]), c(left_xy[1]), step)
-    a = left.withColumn("_d", F.explode(around)).withColumn("_a", F.struct((lx + F.col("_d.i")).alias("x"), (ly + F.col("_d.j")).alias("y"), (lz + F.col("_d.k")).alias("z")))
     rx, ry, rz = _sphere_cell(c(right_xy[0]), c(right_xy[1]), step)
-    b = right.withColumn("_b", F.struct(rx.alias("x"), ry.alias("y"), rz.alias("z")))
+    unit = lambda df, xy, n: df.withColumns({f"_{n}{k}": v for k, v in zip("uvw", G.surface_normal(c(xy[0]), c(xy[1])))})
+    a = unit(left, left_xy, "a").withColumn("_d", F.explode(around)).withColumns({"_ax": lx + F.col("_d.i"), "_ay": ly + F.col("_d.j"), "_az": lz + F.col("_d.k")}).drop("_d")
+    b = unit(right, right_xy, "b").withColumns({"_bx": rx, "_by": ry, "_bz": rz})
     apart = G.haversine(c(left_xy[0]), c(left_xy[1]), c(right_xy[0]), c(right_xy[1]), radius)
-    return a.join(b, (F.col("_a") == F.col("_b")) & (apart <= metres)).withColumn("distance", apart).drop("_a", "_b", "_d")
+    chord = sum((F.col(f"_a{k}") - F.col(f"_b{k}")) * (F.col(f"_a{k}") - F.col(f"_b{k}")) for k in "uvw")  # cheap, and a little wider
+    on = (F.col("_ax") == F.col("_bx")) & (F.col("_ay") == F.col("_by")) & (F.col("_az") == F.col("_bz")) & (chord <= step * step)
+    met = spread(a, "_ax", "_ay", "_az").join(spread(b, "_bx", "_by", "_bz"), on).withColumn("distance", apart).where(F.col("distance") <= metres)
+    return met.drop(*[f"_{n}{k}" for n in "ab" for k in "xyzuvw"])
 
 
 def nearest(queries: DataFrame, points: DataFrame, k: int, query_id: str, point_id: str, query_xy=("x", "y"), point_xy=("rx", "ry"), first_metres: float | None = None, radius: float = G.A) -> DataFrame:
@@ -130,7 +135,8 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, query_id: str, point_
 def nearest_planar(queries: DataFrame, points: DataFrame, k: int, query_id: str, point_id: str, first: float | None = None, dims: tuple = ("x", "y"), point_dims: tuple = ("rx", "ry")) -> DataFrame:
     """The k nearest points of each query in the plane (or in space): query_id, rank, point_id, distance; ties to the smaller id.
 
-    Rounds of grid joins with doubling reach, like ``nearest``.
+    Rounds of grid joins with doubling reach, like ``nearest``.  Queries at one
+    place are one query.
     """
     spread = points.agg(F.count(F.lit(1)).alias("n"), *[F.max(d).alias(f"hi{i}") for i, d in enumerate(point_dims)], *[F.min(d).alias(f"lo{i}") for i, d in enumerate(point_dims)]).first()
     away = queries.agg(*[F.max(d).alias(f"hi{i}") for i, d in enumerate(dims)], *[F.min(d).alias(f"lo{i}") for i, d in enumerate(dims)]).first()
@@ -139,8 +145,14 @@ def nearest_planar(queries: DataFrame, points: DataFrame, k: int, query_id: str,
     whole = math.sqrt(sum(max(abs((spread[f"hi{i}"] or 0) - (away[f"lo{i}"] or 0)), abs((away[f"hi{i}"] or 0) - (spread[f"lo{i}"] or 0))) ** 2 for i in range(len(dims)))) or 1.0
     reach = first or max(max(side) * (max(k, 1) / max(n, 1)) ** (1 / len(dims)), whole * 1e-6)
     order = Window.partitionBy("_q").orderBy("distance", "_p")
-    todo = queries.select(F.col(query_id).alias("_q"), *[c(d).cast("double").alias(f"_q{i}") for i, d in enumerate(dims)])
+    asked = queries.select(F.col(query_id).alias("_id"), *[c(d).cast("double").alias(f"_q{i}") for i, d in enumerate(dims)])
+    at = [f"_q{i}" for i in range(len(dims))]
+    todo = cut(asked.select(*at).distinct().withColumn("_q", F.monotonically_increasing_id()))
+    places = todo.select(F.col("_q").alias("_place"), *[F.col(n).alias(f"_at{n}") for n in at])
+    # of the points at one place only the first k can be among the k nearest
+    alike = Window.partitionBy(*[f"_p{i}" for i in range(len(dims))]).orderBy("_p")
     others = points.select(F.col(point_id).alias("_p"), *[c(d).cast("double").alias(f"_p{i}") for i, d in enumerate(point_dims)])
+    others = cut(others.withColumn("_nth", F.row_number().over(alike)).where(F.col("_nth") <= k).drop("_nth"))
     done = None
     while True:
         last = reach >= whole
@@ -151,7 +163,8 @@ def nearest_planar(queries: DataFrame, points: DataFrame, k: int, query_id: str,
         done = part if done is None else done.union(part)
         todo = cut(todo.join(full, F.col("_q") == F.col("_f"), "left_anti"))
         if last or todo.isEmpty():
-            return done.select(F.col("_q").alias(query_id), "rank", F.col("_p").alias(point_id), "distance")
+            same = reduce(lambda a, b: a & b, [F.col(n) == F.col(f"_at{n}") for n in at])
+            return asked.join(places, same).join(done, F.col("_place") == F.col("_q")).select(F.col("_id").alias(query_id), "rank", F.col("_p").alias(point_id), "distance")
         reach *= 2
 
 
@@ -160,10 +173,12 @@ def within_reach(left: DataFrame, right: DataFrame, reach: float, left_dims: lis
     import itertools
 
     around = F.array(*[F.array(*[F.lit(d) for d in ds]) for ds in itertools.product((-1, 0, 1), repeat=len(left_dims))])
-    a = left.withColumn("_d", F.explode(around)).withColumn("_a", F.array(*[F.floor(c(d) / reach) + F.col("_d")[i] for i, d in enumerate(left_dims)]))
-    b = right.withColumn("_b", F.array(*[F.floor(c(d) / reach) for d in right_dims]))
-    apart = F.sqrt(sum(((c(p) - c(q)) * (c(p) - c(q)) for p, q in zip(left_dims, right_dims)), F.lit(0.0)))
-    return a.join(b, (F.col("_a") == F.col("_b")) & (apart <= reach)).withColumn("distance", apart).drop("_a", "_b", "_d")
+    ka, kb = ([f"_{n}{i}" for i in range(len(left_dims))] for n in ("a", "b"))
+    a = left.withColumn("_d", F.explode(around)).withColumns({n: F.floor(c(d) / reach) + F.col("_d")[i] for i, (n, d) in enumerate(zip(ka, left_dims))}).drop("_d")
+    b = right.withColumns({n: F.floor(c(d) / reach) for n, d in zip(kb, right_dims)})
+    squared = sum(((c(p) - c(q)) * (c(p) - c(q)) for p, q in zip(left_dims, right_dims)), F.lit(0.0))
+    on = reduce(lambda p, q: p & q, [F.col(m) == F.col(n) for m, n in zip(ka, kb)], squared <= reach * reach)
+    return spread(a, *ka).join(spread(b, *kb), on).withColumn("distance", F.sqrt(squared)).drop(*ka, *kb)
 
 
 def nearest_on_lines(points: DataFrame, lines: DataFrame, point_id: str, line_id: str, line: str, x: str = "x", y: str = "y") -> DataFrame:
