@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -138,6 +140,34 @@ def ellipsoid_destination(lng, lat, bearing, metres, rounds: int = 8) -> tuple[C
     return c(lng) + out["d"], out["lat"], out["final"]
 
 
+def geodesic_length(lng, lat, bearing, metres, leg: float = 1.2e7) -> Column:
+    """``metres`` along a geodesic of the ellipsoid, measured again from its positions by the inverse iteration.
+
+    That iteration knows shortest ways only and doesn't settle near the
+    antipode.  So whole turns count by their length on this geodesic, and the
+    rest is measured in parts of ``leg`` metres at most.
+    """
+    t, u = F.radians(c(bearing)), F.atan((1 - FLAT) * F.tan(F.radians(c(lat))))
+
+    def measured(q):
+        at = lambda k: ellipsoid_destination(lng, lat, bearing, q["start"] + q["rest"] * (c(k) / q["n"]))[:2]
+        parts = F.transform(F.sequence(F.lit(0), q["n"].cast("int")), lambda k: F.struct(*[v.alias(n) for v, n in zip(at(k), ("x", "y"))]))
+
+        def total(p):
+            ways = F.zip_with(F.slice(p, 1, F.size(p) - 1), F.slice(p, 2, F.size(p) - 1), lambda a, b: ellipsoid_distance(a["x"], a["y"], b["x"], b["y"]))
+            return F.aggregate(ways, q["start"], lambda s, w: s + w)
+
+        return let(parts, total)
+
+    def split(turn):
+        start = F.floor(c(metres) / turn) * turn
+        return F.struct(start.alias("start"), (c(metres) - start).alias("rest"), F.greatest(F.lit(1), F.ceil((c(metres) - start) / leg)).alias("n"))
+
+    v = EP2 * (1 - F.cos(u) * F.sin(t) * F.cos(u) * F.sin(t))
+    turn = 2 * math.pi * B * (1 + v / 16384 * (4096 + v * (-768 + v * (320 - 175 * v))))
+    return let(let(turn, split), measured)
+
+
 def closest_on_ellipsoid(x, y, z) -> tuple[Column, Column, Column, Column]:
     """(x, y, z) of the foot point on the ellipsoid, and the height above it (below: negative)."""
     lng, lat, h = from_ecef(x, y, z, 8)
@@ -196,6 +226,7 @@ def format_distance(metres) -> Column:
     return F.when(m < 1000, F.concat(F.format_number(m, 1), F.lit(" m"))).otherwise(F.concat(F.format_number(m / 1000, 2), F.lit(" km")))
 
 
-def format_area(square_metres) -> Column:
+def format_area(square_metres, most_ha: float = 100.0) -> Column:
+    """Square metres, hectares, and from ``most_ha`` hectares on square kilometres."""
     a = c(square_metres)
-    return F.when(a < 1e4, F.concat(F.format_number(a, 1), F.lit(" m²"))).when(a < 1e6, F.concat(F.format_number(a / 1e4, 2), F.lit(" ha"))).otherwise(F.concat(F.format_number(a / 1e6, 2), F.lit(" km²")))
+    return F.when(a < 1e4, F.concat(F.format_number(a, 1), F.lit(" m²"))).when(a < most_ha * 1e4, F.concat(F.format_number(a / 1e4, 2), F.lit(" ha"))).otherwise(F.concat(F.format_number(a / 1e6, 2), F.lit(" km²")))
