@@ -36,22 +36,24 @@ def suppress_overlaps(labels: DataFrame, label_id: str, box: str, priority: str,
     """Ids of the labels that stay when higher priority (then smaller id) wins over overlapping boxes.
 
     Each round keeps every label that beats all open neighbours and drops those
-    that overlap a kept one; chains of overlaps bound the rounds.
+    that overlap a kept one; chains of overlaps bound the rounds.  Of labels
+    with the same box only the first can stay, so only that one takes part.
     """
     from terraloom.operators.spatial_join import boxes_overlap
     from terraloom.plans.lineage import cut
 
     own = labels.select(F.col(label_id).alias("a"), F.col(box).alias("abox"), F.struct(F.col(priority).alias("p"), (-F.col(label_id)).alias("o")).alias("ap"))
+    own = own.where("abox IS NULL").unionByName(own.where("abox IS NOT NULL").groupBy("abox").agg(F.max_by("a", "ap").alias("a"), F.max("ap").alias("ap")))
+    own = cut(own.select("a", "abox", "ap"))
     other = own.toDF("b", "bbox", "bp")
-    rivals = cut(boxes_overlap(own, other, "abox", "bbox").where("a != b").select("a", "b", (F.col("bp") > F.col("ap")).alias("beaten")))
+    rivals = cut(boxes_overlap(own, other, "abox", "bbox").where("bp > ap").select("a", "b"))  # b beats a
     todo, kept = cut(own.select("a")), None
     for _ in range(most_rounds):
-        among = rivals.join(todo, "a", "left_semi").join(todo.select(F.col("a").alias("b")), "b", "left_semi")
-        losers = among.where("beaten").select("a").distinct()
-        win = cut(todo.join(losers, "a", "left_anti"))
+        win = cut(todo.join(rivals.select("a").distinct(), "a", "left_anti"))
         kept = win if kept is None else kept.union(win)
-        out = rivals.join(win.select(F.col("a").alias("b")), "b", "left_semi").select("a").distinct()
+        out = rivals.join(win.withColumnRenamed("a", "b"), "b", "left_semi").select("a").distinct()
         todo = cut(todo.join(win, "a", "left_anti").join(out, "a", "left_anti"))
         if todo.isEmpty():
             return kept.select(F.col("a").alias(label_id))
+        rivals = cut(rivals.join(todo, "a", "left_semi").join(todo.withColumnRenamed("a", "b"), "b", "left_semi"))
     raise RuntimeError(f"chains of more than {most_rounds} overlaps")
