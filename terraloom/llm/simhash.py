@@ -19,19 +19,19 @@ combined minimum, with a checkpoint after each.
 Random fingerprints meet by chance in about 7e-6 of all pairs, each costing one
 bit count in the join.
 
-``near_texts`` serves a wider reach, as similar texts need: its fingerprints have
-512 bits, of the set of word pairs, and its segments are single bits, whose
-counts are the bits themselves (wider segments lose more than they merge at
-this reach).  The grid is laid over ``TABLES`` drawn subsets of segments; texts
-that share a cell of one are at Manhattan distance zero there, a lower bound of
-theirs, and meet.  What meets is tested for the exact Hamming distance, and for
-that of another 1024 bits of the set of five-word shingles; both reaches are far
-above what similarity 0.8 gives.  What is left is tested for the exact Jaccard
-similarity of the shingle sets.  Two texts of similarity 0.8 come so far with
-probability of about 0.98, closer ones with more.  In a cell all texts first
-meet its smallest only; after that, pairs that are in one component already are
-left out, so a large group of near copies makes pairs in proportion to its
-size, and no link between components is lost.
+``near_texts`` serves a wider reach, as similar texts need, by the same steps.  Its
+fingerprints have 512 bits, of the set of words and word pairs, and are embedded
+as the bit counts of their 256 two-bit segments.  The grid is laid over
+``TABLES`` drawn subspaces of ``SEGMENTS`` segments each; texts that share a cell
+of one are at Manhattan distance zero there and meet.  What meets is tested for
+the Manhattan distance of the whole embeddings, then for the exact Hamming
+distance, and for that of another 1024 bits of the set of five-word shingles; all
+reaches are far above what similarity 0.8 gives.  What is left is tested for the
+exact Jaccard similarity of the shingle sets.  Two texts of similarity 0.8 come so
+far with probability of about 0.99, closer ones with more.  In a cell all texts
+first meet its smallest only; after that the smallest is done, and pairs that are
+in one component already are left out, so a large group of near copies makes pairs
+in proportion to its size, and no link between components is lost.
 
 Null and empty texts have fingerprint zero and link like any other.  Null ids
 get a fingerprint and the smallest id of their component, if there is one.
@@ -59,9 +59,9 @@ SEED, SHINGLE, REACH = 42, 3, 3
 LOW_BITS = 0x5555555555555555
 HALF_SEGMENTS = 16
 CHUNK = 1 << 16
-TABLES, CELL_BITS = 64, 24
-WIDE, WIDE_REACH = 8, 80  # words of 64 bits; at similarity 0.8 the distance is 49 with a deviation of 7
-FINE, FINE_REACH = 16, 184  # likewise 155 and 11
+TABLES, SEGMENTS, CELL_BITS = 64, 14, 23
+WIDE, WIDE_REACH = 8, 80  # words of 64 bits; at similarity 0.8 the distance is 45 with a deviation of 6, in the embedding 42 and 6
+FINE, FINE_REACH = 16, 184  # likewise 148 and 10
 SIMILAR, WORDS = 0.8, 5
 
 
@@ -149,13 +149,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def wide_sketch(text: str | None, shingle: int = WORDS) -> tuple[int, int, bool, list[int]]:
-    """Key of the words of a text (two longs), whether it has words, and ``WIDE`` longs of a SimHash of its set of word pairs and ``FINE`` longs of one of its shingle set."""
+    """Key of the words of a text (two longs), whether it has words, and ``WIDE`` longs of a SimHash of its set of words and word pairs and ``FINE`` longs of one of its shingle set."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     key = np.frombuffer(xxhash.xxh3_128_digest(b" ".join(words), SEED), "<i8").tolist()
     if not words:
         return (*key, False, [0] * (WIDE + FINE))
-    pairs = {a + b" " + b for a, b in zip(words, words[1:])} or {words[0]}
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, pairs), np.uint64, len(pairs))
+    parts = {a + b" " + b for a, b in zip(words, words[1:])}.union(words)
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, parts), np.uint64, len(parts))
     return (*key, True, _many_bits(hashes, WIDE) + _many_bits(_shingles(words, shingle).view(np.uint64), FINE))
 
 
@@ -175,6 +175,7 @@ def _many_bits(hashes: np.ndarray, longs: int) -> list[int]:
 
 
 PRINT = [f"f{k}" for k in range(WIDE)] + [f"g{k}" for k in range(FINE)]
+COUNTS = [f"e{k}" for k in range(WIDE)]
 
 
 def _shingles(own: list[bytes], words: int) -> np.ndarray:
@@ -194,15 +195,20 @@ def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
 def _drawn() -> np.ndarray:
     """The segments of each table."""
     rng = np.random.default_rng(SEED)
-    return np.stack([rng.choice(64 * WIDE, CELL_BITS, replace=False) for _ in range(TABLES)])
+    return np.stack([rng.choice(32 * WIDE, SEGMENTS, replace=False) for _ in range(TABLES)])
+
+
+def _embedded(fp: Column) -> Column:
+    """The embedding of a wide fingerprint: the bit counts of its two-bit segments, in unary."""
+    return F.struct(*[unary(fp[n]).alias(e) for n, e in zip(PRINT, COUNTS)])
 
 
 def _first_shared(a: Column, b: Column, table: Column) -> Column:
-    """Two texts that share a cell of this table share none of a table before it, so that a pair comes out once."""
-    masks = [[sum(1 << int(i) % 64 for i in own if i // 64 == k) for k in range(WIDE)] for own in _drawn()]
+    """Two embeddings that share a cell of this table share none of a table before it, so that a pair comes out once."""
+    masks = [[sum(3 << 2 * (int(i) % 32) for i in own if i // 32 == k) for k in range(WIDE)] for own in _drawn()]
     signed = [[m - (1 << 64) if m >> 63 else m for m in own] for own in masks]
     every = F.from_json(F.lit(json.dumps(signed)), "array<array<long>>")
-    apart = [a[n].bitwiseXOR(b[n]) for n in PRINT[:WIDE]]
+    apart = [a[n].bitwiseXOR(b[n]) for n in COUNTS]
 
     def same(mask: Column) -> Column:
         return reduce(lambda x, y: x & y, [d.bitwiseAND(mask[k]) == 0 for k, d in enumerate(apart)])
@@ -211,15 +217,15 @@ def _first_shared(a: Column, b: Column, table: Column) -> Column:
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each table: cell (with the table's number), node."""
+    """One row for each table: cell (the counts of the table's segments, with its number), node."""
     drawn = _drawn()
-    weigh = 1 << np.arange(CELL_BITS, dtype=np.int64)
+    weigh = 3 ** np.arange(SEGMENTS, dtype=np.int64)
     for batch in batches:
         node = batch.column("node").to_numpy()
         f = np.stack([batch.column("print").field(n).to_numpy() for n in PRINT[:WIDE]], axis=1)
-        bits = np.unpackbits(f.astype("<i8").view(np.uint8), axis=1, bitorder="little")
+        counts = np.unpackbits(f.astype("<i8").view(np.uint8), axis=1, bitorder="little").reshape(len(f), -1, 2).sum(axis=2)
         for t in range(TABLES):
-            cell = bits[:, drawn[t]].astype(np.int64) @ weigh | t << CELL_BITS
+            cell = counts[:, drawn[t]].astype(np.int64) @ weigh | t << CELL_BITS
             yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(node)], ["cell", "node"])
 
 
@@ -229,16 +235,20 @@ def _sized(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def _near_prints(a: Column, b: Column, reach: int) -> Column:
-    """Both fingerprints of two texts (structs of longs) are within their reach."""
-    bits = lambda names: sum((F.bit_count(a[n].bitwiseXOR(b[n])) for n in names), F.lit(0))
-    return (bits(PRINT[:WIDE]) <= reach) & (bits(PRINT[WIDE:]) <= FINE_REACH)
+def _apart(a: Column, b: Column, names: list[str]) -> Column:
+    return reduce(lambda x, y: x + y, [F.bit_count(a[n].bitwiseXOR(b[n])) for n in names])
+
+
+def _near_prints(a: Column, b: Column, counts_a: Column, counts_b: Column, reach: int) -> Column:
+    """The embeddings of two texts, then both fingerprints (structs of longs) are within their reach."""
+    return (_apart(counts_a, counts_b, COUNTS) <= reach) & (_apart(a, b, PRINT[:WIDE]) <= reach) & (_apart(a, b, PRINT[WIDE:]) <= FINE_REACH)
 
 
 def _close(pairs: DataFrame, prints: DataFrame, reach: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose fingerprints (node, print) are near."""
     both = pairs.join(prints.toDF("a", "pa"), "a").join(prints.toDF("b", "pb"), "b")
-    return both.where(_near_prints(F.col("pa"), F.col("pb"), reach)).select("a", "b")
+    a, b = F.col("pa"), F.col("pb")
+    return both.where(_near_prints(a, b, _embedded(a), _embedded(b), reach)).select("a", "b")
 
 
 def similar_pairs(pairs: DataFrame, texts: DataFrame, words: int = WORDS, similar: float = SIMILAR) -> DataFrame:
@@ -295,10 +305,14 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = cut(_close(met.where("node != head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), prints, reach))
     links = cut(similar_pairs(first, texts, words, similar))
     parts = components(links)
-    named = cut(met.join(parts.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("cell", "node", F.coalesce("root", "node").alias("part")))
-    left = named.join(shared(named, "part").select("at"), F.col("cell") == F.col("at"), "left_semi").join(prints, "node")
-    other = left.toDF("b", "cell_b", "part_b", "print_b")
-    rest = left.join(other, (F.col("cell") == F.col("cell_b")) & (F.col("part") < F.col("part_b")) & _near_prints(F.col("print"), F.col("print_b"), reach) & _first_shared(F.col("print"), F.col("print_b"), F.shiftright("cell", CELL_BITS))).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+    # pairs with a cell's smallest are done
+    named = cut(met.where("node != head").join(parts.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("cell", "node", F.coalesce("root", "node").alias("part")))
+    mixed = named.join(_sized(shared(named, "part").select("at")), F.col("cell") == F.col("at"), "left_semi")
+    left = cut(mixed.join(prints, "node").select("node", "cell", "part", "print", _embedded(F.col("print")).alias("counts")))
+    other = left.toDF("b", "cell_b", "part_b", "print_b", "counts_b")
+    near = _near_prints(F.col("print"), F.col("print_b"), F.col("counts"), F.col("counts_b"), reach)
+    once = _first_shared(F.col("counts"), F.col("counts_b"), F.shiftright("cell", CELL_BITS))
+    rest = left.join(other, (F.col("cell") == F.col("cell_b")) & (F.col("part") < F.col("part_b")) & near & once).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
     rest = cut(rest.join(first, ["a", "b"], "left_anti"))
     parts = components(links.union(cut(similar_pairs(rest, texts, words, similar))))
     of_text = nodes.join(parts.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select(F.col("k1").alias("t1"), F.col("k2").alias("t2"), F.coalesce("root", "node").alias("component_id"))

@@ -283,6 +283,49 @@ def test_a_large_group_of_near_copies_is_one_component(spark):
     assert all(got[i] == (0 if i < 1500 else i) for i in got) and len(got) == 2000
 
 
+def test_the_grid_of_near_texts_is_laid_over_segment_counts(spark):
+    """Cells and reach follow the bit counts of segments: bits that change places in a segment change neither."""
+    rng = np.random.default_rng(3)
+    bits = rng.integers(0, 2, (1, 64 * simhash.WIDE), dtype=np.uint8)
+    turned = bits.reshape(-1, 2)[:, ::-1].reshape(1, -1)
+    other = bits.copy()
+    other[0, ::2] ^= 1
+    longs = [np.packbits(b, axis=1, bitorder="little").view("<i8")[0].tolist() + [0] * simhash.FINE for b in (bits, turned, other)]
+    prints = spark.createDataFrame([(i, tuple(p)) for i, p in enumerate(longs)], "node long, print struct<" + ",".join(f"{n}:long" for n in simhash.PRINT) + ">")
+    cells = {}
+    for r in prints.mapInArrow(simhash._cells, "cell long, node long").collect():
+        cells.setdefault(r.node, set()).add(r.cell)
+    assert cells[0] == cells[1] and len(cells[0]) == simhash.TABLES and not cells[0] & cells[2]
+    near = simhash._apart(simhash._embedded(F.col("a")), simhash._embedded(F.col("b")), simhash.COUNTS)
+    pairs = prints.toDF("i", "a").crossJoin(prints.toDF("j", "b")).where("i < j").select("i", "j", near.alias("apart")).collect()
+    counts = [b.reshape(-1, 2).sum(axis=1).astype(int) for b in (bits, turned, other)]
+    assert all(r.apart == np.abs(counts[r.i] - counts[r.j]).sum() for r in pairs) and len(pairs) == 3
+
+
+def test_near_texts_meets_the_smallest_of_a_cell_once(spark, monkeypatch):
+    """Pairs of texts that share cells and are no link are settled by the first step; only cells with more texts go on."""
+    rnd = random.Random(16)
+    rows = []
+    for i in range(0, 60, 2):
+        own = [f"w{rnd.randrange(5000)}" for _ in range(200)]
+        rows.append((i, " ".join(own)))
+        for k in range(5, 200, 20):
+            own[k] = f"x{rnd.randrange(5000)}"
+        rows.append((i + 1, " ".join(own)))
+    kept = []
+
+    def cut(df):
+        df = real(df)
+        if {"cell", "part", "print"} <= set(df.columns):
+            kept.append(df.count())
+        return df
+
+    real = simhash.cut
+    monkeypatch.setattr(simhash, "cut", cut)
+    got = {r.doc_id: r.component_id for r in simhash.near_texts(docs(spark, rows)).collect()}
+    assert all(got[i] == i for i, _ in rows) and kept == [0]
+
+
 def test_near_texts_of_odd_rows(spark):
     got = sorted((r.doc_id, r.component_id) for r in simhash.near_texts(docs(spark, ODD)).collect())
     assert got == [(1, 1), (2, 1), (2, 1), (3, 1), (4, 4)]
