@@ -483,6 +483,14 @@ def box_contains(a, b) -> Column:
     return (a.west <= b.west) & (a.east >= b.east) & (a.south <= b.south) & (a.north >= b.north)
 
 
+def box_within(a, b, eps: float = 1e-10) -> Column:
+    """What ``ring_within`` says of the boxes' rings, from their sides: every corner of a is in b or on its edge, one of them strictly inside."""
+    a, b = c(a), c(b)
+    inside = lambda v, low, high: (v > low + eps) & (v < high - eps)
+    corner = (inside(a.west, b.west, b.east) | inside(a.east, b.west, b.east)) & (inside(a.south, b.south, b.north) | inside(a.north, b.south, b.north))
+    return (a.west >= b.west - eps) & (a.east <= b.east + eps) & (a.south >= b.south - eps) & (a.north <= b.north + eps) & corner
+
+
 def box_has(b, x, y) -> Column:
     """Closed; NaN is nowhere."""
     b, x, y = c(b), c(x), c(y)

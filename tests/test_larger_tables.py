@@ -50,6 +50,30 @@ def test_ring_relations_equal_the_column_expressions(spark):
     assert len(set(want.values())) > 4
 
 
+def test_sides_of_boxes_tell_what_their_rings_do(spark):
+    """Boxes that meet intersect, and within agrees with the predicate of rings, with common sides and corners too."""
+    rng = random.Random(6)
+    side = lambda: sorted(rng.sample(range(6), 2))
+    rows = []
+    for i in range(300):
+        (aw, ae), (as_, an), (bw, be), (bs, bn) = side(), side(), side(), side()
+        off = rng.choice([0.0, 0.0, 0.5, 1e-12])
+        rows.append((i, *(float(v) for v in (aw, as_, ae, an)), *(v + off for v in (bw, bs, be, bn))))
+    rows += [(300, 0.0, 0.0, 2.0, 2.0, 0.0, 0.0, 2.0, 2.0), (301, 0.0, 1.0, 3.0, 2.0, 1.0, 0.0, 2.0, 3.0)]
+    boxes = spark.createDataFrame(rows, "id int, aw double, as_ double, ae double, an double, bw double, bs double, be double, bn double").select("id", S.box("aw", "as_", "ae", "an").alias("a"), S.box("bw", "bs", "be", "bn").alias("b"))
+    ring = lambda n: S.box_ring(f"{n}.west", f"{n}.south", f"{n}.east", f"{n}.north")
+    met = boxes.where(S.box_overlap("a", "b"))
+    got = met.select("id", S.rings_intersect(ring("a"), ring("b")).alias("meets"), S.box_within("a", "b").alias("w"), S.ring_within(ring("a"), ring("b")).alias("rw"), S.box_within("b", "a").alias("c"), S.ring_contains(ring("a"), ring("b")).alias("rc")).collect()
+    assert all(r.meets and r.w == r.rw and r.c == r.rc for r in got)
+    assert sum(r.w for r in got) > 5 and sum(r.c for r in got) > 5 and sum(not r.w and not r.c for r in got) > 5
+
+
+def test_topology_takes_no_ring_of_a_pair(spark, sf_dir):
+    """Pairs, which are many, are tested by the sides of their boxes inside the join's stage, not by Python."""
+    plan = queries.topology(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and "MapInArrow" not in plan and "Python" not in plan
+
+
 def test_variogram_of_many_samples_at_few_places(spark):
     """12,000 samples at 30 places: 72 million pairs, known from the places' moments; null values don't count."""
     rows = spark.range(12_000).selectExpr("cast(id % 6 as double) x", "cast(floor(id / 6) % 5 as double) y", "case when id % 101 = 0 then null else cast((id * 37) % 23 as double) end value")
