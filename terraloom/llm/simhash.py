@@ -24,7 +24,7 @@ fingerprints have 512 bits, of the set of words and word pairs, and are embedded
 as the bit counts of their 256 two-bit segments.  The grid is laid over
 ``TABLES`` drawn subspaces of ``SEGMENTS`` segments each; texts that share a cell
 of one are at Manhattan distance zero there and meet.  What meets is tested for
-the Manhattan distance of the whole embeddings, then for the exact Hamming
+the Manhattan distance of the first 32 segments and of the whole embeddings, then for the exact Hamming
 distance, and for that of another 1024 bits of the set of five-word shingles; all
 reaches are far above what similarity 0.8 gives.  What is left is tested for the
 exact Jaccard similarity of the shingle sets.  Two texts of similarity 0.8 come so
@@ -62,6 +62,7 @@ CHUNK = 1 << 16
 TABLES, SEGMENTS, CELL_BITS = 64, 14, 23
 WIDE, WIDE_REACH = 8, 80  # words of 64 bits; at similarity 0.8 the distance is 45 with a deviation of 6, in the embedding 42 and 6
 FINE, FINE_REACH = 16, 184  # likewise 148 and 10
+FIRST_REACH = 18  # of the first 32 segments; at similarity 0.8 their distance is 5 with a deviation of 2
 SIMILAR, WORDS = 0.8, 5
 
 
@@ -217,7 +218,7 @@ def _first_shared(a: Column, b: Column, table: Column) -> Column:
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each table: cell (the counts of the table's segments, with its number), node."""
+    """One row for each table: cell (the counts of the table's segments, with its number), node, first (a long of the fingerprint)."""
     drawn = _drawn()
     weigh = 3 ** np.arange(SEGMENTS, dtype=np.int64)
     for batch in batches:
@@ -226,7 +227,7 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.unpackbits(f.astype("<i8").view(np.uint8), axis=1, bitorder="little").reshape(len(f), -1, 2).sum(axis=2)
         for t in range(TABLES):
             cell = counts[:, drawn[t]].astype(np.int64) @ weigh | t << CELL_BITS
-            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(node)], ["cell", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(node), pa.array(f[:, 0].copy())], ["cell", "node", "first"])
 
 
 def _sized(df: DataFrame, most: int = 1_000_000) -> DataFrame:
@@ -294,19 +295,20 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes = cut(sketches.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("print").alias("print"), F.max("some").alias("some")))  # equal for equal keys
     texts = own.withColumnRenamed("doc_id", "node")
     prints = cut(nodes.where("some").groupBy("node").agg(F.min("print").alias("print")))
-    index = prints.mapInArrow(_cells, "cell long, node long")
+    index = prints.mapInArrow(_cells, "cell long, node long, first long")
 
     def shared(cells: DataFrame, label: str) -> DataFrame:
         """Cells with more than one label, and the smallest."""
         return cells.groupBy("cell").agg(F.min(label).alias("head"), F.max(label).alias("last")).where("head < last").select(F.col("cell").alias("at"), "head")
 
-    # only cells that texts share go on
-    met = cut(index.join(_sized(shared(index, "node")), F.col("cell") == F.col("at")).select("cell", "node", "head"))
-    first = cut(_close(met.where("node != head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), prints, reach))
+    # only cells that texts share go on; all other texts meet the smallest, and a cell of two is done with that
+    heads = index.groupBy("cell").agg(F.min("node").alias("head"), F.min_by("first", "node").alias("head_first"), F.count(F.lit(1)).alias("held")).where("held > 1").withColumnRenamed("cell", "at")
+    near_head = F.bit_count(unary(F.col("first")).bitwiseXOR(unary(F.col("head_first")))) <= FIRST_REACH
+    met = cut(index.join(_sized(heads), (F.col("cell") == F.col("at")) & (F.col("node") != F.col("head")) & ((F.col("held") > 2) | near_head)).select("cell", "node", "head", "held", near_head.alias("near")))
+    first = cut(_close(met.where("near").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), prints, reach))
     links = cut(similar_pairs(first, texts, words, similar))
     parts = components(links)
-    # pairs with a cell's smallest are done
-    named = cut(met.where("node != head").join(parts.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("cell", "node", F.coalesce("root", "node").alias("part")))
+    named = cut(met.where("held > 2").join(parts.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("cell", "node", F.coalesce("root", "node").alias("part")))
     mixed = named.join(_sized(shared(named, "part").select("at")), F.col("cell") == F.col("at"), "left_semi")
     left = cut(mixed.join(prints, "node").select("node", "cell", "part", "print", _embedded(F.col("print")).alias("counts")))
     other = left.toDF("b", "cell_b", "part_b", "print_b", "counts_b")

@@ -293,7 +293,7 @@ def test_the_grid_of_near_texts_is_laid_over_segment_counts(spark):
     longs = [np.packbits(b, axis=1, bitorder="little").view("<i8")[0].tolist() + [0] * simhash.FINE for b in (bits, turned, other)]
     prints = spark.createDataFrame([(i, tuple(p)) for i, p in enumerate(longs)], "node long, print struct<" + ",".join(f"{n}:long" for n in simhash.PRINT) + ">")
     cells = {}
-    for r in prints.mapInArrow(simhash._cells, "cell long, node long").collect():
+    for r in prints.mapInArrow(simhash._cells, "cell long, node long, first long").collect():
         cells.setdefault(r.node, set()).add(r.cell)
     assert cells[0] == cells[1] and len(cells[0]) == simhash.TABLES and not cells[0] & cells[2]
     near = simhash._apart(simhash._embedded(F.col("a")), simhash._embedded(F.col("b")), simhash.COUNTS)
